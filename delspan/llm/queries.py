@@ -5,18 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, sentencepiece_bpe, token_counts, warc
+from . import additive_quantisation, embedding_dedup, mixing, sentencepiece_bpe, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive_quantisation.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(_table(spark, sf_dir, "documents"))
 
@@ -30,13 +39,16 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_token_counts": op3_token_counts,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_source_mixing": op5_source_mixing,
     "op8_warc": op8_warc,
     "op9_sentencepiece": op9_sentencepiece,
 }
 
 ORACLES: dict[str, str] = {
+    "op4_embedding_dedup": embedding_dedup.NEAR_DUPLICATES_SQL,
     "op5_source_mixing": mixing.TAKEN_SQL,
     "op8_warc": warc.ROUND_TRIP_SQL,
 }
