@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_quantisation, embedding_dedup, mixing, sentencepiece_bpe, token_counts, warc
+from . import additive_quantisation, embedding_dedup, language_id, mixing, sentencepiece_bpe, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return additive_quantisation.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -39,6 +43,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_token_counts": op3_token_counts,
     "op4_embedding_dedup": op4_embedding_dedup,
