@@ -1,7 +1,8 @@
 """Operator 1: language identification with hyperdimensional profiles.
 
 Every letter has a random vector of ones and minus ones. A trigram's vector binds (multiplies) its letters' vectors, the first
-rolled by two places and the second by one; a text's profile bundles (adds) the vectors of its trigrams. A language's
+rolled by two places and the second by one; a text's profile bundles (adds) the vectors of its trigrams, each
+weighed by the square root of its count, so that a line repeated many times doesn't speak for the whole text. A language's
 prototype bundles the unit profiles of its training documents. A text gets the language whose prototype, taken from the mean of all prototypes,
 has the greatest cosine with its own profile, taken from the same mean; the score is that cosine with the plain prototype.
 
@@ -57,7 +58,7 @@ class Profiles:
         out = np.zeros(DIMENSIONS, np.float32)
         for s in range(0, len(seen), 8192):
             part = seen[s : s + 8192]
-            out += counts[part].astype(np.float32) @ self.grams[part].astype(np.float32)
+            out += np.sqrt(counts[part]).astype(np.float32) @ self.grams[part].astype(np.float32)
         return out
 
 
