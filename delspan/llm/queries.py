@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_quantisation, embedding_dedup, language_id, mixing, sentencepiece_bpe, token_counts, url_filters, warc
+from . import additive_quantisation, embedding_dedup, language_id, mixing, ngram_join, sentencepiece_bpe, token_counts, url_filters, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encoding_digests(_table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -55,10 +59,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_url_filters": op7_url_filters,
     "op8_warc": op8_warc,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLES: dict[str, str] = {
     "op4_embedding_dedup": embedding_dedup.NEAR_DUPLICATES_SQL,
     "op5_source_mixing": mixing.TAKEN_SQL,
+    "op10_ngram_join": ngram_join.SIMILAR_SQL,
     "op8_warc": warc.ROUND_TRIP_SQL,
 }
