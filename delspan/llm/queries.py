@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_quantisation, embedding_dedup, language_id, mixing, ngram_join, sentencepiece_bpe, token_counts, url_filters, warc
+from . import additive_quantisation, embedding_dedup, language_id, mixing, ngram_join, sentencepiece_bpe, suffix_dedup, token_counts, url_filters, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(_table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_digests(_table(spark, sf_dir, "documents"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(_table(spark, sf_dir, "pages"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_source_mixing": op5_source_mixing,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_url_filters": op7_url_filters,
     "op8_warc": op8_warc,
     "op9_sentencepiece": op9_sentencepiece,
