@@ -6,6 +6,8 @@ one partition, so callers repartition after reading.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,12 @@ HEADER = ("##fileformat=VCFv4.3", "##FILTER=<ID=PASS,Description=\"All filters p
 COLUMNS = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tSAMPLE"
 
 
+def _fields() -> Callable[[int], Column]:
+    """The tab-separated fields of a line; null where there are fewer. Spark may look at a line's fields before it drops the line as a header."""
+    fields = F.split("value", "\t")
+    return lambda k: F.get(fields, F.lit(k))
+
+
 def genotype(text: Column) -> Column:
     """Alleles of ``0|1:...`` as ``array<int>``; a missing allele is null."""
     return F.transform(F.split(F.split(text, ":")[0], r"[/|]"), lambda a: a.try_cast("int"))
@@ -31,23 +39,23 @@ def read_variants(spark: SparkSession, path: str, sample: str | None = None) ->
     samples = header.value.split("\t")[9:]
     if sample is not None and sample not in samples:
         raise ValueError(f"sample {sample} is not among {len(samples)} samples")
-    f = F.split("value", "\t")
-    info = F.str_to_map(f[7], F.lit(";"), F.lit("="))
+    f = _fields()
+    info = F.str_to_map(f(7), F.lit(";"), F.lit("="))
     wanted = [samples.index(sample)] if sample is not None else range(len(samples))
-    gt = F.flatten(F.array(*(genotype(f[9 + k]) for k in wanted))) if samples else F.lit(None).cast("array<int>")
+    gt = F.flatten(F.array(*(genotype(f(9 + k)) for k in wanted))) if samples else F.lit(None).cast("array<int>")
     end = F.split(F.try_element_at(info, F.lit("END")), ",")[0].try_cast("bigint")
     return lines.where(~F.startswith("value", F.lit("#"))).select(
-        f[0].alias("chrom"), f[1].cast("bigint").alias("pos"), f[2].alias("id"), f[3].alias("ref"), F.split(f[4], ",").alias("alts"), f[5].try_cast("double").alias("qual"), f[6].alias("filter"),
+        f(0).alias("chrom"), f(1).try_cast("bigint").alias("pos"), f(2).alias("id"), f(3).alias("ref"), F.split(f(4), ",").alias("alts"), f(5).try_cast("double").alias("qual"), f(6).alias("filter"),
         F.split(F.try_element_at(info, F.lit("SVTYPE")), ",")[0].alias("svtype"), end.alias("info_end"), gt.alias("gt"),
     )
 
 
 def read_alignments(spark: SparkSession, path: str) -> DataFrame:
     """Reads with a CIGAR from alignment text: ``qname, flag, chrom, ref_start`` (0-based) ``, mapq, cigar, tlen, seq, qual``."""
-    f = F.split("value", "\t")
+    f = _fields()
     rows = spark.read.text(path).where(~F.startswith("value", F.lit("@")))
-    return rows.where(f[5] != "*").select(
-        f[0].alias("qname"), f[1].cast("int").alias("flag"), f[2].alias("chrom"), (f[3].cast("bigint") - 1).alias("ref_start"), f[4].cast("bigint").alias("mapq"), f[5].alias("cigar"), f[8].cast("bigint").alias("tlen"), f[9].alias("seq"), f[10].alias("qual"),
+    return rows.where(f(5) != "*").select(
+        f(0).alias("qname"), f(1).try_cast("int").alias("flag"), f(2).alias("chrom"), (f(3).try_cast("bigint") - 1).alias("ref_start"), f(4).try_cast("bigint").alias("mapq"), f(5).alias("cigar"), f(8).try_cast("bigint").alias("tlen"), f(9).alias("seq"), f(10).alias("qual"),
     )
 
 
@@ -62,7 +70,7 @@ def sample_alignments(spark: SparkSession, folder: str, sample: str) -> DataFram
 def alignment_contigs(spark: SparkSession, path: str, first: int = 25) -> tuple[DataFrame, int]:
     """The first contigs of an alignment header with their lengths (``idx, contig, length``), and how many more there are."""
     lines = spark.read.text(path).where(F.startswith("value", F.lit("@SQ"))).withColumn("idx", F.monotonically_increasing_id())
-    found = lines.select("idx", F.regexp_extract("value", r"SN:([^\t]+)", 1).alias("contig"), F.regexp_extract("value", r"LN:(\d+)", 1).cast("bigint").alias("length"))
+    found = lines.select("idx", F.regexp_extract("value", r"SN:([^\t]+)", 1).alias("contig"), F.regexp_extract("value", r"LN:(\d+)", 1).try_cast("bigint").alias("length"))
     return found.orderBy("idx").limit(first), max(0, found.count() - first)
 
 
