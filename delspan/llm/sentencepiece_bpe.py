@@ -18,6 +18,7 @@ results, an empty table an empty result, and other columns are not looked at.
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections.abc import Iterator
 
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+codecs.register_error("replace-each-byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
 SPACE = "▁"
 NORMAL, BYTE = 1, 6
 def chunk_pattern(odd: str = "") -> re.Pattern:
@@ -227,7 +229,7 @@ class PieceModel:
         return out
 
     def decode(self, ids: list[int]) -> str:
-        """Pieces joined, byte runs read as UTF-8, the leading space dropped."""
+        """Pieces joined, byte runs read as UTF-8 (each byte that doesn't belong to a character as U+FFFD), the leading space dropped."""
         if not ids:
             return ""
         if self.wide.isdisjoint(ids):
@@ -247,11 +249,11 @@ class PieceModel:
                 run.append(b)
                 continue
             if run:
-                out.append(run.decode("utf-8", "replace"))
+                out.append(run.decode("utf-8", "replace-each-byte"))
                 run = bytearray()
             out.append(self.text[i])
         if run:
-            out.append(run.decode("utf-8", "replace"))
+            out.append(run.decode("utf-8", "replace-each-byte"))
         return "".join(out)
 
 
