@@ -6,9 +6,22 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: How to drop what a worker process keeps between tasks, by the name of what keeps it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keep_only(*names: str) -> None:
+    """To be called where a task begins: workers serve many operators one after another, and should only hold what the present one uses."""
+    for name, drop in KEPT.items():
+        if name not in names:
+            drop()
+
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
 
 
@@ -34,10 +47,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there.
 
-    The written files outlive any executor, so later stages never recompute what stands before.
+    The written files outlive any executor, so later stages never recompute what stands before; the shuffle files of the
+    write aren't needed after it and go at once, so a job of many steps needs disk for its largest step only.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

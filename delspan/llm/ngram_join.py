@@ -8,10 +8,11 @@ The sample only chooses an order: any order is exact.
 * Documents with equal sets are one class from the start.
 * The classes that share a token are compared in blocks of ``BLOCK``; sizes and 512-bit parity sketches (a lower bound of the
   symmetric difference, so no link is lost) leave out what can't link.
-* Where more than ``DENSE`` times as many pairs as classes are left in a block, a first round takes each class's closest partner only. The second round
-  takes the pairs of such blocks whose classes the first round didn't connect. So every pair that can link is either verified or
+* Where more than ``DENSE`` times as many pairs as classes are left in a block, a first round takes a spanning forest of the closest pairs only. The
+  second round takes all pairs of such blocks whose classes the first round's links didn't connect. So every pair that can link is either verified or
   already in one component, and pairs are never emitted with the square of a group's size.
-* Sets travel to the pairs' tasks once for each pair of blocks of documents, not once for each pair.
+* Pairs are sifted by parity sketches as long as the sets need before any set travels. Sketches and sets travel to the pairs' tasks once
+  for each pair of blocks of documents, not once for each pair.
 
 Defined results: documents without words, or null texts, have no shingles and link with nothing; equal shorter texts link
 through their one shingle; a null id links with nothing and has a null component; repeated rows have the same
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions_for
+from .common import keep_only, materialize, partitions_for
 from .components import connected_components
 from .shingles import digest, mix, shingle_set
 
@@ -54,8 +55,17 @@ def first_order(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """Parities of 512 buckets of tokens."""
-    return np.packbits(np.bincount((mix(shingles, 2) >> np.uint64(55)).astype(np.int64), minlength=512) & 1).tobytes()
+    """Parities of buckets of tokens: 512 at least, and about half as many as there are tokens. Halving it (:func:`folded`) gives the smaller sketch."""
+    bits = 512
+    while bits * 2 < len(shingles):
+        bits *= 2
+    return np.packbits(np.bincount((mix(shingles, 2) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def folded(bits: bytes | np.ndarray, size: int = 64) -> np.ndarray:
+    """The sketch brought to ``size`` bytes."""
+    x = np.frombuffer(bits, np.uint8) if isinstance(bits, bytes) else bits
+    return np.bitwise_xor.reduce(x.reshape(-1, size), axis=0)
 
 
 def _frequent_tokens(df: DataFrame, text_col: str, words: int) -> np.ndarray:
@@ -64,6 +74,7 @@ def _frequent_tokens(df: DataFrame, text_col: str, words: int) -> np.ndarray:
     texts = df.where(F.col(text_col).isNotNull() & (F.pmod(F.xxhash64(text_col), F.lit(every)) == 0)).select(F.col(text_col).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("hashes")
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, words).view(np.int64))], ["token"])
@@ -86,7 +97,7 @@ def _may_link(a: np.ndarray, b: np.ndarray, n: np.ndarray, bits: np.ndarray, per
 
 
 def _block_pairs(side: np.ndarray, n: np.ndarray, bits: np.ndarray, label: np.ndarray, percent: int, every: bool) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs of one piece of work that may link and have different labels; unless ``every``, only closest partners if there are many."""
+    """Pairs of one piece of work that may link and have different labels; unless ``every``, a spanning forest if there are many."""
     first = np.flatnonzero(side == 0)
     across = len(first) < len(side)
     second = np.flatnonzero(side == 1) if across else first
@@ -103,10 +114,38 @@ def _block_pairs(side: np.ndarray, n: np.ndarray, bits: np.ndarray, label: np.nd
     a, b, far = map(np.concatenate, (left, right, gap))
     if every or len(a) <= DENSE * len(side):
         return a, b, False
-    who, partner, gaps = np.r_[a, b], np.r_[b, a], np.r_[far, far]
-    order = np.lexsort((partner, gaps, who))
-    best = order[np.r_[True, who[order][1:] != who[order][:-1]]]
-    return np.minimum(who[best], partner[best]), np.maximum(who[best], partner[best]), True
+    chosen = _forest(a, b, far, label)
+    return a[chosen], b[chosen], True
+
+
+def _forest(a: np.ndarray, b: np.ndarray, far: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Which pairs make up a spanning forest of least distances: each component takes its closest pair out, until none is left."""
+    _, part = np.unique(label, return_inverse=True)
+    order = np.argsort(far, kind="stable")
+    u, v, chosen = part[a[order]], part[b[order]], []
+    alive = np.arange(len(order))
+    count = part.max() + 1
+    root = np.arange(count)
+    while len(alive):
+        first = np.full(count, len(order))
+        np.minimum.at(first, u, alive)
+        np.minimum.at(first, v, alive)
+        picked = np.unique(first[first < len(order)])
+        chosen.append(order[picked])
+        x, y = part[a[order[picked]]], part[b[order[picked]]]
+        while True:  # least label over the picked pairs
+            new = root.copy()
+            low = np.minimum(root[x], root[y])
+            np.minimum.at(new, root[x], low)
+            np.minimum.at(new, root[y], low)
+            new = new[new][root]
+            if (new == root).all():
+                break
+            root = new
+        u, v = root[part[a[order[alive]]]], root[part[b[order[alive]]]]
+        alive = alive[u != v]
+        u, v = root[part[a[order[alive]]]], root[part[b[order[alive]]]]
+    return np.sort(np.concatenate(chosen))
 
 
 def _candidates(shared: DataFrame, percent: int, every: bool) -> DataFrame:
@@ -175,17 +214,47 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, p
     """The links (``u, v``) among ``pairs`` (``a, b``) of classes, as far as needed to connect what they connect."""
     spark = pairs.sparkSession
     needed = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select(F.col("b").alias("cls"))).distinct()
-    needed = materialize(needed.join(classes, "cls").select("cls", "doc_id", "digest", "head", "n"), "needed")
+    needed = materialize(needed.join(classes, "cls"), "needed")
     # classes with the same first token stand together, in blocks of bounded size
     heads = needed.groupBy("head").agg(F.ceil(F.count("*") / SET_BLOCK).alias("k"))
     home = needed.join(heads, "head").select("cls", F.xxhash64("head", F.pmod(F.xxhash64("cls"), F.col("k"))).alias("home"))
     home = materialize(home, "home")
-    placed = pairs.join(home.select(F.col("cls").alias("a"), F.col("home").alias("ha")), "a").join(home.select(F.col("cls").alias("b"), F.col("home").alias("hb")), "b")
-    bytes_needed = (needed.agg(F.sum("n")).first()[0] or 0) * 16
-    parts = partitions_for(spark, bytes_needed, 24 << 20)
-    placed = materialize(placed.select("a", "b", F.pmod(F.xxhash64(F.least("ha", "hb"), F.greatest("ha", "hb")), F.lit(parts)).alias("part")), "placed")
+
+    def dealt(pairs: DataFrame, bytes_of: DataFrame) -> DataFrame:
+        """``a, b, part``: pairs of two blocks of classes in one part; parts of a bounded number of bytes."""
+        placed = pairs.join(home.select(F.col("cls").alias("a"), F.col("home").alias("ha")), "a").join(home.select(F.col("cls").alias("b"), F.col("home").alias("hb")), "b")
+        parts = partitions_for(spark, 2 * (bytes_of.first()[0] or 0), 24 << 20)
+        return materialize(placed.select("a", "b", F.pmod(F.xxhash64(F.least("ha", "hb"), F.greatest("ha", "hb")), F.lit(parts)).alias("part")), "placed")
+
+    def shipped(placed: DataFrame, of: DataFrame) -> DataFrame:
+        """The rows of ``of`` (cls, ...) once for each part that they are needed in, as ``at``."""
+        wanted = placed.select(F.col("part").alias("at"), F.col("a").alias("cls")).unionAll(placed.select(F.col("part").alias("at"), F.col("b").alias("cls"))).distinct()
+        return wanted.join(of, "cls")
+
+    def sift(pairs: pd.DataFrame, sketches: pd.DataFrame) -> pd.DataFrame:
+        bits, n = dict(zip(sketches["cls"], sketches["long_sketch"], strict=True)), dict(zip(sketches["cls"], sketches["n"], strict=True))
+        a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
+        size = np.array([min(len(bits[x]), len(bits[y])) for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
+        keep = np.zeros(len(a), bool)
+        for s in np.unique(size):
+            rows = np.flatnonzero(size == s)
+            ids, at = np.unique(np.r_[a[rows], b[rows]], return_inverse=True)
+            table = np.stack([folded(bits[x], int(s)) for x in ids.tolist()]).view(np.uint64)
+            sizes = np.array([n[x] for x in ids.tolist()], np.int64)
+            for k in range(0, len(rows), 4096):
+                part = slice(k, min(k + 4096, len(rows)))
+                keep[rows[part]] = _may_link(at[: len(rows)][part], at[len(rows) :][part], sizes, table, percent)[0]
+        return pd.DataFrame({"u": a[keep], "v": b[keep]})
+
+    placed = dealt(pairs, needed.agg(F.sum(F.length("long_sketch"))))
+    kept = placed.groupBy("part").cogroup(shipped(placed, needed.select("cls", "n", "long_sketch")).groupBy("at")).applyInPandas(sift, "u long, v long")
+    pairs = materialize(kept.select(F.col("u").alias("a"), F.col("v").alias("b")), "sifted")
+    left = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select(F.col("b").alias("cls"))).distinct()
+    needed = materialize(needed.join(left, "cls").select("cls", "doc_id", "digest", "n"), "needed")
+    placed = dealt(pairs, needed.agg(F.sum("n") * 8))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("hashes")
         for batch in batches:
             for s in range(0, batch.num_rows, 256):
                 part = batch.slice(s, 256)
@@ -194,9 +263,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, p
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(mine, pa.int64())), pa.array([found[k].tobytes() for k in mine], pa.binary())], ["cls", "shingles"])
 
     texts = docs.join(needed.select("cls", "doc_id", "digest"), "doc_id").select("cls", "digest", "text").mapInArrow(sets, "cls long, shingles binary")
-    texts = materialize(texts, "sets").dropDuplicates(["cls"])
-    wanted = placed.select("part", F.col("a").alias("cls")).unionAll(placed.select("part", F.col("b").alias("cls"))).distinct()
-    shipped = texts.join(wanted, "cls").select(F.col("part").alias("at"), "cls", "shingles")
+    texts = materialize(texts, "sets")
 
     def compare(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
         known = {c: np.frombuffer(s, np.uint64) for c, s in zip(sets["cls"], sets["shingles"], strict=True)}
@@ -229,7 +296,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, p
                 root[max(ra, rb)] = min(ra, rb)
         return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
 
-    return materialize(placed.groupBy("part").cogroup(shipped.groupBy("at")).applyInPandas(compare, "u long, v long"), "links")
+    return materialize(placed.groupBy("part").cogroup(shipped(placed, texts).groupBy("at")).applyInPandas(compare, "u long, v long"), "links")
 
 
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, percent: int = 90) -> DataFrame:
@@ -240,7 +307,8 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     frequent = spark.sparkContext.broadcast(_frequent_tokens(docs, "text", words))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "digest", "prefix", "sketch"]
+        keep_only("hashes")
+        names = ["doc_id", "n", "digest", "prefix", "sketch", "long_sketch"]
         for batch in batches:
             for s in range(0, batch.num_rows, 256):
                 part = batch.slice(s, 256)
@@ -248,23 +316,24 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
                 for text in part.column(1).to_pylist():
                     x = shingle_set(text, words)
                     size = prefix_length(len(x), percent) if len(x) else 0
-                    rows.append((len(x), digest(x), np.sort(first_order(x, frequent.value))[:size].view(np.int64), sketch(x)))
-                n, digests, prefixes, sketches = zip(*rows, strict=True)
+                    long = sketch(x)
+                    rows.append((len(x), digest(x), np.sort(first_order(x, frequent.value))[:size].view(np.int64), folded(long).tobytes(), long))
+                n, digests, prefixes, short, sketches = zip(*rows, strict=True)
                 ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes))), pa.array(sketches, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes))), pa.array(short, pa.binary()), pa.array(sketches, pa.binary())], names)
 
-    signed = materialize(docs.mapInArrow(sign, f"doc_id {key}, n long, digest binary, prefix array<long>, sketch binary"), "signed")
+    signed = materialize(docs.mapInArrow(sign, f"doc_id {key}, n long, digest binary, prefix array<long>, sketch binary, long_sketch binary"), "signed")
     part = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     classes = signed.where(part).groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     classes = materialize(classes.withColumn("cls", F.monotonically_increasing_id()), "ids")
     reps = signed.where(part).join(classes, ["digest", "doc_id"]).dropDuplicates(["cls"])
-    reps = materialize(reps.select("cls", "doc_id", "digest", "n", "prefix", "sketch", F.col("prefix")[0].alias("head")), "reps")
+    reps = materialize(reps.select("cls", "doc_id", "digest", "n", "prefix", "sketch", "long_sketch", F.col("prefix")[0].alias("head")), "reps")
     postings = reps.select("cls", "n", F.explode("prefix").alias("token"))
     tokens = postings.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     shared = materialize(postings.join(tokens, "token"), "shared")
     sketches = reps.select("cls", "sketch")
     found = materialize(_candidates(shared.join(sketches, "cls").withColumn("label", F.col("cls")), percent, every=False), "first_pairs")
-    bare = reps.select("cls", "doc_id", "digest", "head", "n")
+    bare = reps.select("cls", "doc_id", "digest", "head", "n", "long_sketch")
     links = _verify(found.where("token is null").select("a", "b").distinct(), bare, docs, words, percent)
     dense = materialize(found.where("token is not null").select("token").distinct(), "dense")
     labels = connected_components(links)

@@ -7,9 +7,11 @@ import hashlib
 import numpy as np
 import xxhash
 
+from .common import KEPT
+
 #: Odd multipliers, one for each place in a shingle.
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 
 
 class _Hashes(dict):
@@ -23,6 +25,7 @@ class _Hashes(dict):
 
 
 _hashes = _Hashes()
+KEPT["hashes"] = _hashes.clear
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
