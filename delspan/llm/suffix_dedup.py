@@ -31,13 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, partitions_for
+from .common import keep_only, materialize
 from .shingles import mix
 from .suffix_sorting import permuted_lcp, suffix_array
 
 LENGTH, GRAM = 400, 32
-SHARD_BYTES = 1_500_000
-CHUNK_BYTES = 1_000_000
+SHARD_BYTES = 1_000_000
+CHUNK_BYTES = 500_000
 #: A string named by more classes than this is dealt by the common part of each ``PART`` windows.
 CROWDED, PART = 1_024, 32
 SEPARATOR, END = 0xFF, 0xFE  # bytes that UTF-8 never has
@@ -121,7 +121,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     key_type = dict(docs.dtypes)["doc_id"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "tk", "n", "key", "segment", "first", "windows", "place", "copies"]
+        keep_only()
+        names = ["doc_id", "tk", "n", "key", "segment", "windows", "place", "copies", "firsts"]
         for batch in batches:
             for s in range(0, batch.num_rows, 1024):
                 part = batch.slice(s, 1024)
@@ -135,18 +136,25 @@ def repeats(docs: DataFrame) -> DataFrame:
                 text, first, windows, place, key, segment = runs(texts)
                 if not len(text):
                     continue
+                # equal runs of one text, as in text that goes round in circles, are one row
+                order = np.lexsort((first, place, windows, segment, key, text))
+                text, first, windows, place, key, segment = (x[order] for x in (text, first, windows, place, key, segment))
+                new = np.r_[True, (text[1:] != text[:-1]) | (key[1:] != key[:-1]) | (segment[1:] != segment[:-1]) | (windows[1:] != windows[:-1]) | (place[1:] != place[:-1])]
+                at = np.flatnonzero(new)
+                ends = np.r_[at, len(first)].astype(np.int32)
+                firsts = pa.ListArray.from_arrays(pa.array(ends), pa.array(first.astype(np.int32)))
+                text, windows, place, key, segment = (x[at] for x in (text, windows, place, key, segment))
                 row = pa.array(np.array(which)[text])
                 sizes, times = np.array([len(t) for t in texts], np.int64), np.array([len(r) for r in copies.values()], np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(row), part.column(1).take(row), pa.array(sizes[text]), pa.array(key), pa.array(segment), *(pa.array(x.astype(np.int32)) for x in (first, windows, place)), pa.array(times[text])],
+                    [part.column(0).take(row), part.column(1).take(row), pa.array(sizes[text]), pa.array(key), pa.array(segment), *(pa.array(x.astype(np.int32)) for x in (windows, place)), pa.array(times[text] * np.diff(ends)), firsts],
                     names,
                 )
 
-    found = docs.mapInArrow(find, f"doc_id {key_type}, tk long, n long, key long, segment long, first int, windows int, place int, copies long")
+    found = docs.mapInArrow(find, f"doc_id {key_type}, tk long, n long, key long, segment long, windows int, place int, copies long, firsts array<int>")
     found = materialize(found, "runs")
     same = ["key", "segment", "windows", "place"]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    classes = found.repartition(parts, "key").groupBy(*same).agg(F.sum("copies").alias("copies"), F.min(F.struct("doc_id", "tk", "first")).alias("at"))
+    classes = found.groupBy(*same).agg(F.sum("copies").alias("copies"), F.min(F.struct("doc_id", "tk", F.col("firsts")[0].alias("first"))).alias("at"))
     of_key = Window.partitionBy("key")
     classes = classes.withColumn("all", F.sum("copies").over(of_key)).where(F.col("all") > 1).withColumn("classes", F.count("*").over(of_key))
     classes = materialize(classes.select(*same, "copies", "classes", "at.*"), "classes")
@@ -189,6 +197,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     pieces = texts.mapInArrow(cut, "shard long, key long, segment long, windows int, place int, begin int, bytes binary")
 
     def sort(shard: pd.DataFrame) -> pd.DataFrame:
+        keep_only()
         shard = shard.drop_duplicates([*same, "begin"])  # repeated rows of one document bring their segments twice
         out = []
         marks = repeated_windows(shard["bytes"].tolist())
@@ -199,7 +208,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     marks = pieces.groupBy("shard").applyInPandas(sort, "key long, segment long, windows int, place int, low int, high int")
     alone = classes.where("copies > 1").select(*same, F.lit(0).alias("low"), (F.col("windows") - 1).alias("high"))
     marks = materialize(marks.join(classes.where("copies > 1"), same, "left_anti").select(*same, "low", "high").unionByName(alone), "marks")
-    spans = found.join(marks, same).select("tk", "n", F.struct((F.col("first") + F.col("low")).alias("a"), (F.col("first") + F.col("high") + LENGTH).alias("b")).alias("span"))
+    spans = found.join(marks, same).select("tk", "n", F.explode("firsts").alias("first"), "low", "high").select("tk", "n", F.struct((F.col("first") + F.col("low")).alias("a"), (F.col("first") + F.col("high") + LENGTH).alias("b")).alias("span"))
     return materialize(spans.groupBy("tk", "n").agg(F.collect_set("span").alias("spans")), "spans")
 
 
@@ -253,17 +262,24 @@ def drop_repeats(df: DataFrame, text_col: str = "text", length_col: str = "n_cha
     Cut characters are dropped with the passage; ``length_col``, if there is one, becomes the new number of characters.
     """
     found = without_repeats(df).where((F.size("spans") == 0) | (F.octet_length("kept") > 0))
-    text = F.when(F.size("spans") == 0, F.col(f"row.{text_col}")).otherwise(F.regexp_replace(F.decode(F.col("kept"), "utf-8"), "�", ""))
-    out = found.select("row.*", "spans", text.alias("__new_text"))
+
+    @F.pandas_udf("string")
+    def whole_characters(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([None if kept is None else kept.decode("utf-8", "ignore") for kept in batch])
+
+    text = F.when(F.size("spans") == 0, F.col(f"row.{text_col}")).otherwise(whole_characters(F.when(F.size("spans") > 0, F.col("kept"))))
+    found = found.withColumn("new_text", text)
     cols = []
     for c in df.columns:
+        own = F.col("row").getField(c)
         if c == text_col:
-            cols.append(F.col("__new_text").alias(c))
+            cols.append(F.col("new_text").alias(c))
         elif c == length_col:
-            cols.append(F.when(F.size("spans") == 0, F.col(c)).otherwise(F.length("__new_text").cast(dict(df.dtypes)[c])).alias(c))
+            cols.append(F.when(F.size("spans") == 0, own).otherwise(F.length("new_text").cast(dict(df.dtypes)[c])).alias(c))
         else:
-            cols.append(F.col(c))
-    return out.select(*cols)
+            cols.append(own.alias(c))
+    return found.select(*cols)
 
 
 def brute_force(texts: list[str | None], length: int = LENGTH) -> list[tuple[int, int, int, str]]:
