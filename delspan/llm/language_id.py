@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import KEPT, keep_only
+
 DIMENSIONS, OTHER, SEED, TRAIN_DOCS = 1024, 13, 5, 20_000
 LETTERS = 27 + OTHER
 UNKNOWN = "und"
@@ -63,9 +65,11 @@ class Profiles:
 
 
 _profiles: list[Profiles] = []
+KEPT["profiles"] = _profiles.clear
 
 
 def profiles() -> Profiles:
+    keep_only("profiles")
     if not _profiles:
         _profiles.append(Profiles())
     return _profiles[0]

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import KEPT, keep_only
+
 codecs.register_error("replace-each-byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
 SPACE = "▁"
 NORMAL, BYTE = 1, 6
@@ -258,6 +260,7 @@ class PieceModel:
 
 
 _loaded: dict[str, PieceModel] = {}
+KEPT["pieces"] = _loaded.clear
 
 
 def load(path: str) -> PieceModel:
@@ -278,6 +281,7 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     path = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("pieces")
         bpe = load(path)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)

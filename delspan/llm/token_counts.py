@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import KEPT, keep_only
 from .sentencepiece_bpe import SPACE, default_model, load
 
 TABLE_SIZE = 1 << 16
@@ -77,6 +78,7 @@ class Counts:
 
 
 _loaded: dict[str, Counts] = {}
+KEPT["counts"] = _loaded.clear
 
 
 def counter(path: str) -> Counts:
@@ -109,6 +111,7 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table = df.sparkSession.sparkContext.broadcast(frequent_table(df, text_col, path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("counts", "pieces")
         counts, frequent = counter(path), table.value
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
