@@ -93,7 +93,8 @@ def pileup(reads: DataFrame, windows: DataFrame, options: PileupOptions = Pileup
     kept = reads.where(~has_flag(options.exclude_flags))
     if options.ignore_orphans:
         kept = kept.where(~(has_flag(PAIRED) & ~has_flag(PROPER)))
-    pairs = reads_in_windows(kept, windows)
+    # dealt by window before positions are expanded: no later step by window, or by window and position, shuffles the many rows again
+    pairs = reads_in_windows(kept, windows).repartition("window_id")
     ops = F.filter("ops", lambda o: o["op"].isin(*ALIGNED) & (o["r"] < F.col("end")) & (o["r"] + o["len"] > F.col("start")))
     rows = pairs.withColumn("o", F.explode(ops)).withColumn("pos", F.explode(F.sequence(F.greatest("o.r", "start"), F.least(F.col("o.r") + F.col("o.len"), "end") - 1)))
     rows = rows.withColumn("qpos", F.col("o.q") + F.col("pos") - F.col("o.r")).withColumn("quality", quality_at(F.col("qpos"))).where(F.col("quality") >= options.min_base_quality)
