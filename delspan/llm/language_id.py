@@ -22,8 +22,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,13 +40,25 @@ class Profiles:
     def __init__(self) -> None:
         rng = np.random.default_rng(SEED)
         letter = rng.integers(0, 2, (LETTERS, DIMENSIONS), dtype=np.int8) * 2 - 1
-        first, second = np.roll(letter, 2, axis=1), np.roll(letter, 1, axis=1)
-        self.grams = (first[:, None, None, :] * second[None, :, None, :] * letter[None, None, :, :]).reshape(-1, DIMENSIONS)
+        self.letters = np.roll(letter, 2, axis=1), np.roll(letter, 1, axis=1), letter
+        #: Vectors of the trigrams met so far, and each trigram's row among them.
+        self.grams = np.zeros((0, DIMENSIONS), np.int8)
+        self.row = np.full(LETTERS**3, -1, np.int32)
         self.code = np.zeros(0x110000, np.uint8)
         for c in range(0x110000):
             if chr(c).isalpha():
                 self.code[c] = c - 96 if 97 <= c <= 122 else 27 + (c * 2654435761 >> 7) % OTHER
 
+    def bind(self, grams: np.ndarray) -> np.ndarray:
+        """The rows of these trigrams' vectors, made where they are missing."""
+        new = grams[self.row[grams] < 0]
+        if len(new):
+            a, b, c = self.letters
+            made = a[new // LETTERS**2] * b[new // LETTERS % LETTERS] * c[new % LETTERS]
+            self.row[new] = np.arange(len(self.grams), len(self.grams) + len(new))
+            self.grams = np.concatenate([self.grams, made])
+        return self.row[grams]
+
     def profile(self, text: str | None) -> np.ndarray | None:
         """The bundle of a text's trigrams; None if it has no letter."""
         codes = self.code[np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -58,9 +70,10 @@ class Profiles:
         counts = np.bincount(grams)
         seen = np.flatnonzero(counts)
         out = np.zeros(DIMENSIONS, np.float32)
-        for s in range(0, len(seen), 8192):
-            part = seen[s : s + 8192]
-            out += np.sqrt(counts[part]).astype(np.float32) @ self.grams[part].astype(np.float32)
+        for s in range(0, len(seen), 1024):
+            part = seen[s : s + 1024]
+            rows = self.bind(part)
+            out += np.sqrt(counts[part]).astype(np.float32) @ self.grams[rows].astype(np.float32)
         return out
 
 
@@ -88,8 +101,8 @@ def learn(df: DataFrame, text_col: str, label_col: str, train_docs: int = TRAIN_
         own = profiles()
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                p = own.profile(text)
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                p = own.profile(text.as_py())
                 if p is not None and p.any():
                     sums[label] = sums.get(label, 0) + p / np.linalg.norm(p).astype(np.float64)
         if sums:
@@ -98,7 +111,7 @@ def learn(df: DataFrame, text_col: str, label_col: str, train_docs: int = TRAIN_
     parts = rows.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text")).mapInArrow(bundle, "label string, v array<double>")
     found = parts.select("label", F.posexplode("v").alias("k", "x")).groupBy("label", "k").agg(F.sum("x").alias("x")).groupBy("label").agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("v")).orderBy("label").collect()
     labels = [r.label for r in found]
-    vectors = np.array([[x for _, x in r.v] for r in found]).reshape(len(labels), -1)
+    vectors = np.array([[x for _, x in r.v] for r in found]).reshape(len(labels), DIMENSIONS)
     return labels, (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).round(9) if labels else vectors
 
 
@@ -106,7 +119,7 @@ def _predictor(labels: list[str], plain: np.ndarray):
     """text -> (label, score)"""
     own = profiles()
     mean = plain.mean(axis=0) if len(labels) > 1 else np.zeros(DIMENSIONS)
-    apart = (plain - mean).reshape(len(labels), -1)
+    apart = plain - mean
     apart = apart / np.maximum(np.linalg.norm(apart, axis=1, keepdims=True), 1e-12)
 
     def predict(text: str | None) -> tuple[str, float]:
@@ -120,25 +133,32 @@ def _predictor(labels: list[str], plain: np.ndarray):
     return predict
 
 
-def with_language(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """The rows of ``df`` as the struct ``row``, with ``held_out, lang_pred, score``."""
-    shared = df.sparkSession.sparkContext.broadcast(learn(df.where(~held_out(F.col(id_col))), text_col, label_col, train_docs))
+def _learned(df: DataFrame, id_col: str, text_col: str, label_col: str, train_docs: int) -> Broadcast:
+    return df.sparkSession.sparkContext.broadcast(learn(df.where(~held_out(F.col(id_col))), text_col, label_col, train_docs))
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        of = _predictor(*shared.value)
-        for texts in batches:
-            yield pd.DataFrame([of(t) for t in texts], columns=["lang_pred", "score"])
 
-    return df.select(F.struct(*df.columns).alias("row"), held_out(F.col(id_col)).alias("held_out"), predict(F.col(text_col)).alias("p")).select("row", "held_out", "p.lang_pred", "p.score")
+def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", train_docs: int = TRAIN_DOCS) -> DataFrame:
+    """``doc_id, held_out, lang_pred, score`` for each row."""
+    shared = _learned(df, id_col, text_col, label_col, train_docs)
 
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = _predictor(*shared.value)
+        for batch in batches:
+            found = [of(text.as_py()) for text in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-def identify(df: DataFrame, **options) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` for each row."""
-    names = [options.get(n, d) for n, d in (("id_col", "doc_id"), ("text_col", "text"), ("label_col", "lang"))]
-    return with_language(df.select(*dict.fromkeys(names)), **options).select(F.col(f"row.{names[0]}").alias("doc_id"), "held_out", "lang_pred", "score")
+    rows = df.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(predict, f"doc_id {dict(df.dtypes)[id_col]}, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(df: DataFrame, **options) -> DataFrame:
+def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", train_docs: int = TRAIN_DOCS) -> DataFrame:
     """The rows of ``df`` for which a language was found, as they are."""
-    return with_language(df, **options).where(F.col("lang_pred") != UNKNOWN).select("row.*")
+    shared = _learned(df, id_col, text_col, label_col, train_docs)
+    at = df.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = _predictor(*shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array([of(text.as_py())[0] != UNKNOWN for text in batch.column(at)], pa.bool_()))
+
+    return df.mapInArrow(keep, df.schema)

@@ -40,8 +40,8 @@ def chunk_pattern(odd: str = "") -> re.Pattern:
 
 #: The same cut before spaces only, for vocabularies whose pieces mix letters and other characters.
 CHUNK_AT_SPACES = re.compile(rf"{SPACE}*(?:[^{SPACE}]+|$)")
-CACHE_CHUNKS = 250_000
-CACHE_PAIRS = 1_000_000
+CACHE_CHUNKS = 100_000
+CACHE_PAIRS = 300_000
 OUT_CHARS = 2_000_000
 
 
