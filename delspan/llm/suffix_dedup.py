@@ -8,7 +8,9 @@ least. Equal windows name the same string at the same offset, so windows can be
 Consecutive windows that name one place form a *run*; its bytes are a segment that holds exactly these windows whole. What travels first
 are hashes of segments, not bytes. Equal segments are one class; a class of two or more is repeated as a whole, however many copies
 it has, and its copies are not expanded. Only where different segments name the same string are their bytes cut
-out, once for each class, and dealt into shards of about ``SHARD_BYTES``; a string that very many classes name is dealt by larger common parts.
+out, once for each class, and dealt into shards of about ``SHARD_BYTES``. A string that more than ``CROWDED`` classes name would make a shard
+of any size; the windows of its classes are counted by (string, offset, hash of the window) instead, ``PART`` neighbours at a time first, so that equal
+bytes are one row before they are dealt and no group of rows is held by a task.
 
 In each shard the segments, with a separator after each, are sorted by induced sorting (:mod:`suffix_sorting`), and a
 window is repeated if it shares ``LENGTH`` bytes with the suffix before or after it, by the permuted longest common prefixes.
@@ -29,7 +31,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import keep_only, materialize
 from .shingles import mix
@@ -38,7 +39,7 @@ from .suffix_sorting import permuted_lcp, suffix_array
 LENGTH, GRAM = 400, 32
 SHARD_BYTES = 1_000_000
 CHUNK_BYTES = 500_000
-#: A string named by more classes than this is dealt by the common part of each ``PART`` windows.
+#: The windows of a string named by more classes than this are counted by their hashes, in pieces of ``PART`` windows.
 CROWDED, PART = 1_024, 32
 SEPARATOR, END = 0xFF, 0xFE  # bytes that UTF-8 never has
 BYTE_HASH = mix(np.arange(256, dtype=np.uint64), 77)
@@ -115,6 +116,51 @@ def repeated_windows(segments: list[bytes]) -> list[tuple[np.ndarray, np.ndarray
     return [_intervals(flags[b : b + n - LENGTH + 1]) for b, n in zip(begins, sizes, strict=True)]
 
 
+def _crowded_marks(texts: DataFrame) -> DataFrame:
+    """``key, segment, windows, place, low, high``: the windows that stand in two classes or more. texts: text, cuts (classes to cut out of it)."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
+        names = ["key", "segment", "windows", "place", "low", "far", "piece", "hashes"]
+        types = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.list_(pa.int64())]
+
+        def flush(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+        for batch in batches:
+            rows = []
+            for text, cuts in zip(batch.column(0), batch.column(1), strict=True):
+                raw = memoryview(text.as_py().encode())
+                for c in cuts.as_py():
+                    windows, place, first = c["windows"], c["place"], c["first"]
+                    own = np.fromiter((xxhash.xxh3_64_intdigest(raw[w : w + LENGTH]) for w in range(first, first + windows)), np.uint64, windows).view(np.int64)
+                    # windows by how far before the named place they start, PART at a time
+                    for band in range((place - windows + 1) // PART, place // PART + 1):
+                        low, high = max(0, place - band * PART - PART + 1), min(windows - 1, place - band * PART)
+                        hashes = own[low : high + 1]
+                        piece = int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).view(np.int64))
+                        rows.append((c["key"], c["segment"], windows, place, low, place - low, piece, hashes))
+                if len(rows) >= 8192:
+                    yield flush(rows)
+                    rows = []
+            if rows:
+                yield flush(rows)
+
+    same = ["key", "segment", "windows", "place"]
+    of = ["key", "far", "piece"]
+    pieces = texts.mapInArrow(hashed, "key long, segment long, windows int, place int, low int, far int, piece long, hashes array<long>")
+    pieces = materialize(pieces.dropDuplicates([*same, "low"]), "pieces")  # repeated rows of one document bring their classes twice
+    kinds = materialize(pieces.groupBy(*of).agg(F.count("*").alias("times"), F.min("hashes").alias("hashes")), "kinds")
+    windows = kinds.select(*of, "times", F.posexplode("hashes").alias("k", "hash")).withColumn("offset", F.col("far") - F.col("k"))
+    at = ["key", "offset", "hash"]
+    repeated = windows.groupBy(*at).agg(F.count("*").alias("n")).where("n > 1").select(*at)
+    shared = windows.where("times = 1").join(repeated, at).groupBy(*of).agg(F.collect_list("k").alias("ks"))
+    edge = lambda step: F.sort_array(F.filter("ks", lambda k: ~F.array_contains("ks", k + step)))
+    shared = shared.select(*of, F.explode(F.arrays_zip(edge(-1).alias("a"), edge(1).alias("b"))).alias("span")).select(*of, "span.a", "span.b")
+    whole = kinds.where("times > 1").select(*of, F.lit(0).alias("a"), (F.size("hashes") - 1).alias("b"))
+    return pieces.select(*same, "low", *of[1:]).join(whole.unionByName(shared), of).select(*same, (F.col("low") + F.col("a")).alias("low"), (F.col("low") + F.col("b")).alias("high"))
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """``tk, n, spans``: for each text (``tk``: its hash, ``n``: its bytes) with repeats, the byte ranges they cover. docs: doc_id, tk, text."""
     spark = docs.sparkSession
@@ -155,18 +201,20 @@ def repeats(docs: DataFrame) -> DataFrame:
     found = materialize(found, "runs")
     same = ["key", "segment", "windows", "place"]
     classes = found.groupBy(*same).agg(F.sum("copies").alias("copies"), F.min(F.struct("doc_id", "tk", F.col("firsts")[0].alias("first"))).alias("at"))
-    of_key = Window.partitionBy("key")
-    classes = classes.withColumn("all", F.sum("copies").over(of_key)).where(F.col("all") > 1).withColumn("classes", F.count("*").over(of_key))
-    classes = materialize(classes.select(*same, "copies", "classes", "at.*"), "classes")
-    several = classes.where("classes > 1")
+    classes = materialize(classes, "all_classes")
+    of_key = classes.groupBy("key").agg(F.sum("copies").alias("all"), F.count("*").alias("classes")).where(F.col("all") > 1)
+    classes = materialize(classes.join(of_key.select("key", "classes"), "key").select(*same, "copies", "classes", "at.*"), "classes")
+    several, crowded = classes.where(F.col("classes").between(2, CROWDED)), classes.where(F.col("classes") > CROWDED)
     bytes_in = several.agg(F.sum(F.col("windows") + LENGTH)).first()[0] or 0
     shards = bytes_in // SHARD_BYTES + 1
-    wanted = several.groupBy("doc_id", "tk").agg(F.collect_list(F.struct(*same, "first", (F.col("classes") > CROWDED).alias("crowded"))).alias("cuts"))
-    texts = docs.join(wanted.select(F.col("doc_id").alias("of"), F.col("tk").alias("tk2"), "cuts"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tk") == F.col("tk2"))).select("text", "cuts")
+
+    def with_cuts(of: DataFrame) -> DataFrame:
+        wanted = of.groupBy("doc_id", "tk").agg(F.collect_list(F.struct(*same, "first")).alias("cuts"))
+        return docs.join(wanted.select(F.col("doc_id").alias("of"), F.col("tk").alias("tk2"), "cuts"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tk") == F.col("tk2"))).select("text", "cuts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["shard", *same, "begin", "bytes"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+        names = ["shard", *same, "bytes"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
         def flush(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
@@ -176,36 +224,29 @@ def repeats(docs: DataFrame) -> DataFrame:
             for text, cuts in zip(batch.column(0), batch.column(1), strict=True):
                 raw = text.as_py().encode()
                 for c in cuts.as_py():
-                    key, windows, place, first = c["key"], c["windows"], c["place"], c["first"]
-                    own = (key, c["segment"], windows, place)
-                    if not c["crowded"]:
-                        rows.append((key % shards, *own, 0, raw[first : first + windows + LENGTH - 1]))
-                        held += windows + LENGTH
-                        continue
-                    # windows by how far before the named place they start, PART at a time: they share all bytes but PART - 1 at either end
-                    for band in range((place - windows + 1) // PART, place // PART + 1):
-                        low, high = max(0, place - band * PART - PART + 1), min(windows - 1, place - band * PART)
-                        core = raw[first + place - band * PART : first + place - band * PART - PART + 1 + LENGTH]
-                        rows.append((xxhash.xxh3_64_intdigest(core, seed=band) % shards, *own, low, raw[first + low : first + high + LENGTH]))
-                        held += high - low + LENGTH
+                    key, windows, first = c["key"], c["windows"], c["first"]
+                    rows.append((key % shards, key, c["segment"], windows, c["place"], raw[first : first + windows + LENGTH - 1]))
+                    held += windows + LENGTH
                 if held >= 4 << 20:
                     yield flush(rows)
                     rows, held = [], 0
             if rows:
                 yield flush(rows)
 
-    pieces = texts.mapInArrow(cut, "shard long, key long, segment long, windows int, place int, begin int, bytes binary")
+    pieces = with_cuts(several).mapInArrow(cut, "shard long, key long, segment long, windows int, place int, bytes binary")
 
     def sort(shard: pd.DataFrame) -> pd.DataFrame:
         keep_only()
-        shard = shard.drop_duplicates([*same, "begin"])  # repeated rows of one document bring their segments twice
+        shard = shard.drop_duplicates(same)  # repeated rows of one document bring their segments twice
         out = []
         marks = repeated_windows(shard["bytes"].tolist())
-        for own, (low, high) in zip(shard[[*same, "begin"]].itertuples(index=False), marks, strict=True):
-            out += [(*own[:4], own[4] + a, own[4] + b) for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+        for own, (low, high) in zip(shard[same].itertuples(index=False), marks, strict=True):
+            out += [(*own, a, b) for a, b in zip(low.tolist(), high.tolist(), strict=True)]
         return pd.DataFrame(out, columns=[*same, "low", "high"]).astype("int64")
 
     marks = pieces.groupBy("shard").applyInPandas(sort, "key long, segment long, windows int, place int, low int, high int")
+    if not crowded.isEmpty():
+        marks = marks.unionByName(_crowded_marks(with_cuts(crowded)))
     alone = classes.where("copies > 1").select(*same, F.lit(0).alias("low"), (F.col("windows") - 1).alias("high"))
     marks = materialize(marks.join(classes.where("copies > 1"), same, "left_anti").select(*same, "low", "high").unionByName(alone), "marks")
     spans = found.join(marks, same).select("tk", "n", F.explode("firsts").alias("first"), "low", "high").select("tk", "n", F.struct((F.col("first") + F.col("low")).alias("a"), (F.col("first") + F.col("high") + LENGTH).alias("b")).alias("span"))

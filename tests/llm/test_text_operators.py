@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
 
 from delspan.llm import language_id, mixing, ngram_join, sentencepiece_bpe, suffix_dedup, suffix_sorting, token_counts
 from delspan.llm.queries import ORACLES, QUERIES
@@ -178,6 +179,25 @@ def test_repeats_equal_brute_force(spark, monkeypatch):
     assert sorted(tuple(r)[1:] for r in null_ids) == sorted(want)
 
 
+def test_crowded_passage_makes_no_large_shard(spark, monkeypatch):
+    rng = random.Random(16)
+    passage = sentence(rng, 100, 10_000)
+    texts = [f"{sentence(rng, 40, 10**6)} {passage} {sentence(rng, 40, 10**6)}" for _ in range(60)]
+    largest = []
+    plain = PandasGroupedOpsMixin.applyInPandas
+
+    def spied(self, *args, **kwargs):
+        largest.append(self._df.groupBy("shard").count().agg(F.max("count")).first()[0] or 0)
+        return plain(self, *args, **kwargs)
+
+    monkeypatch.setattr(PandasGroupedOpsMixin, "applyInPandas", spied)
+    monkeypatch.setattr(suffix_dedup, "CROWDED", 8)
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 100)
+    found = suffix_dedup.removal_digests(docs(spark, texts)).collect()
+    assert [tuple(r)[1:] for r in sorted(found, key=lambda r: r.doc_id)] == suffix_dedup.brute_force(texts)
+    assert largest and max(largest) < 30
+
+
 def test_repeats_query(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
     want = suffix_dedup.brute_force([r.text for r in rows])
