@@ -12,7 +12,8 @@ The sample only chooses an order: any order is exact.
   second round takes all pairs of such blocks whose classes the first round's links didn't connect. So every pair that can link is either verified or
   already in one component, and pairs are never emitted with the square of a group's size.
 * Pairs are sifted by parity sketches as long as the sets need before any set travels. Sketches and sets travel to the pairs' tasks once
-  for each pair of blocks of documents, not once for each pair.
+  for each pair of blocks of documents, not once for each pair. Classes stand in blocks by the token of their prefix that most classes share, at
+  most about ``SET_BLOCK`` classes and ``SET_BYTES`` bytes to a block; parts are counted from what travels, and a pair of large blocks is a part of its own.
 
 Defined results: documents without words, or null texts, have no shingles and link with nothing; equal shorter texts link
 through their one shingle; a null id links with nothing and has a null component; repeated rows have the same
@@ -36,7 +37,8 @@ from .shingles import digest, mix, shingle_set
 ORDERS = 2
 SAMPLE_DOCS, FREQUENT = 8_192, 1 << 18
 BLOCK, SMALL, DENSE = 2_048, 24, 4
-SET_BLOCK = 1_024
+SET_BLOCK, SET_BYTES = 1_024, 6 << 20
+PART_BYTES = 24 << 20
 LAST = np.uint64(1 << 63)
 
 
@@ -210,21 +212,30 @@ def _candidates(shared: DataFrame, percent: int, every: bool) -> DataFrame:
     return work.mapInArrow(run, "a long, b long, token long")
 
 
+def _loads(placed: DataFrame, of: DataFrame) -> DataFrame:
+    """``pair, bytes``: the bytes of the classes that the pairs ``a, b`` of each pair of blocks need, each once. of: cls, bytes"""
+    wanted = placed.select("pair", F.col("a").alias("cls")).unionAll(placed.select("pair", F.col("b").alias("cls"))).distinct()
+    return materialize(wanted.join(of, "cls").groupBy("pair").agg(F.sum("bytes").alias("bytes")), "loads")
+
+
 def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The links (``u, v``) among ``pairs`` (``a, b``) of classes, as far as needed to connect what they connect."""
     spark = pairs.sparkSession
     needed = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select(F.col("b").alias("cls"))).distinct()
     needed = materialize(needed.join(classes, "cls"), "needed")
-    # classes with the same first token stand together, in blocks of bounded size
-    heads = needed.groupBy("head").agg(F.ceil(F.count("*") / SET_BLOCK).alias("k"))
+    # classes with the same most shared token stand together, in blocks of bounded size
+    heads = needed.groupBy("head").agg(F.ceil(F.greatest(F.count("*") / SET_BLOCK, F.sum("n") * 8 / SET_BYTES)).alias("k"))
     home = needed.join(heads, "head").select("cls", F.xxhash64("head", F.pmod(F.xxhash64("cls"), F.col("k"))).alias("home"))
     home = materialize(home, "home")
 
-    def dealt(pairs: DataFrame, bytes_of: DataFrame) -> DataFrame:
-        """``a, b, part``: pairs of two blocks of classes in one part; parts of a bounded number of bytes."""
+    def dealt(pairs: DataFrame, of: DataFrame) -> DataFrame:
+        """``a, b, part``: pairs of two blocks of classes in one part; parts of a bounded number of bytes. of: cls, bytes"""
         placed = pairs.join(home.select(F.col("cls").alias("a"), F.col("home").alias("ha")), "a").join(home.select(F.col("cls").alias("b"), F.col("home").alias("hb")), "b")
-        parts = partitions_for(spark, 2 * (bytes_of.first()[0] or 0), 24 << 20)
-        return materialize(placed.select("a", "b", F.pmod(F.xxhash64(F.least("ha", "hb"), F.greatest("ha", "hb")), F.lit(parts)).alias("part")), "placed")
+        placed = materialize(placed.select("a", "b", F.xxhash64(F.least("ha", "hb"), F.greatest("ha", "hb")).alias("pair")), "paired")
+        loads = _loads(placed, of)
+        parts = partitions_for(spark, loads.agg(F.sum("bytes")).first()[0] or 0, PART_BYTES)
+        part = F.when(F.col("bytes") * 4 > PART_BYTES, F.col("pair")).otherwise(F.pmod("pair", F.lit(parts)))
+        return materialize(placed.join(loads, "pair").select("a", "b", part.alias("part")), "placed")
 
     def shipped(placed: DataFrame, of: DataFrame) -> DataFrame:
         """The rows of ``of`` (cls, ...) once for each part that they are needed in, as ``at``."""
@@ -246,12 +257,12 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, p
                 keep[rows[part]] = _may_link(at[: len(rows)][part], at[len(rows) :][part], sizes, table, percent)[0]
         return pd.DataFrame({"u": a[keep], "v": b[keep]})
 
-    placed = dealt(pairs, needed.agg(F.sum(F.length("long_sketch"))))
+    placed = dealt(pairs, needed.select("cls", F.length("long_sketch").alias("bytes")))
     kept = placed.groupBy("part").cogroup(shipped(placed, needed.select("cls", "n", "long_sketch")).groupBy("at")).applyInPandas(sift, "u long, v long")
     pairs = materialize(kept.select(F.col("u").alias("a"), F.col("v").alias("b")), "sifted")
     left = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select(F.col("b").alias("cls"))).distinct()
     needed = materialize(needed.join(left, "cls").select("cls", "doc_id", "digest", "n"), "needed")
-    placed = dealt(pairs, needed.agg(F.sum("n") * 8))
+    placed = dealt(pairs, needed.select("cls", (F.col("n") * 8).alias("bytes")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_only("hashes")
@@ -327,18 +338,20 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     classes = signed.where(part).groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     classes = materialize(classes.withColumn("cls", F.monotonically_increasing_id()), "ids")
     reps = signed.where(part).join(classes, ["digest", "doc_id"]).dropDuplicates(["cls"])
-    reps = materialize(reps.select("cls", "doc_id", "digest", "n", "prefix", "sketch", "long_sketch", F.col("prefix")[0].alias("head")), "reps")
+    reps = materialize(reps.select("cls", "doc_id", "digest", "n", "prefix", "sketch", "long_sketch"), "reps")
     postings = reps.select("cls", "n", F.explode("prefix").alias("token"))
-    tokens = postings.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    tokens = postings.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token", "m", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     shared = materialize(postings.join(tokens, "token"), "shared")
     sketches = reps.select("cls", "sketch")
-    found = materialize(_candidates(shared.join(sketches, "cls").withColumn("label", F.col("cls")), percent, every=False), "first_pairs")
-    bare = reps.select("cls", "doc_id", "digest", "head", "n", "long_sketch")
+    found = materialize(_candidates(shared.drop("m").join(sketches, "cls").withColumn("label", F.col("cls")), percent, every=False), "first_pairs")
+    # a class whose tokens no other class has is in no pair
+    most = shared.groupBy("cls").agg(F.max(F.struct("m", "token")).alias("most")).select("cls", F.col("most.token").alias("head"))
+    bare = materialize(reps.select("cls", "doc_id", "digest", "n", "long_sketch").join(most, "cls"), "bare")
     links = _verify(found.where("token is null").select("a", "b").distinct(), bare, docs, words, percent)
     dense = materialize(found.where("token is not null").select("token").distinct(), "dense")
     labels = connected_components(links)
     if dense.count():
-        again = shared.join(dense, "token").join(sketches, "cls").join(labels.select(F.col("id").alias("cls"), F.col("component_id").alias("label")), "cls", "left")
+        again = shared.drop("m").join(dense, "token").join(sketches, "cls").join(labels.select(F.col("id").alias("cls"), F.col("component_id").alias("label")), "cls", "left")
         again = again.withColumn("label", F.coalesce("label", "cls"))
         rest = _candidates(again, percent, every=True).select("a", "b").distinct()
         more = _verify(materialize(rest, "second_pairs"), bare, docs, words, percent)

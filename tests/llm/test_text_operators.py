@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps, PandasGroupedOpsMixin
 
 from delspan.llm import language_id, mixing, ngram_join, sentencepiece_bpe, suffix_dedup, suffix_sorting, token_counts
 from delspan.llm.queries import ORACLES, QUERIES
@@ -254,6 +254,28 @@ def test_similar_equals_brute_force(spark, monkeypatch, words, percent):
     assert sorted(r.doc_id for r in kept.collect()) == [i for i, (_, c) in enumerate(want) if c == i] and len(kept.columns) == 9
 
 
+def test_parts_of_near_copies_are_bounded(spark, monkeypatch):
+    limit, largest = 20_000, []
+    plain, parts = PandasCogroupedOps.applyInPandas, ngram_join.partitions_for
+
+    def spied(self, *args, **kwargs):
+        sent = self._gd2._df
+        if "shingles" in sent.columns:
+            largest.append(sent.groupBy("at").agg(F.sum(F.octet_length("shingles")).alias("n")).agg(F.max("n")).first()[0] or 0)
+        return plain(self, *args, **kwargs)
+
+    monkeypatch.setattr(PandasCogroupedOps, "applyInPandas", spied)
+    monkeypatch.setattr(ngram_join, "partitions_for", lambda spark, n, target: parts(spark, n, limit))
+    monkeypatch.setattr(ngram_join, "PART_BYTES", limit, raising=False)
+    monkeypatch.setattr(ngram_join, "SET_BYTES", limit // 4, raising=False)
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "SMALL", 4)
+    texts = family(random.Random(18), 80, 120, 2)
+    got = ngram_join.similar(docs(spark, texts)).collect()
+    assert [tuple(r)[1:] for r in sorted(got, key=lambda r: r.doc_id)] == brute_components(texts, 3, 90)
+    assert largest and max(largest) < 1.5 * limit, largest
+
+
 def test_similar_odd_tables(spark):
     assert ngram_join.similar(docs(spark, [])).count() == 0
     rows = ngram_join.similar(docs(spark, ["a b c d"] * 4, ids=[5, 5, None, 3])).collect()
