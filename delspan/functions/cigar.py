@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: Operations that consume the read, and those that consume the reference.
 QUERY, REFERENCE = ("M", "I", "S", "=", "X"), ("M", "D", "N", "=", "X")
 ALIGNED, GAPS, CLIPS = ("M", "=", "X"), ("D", "N"), ("S", "H")
+KMER_HALF = 3
 
 
 def operations(cigar: Column) -> Column:
@@ -28,9 +29,15 @@ def reference_end(start: Column, ops: Column) -> Column:
 
 
 def placed(ops: Column, start: Column) -> Column:
-    """``array<struct<op, len, q, r>>``: each operation with the read and reference positions where it begins."""
-    before = lambda k, kinds: consumed(F.slice(ops, F.lit(1), k), kinds)
-    return F.transform(ops, lambda o, k: F.struct(o["op"].alias("op"), o["len"].alias("len"), before(k, QUERY).alias("q"), (start + before(k, REFERENCE)).alias("r")))
+    """``array<struct<op, len, q, r>>``: each operation with the read and reference positions where it begins, in one pass."""
+    none = F.array().cast("array<struct<op:string,len:bigint,q:bigint,r:bigint>>")
+    step = lambda o, kinds: F.when(o["op"].isin(*kinds), o["len"]).otherwise(F.lit(0))
+    return F.aggregate(
+        ops,
+        F.struct(F.lit(0).cast("bigint").alias("q"), start.alias("r"), none.alias("out")),
+        lambda at, o: F.struct((at["q"] + step(o, QUERY)).alias("q"), (at["r"] + step(o, REFERENCE)).alias("r"), F.concat(at["out"], F.array(F.struct(o["op"].alias("op"), o["len"].alias("len"), at["q"].alias("q"), at["r"].alias("r")))).alias("out")),
+        lambda at: at["out"],
+    )
 
 
 def operation_at(ops: Column, query_pos: Column) -> Column:
@@ -39,7 +46,7 @@ def operation_at(ops: Column, query_pos: Column) -> Column:
     return F.coalesce(F.instr(F.lit("MIDNSHP=X"), F.try_element_at(spans, F.lit(1))["op"]) - 1, F.lit(-1))
 
 
-def kmer(seq: Column, query_pos: Column, half: int = 3) -> Column:
+def kmer(seq: Column, query_pos: Column, half: int = KMER_HALF) -> Column:
     """The bases ``[pos - half, pos + half)`` of the read, padded with N."""
     pad = "N" * half
     return F.substr(F.concat(F.lit(pad), seq, F.lit(pad)), (query_pos + 1).cast("int"), F.lit(2 * half))

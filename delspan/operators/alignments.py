@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.cigar import ALIGNED, CLIPS, GAPS, operations, placed, reference_end
-from .regions import overlap_join
+from ..functions.cigar import ALIGNED, CLIPS, GAPS, KMER_HALF, operations, placed, reference_end
+from .regions import window_join
 
 PAIRED, PROPER, UNMAPPED, SECONDARY, QC_FAIL, DUPLICATE = 1, 2, 4, 256, 512, 1024
 NOT_COUNTED = UNMAPPED | SECONDARY | QC_FAIL | DUPLICATE
+DEPTH_BIN, PILEUP_BIN = 1024, 64
 
 
 @dataclass(frozen=True)
@@ -41,11 +42,11 @@ def with_operations(reads: DataFrame) -> DataFrame:
 
 
 def base_at(q: Column) -> Column:
-    return F.substr("seq", (q + 1).cast("int"), F.lit(1))
+    return F.substr("seq", (q + 1).cast("int"), F.lit(1)).cast("string")
 
 
 def quality_at(q: Column) -> Column:
-    return F.ascii(F.substr("qual", (q + 1).cast("int"), F.lit(1))) - 33
+    return F.ascii(F.substr("qual", (q + 1).cast("int"), F.lit(1)).cast("string")) - 33
 
 
 def aligned_positions(reads: DataFrame, *keep: str, low: Column | None = None, high: Column | None = None, gaps: bool = False) -> DataFrame:
@@ -62,10 +63,21 @@ def aligned_positions(reads: DataFrame, *keep: str, low: Column | None = None, h
     return rows.withColumn("qpos", qpos).select(*keep, "pos", "qpos", F.upper(base_at(F.col("qpos"))).alias("base"), quality_at(F.col("qpos")).alias("quality"))
 
 
+def dealt(reads: DataFrame, bin_size: int, *keep: str) -> DataFrame:
+    """Reads with operations, once for each position bin that they touch, dealt by (chrom, bin): what follows by these, and positions, isn't shuffled again.
+
+    Adds ``bin``, and ``low`` and ``high``, what the bin holds of the read. ``seq`` and ``qual`` become binary, so that a letter is found at its place.
+    """
+    rows = reads.where(F.col("ref_end") > F.col("ref_start")).select("chrom", "ref_start", "ref_end", "ops", F.upper("seq").cast("binary").alias("seq"), F.col("qual").cast("binary").alias("qual"), *keep)
+    rows = rows.withColumn("bin", F.explode(F.sequence(F.floor(F.col("ref_start") / bin_size), F.floor((F.col("ref_end") - 1) / bin_size)))).repartition("chrom", "bin")
+    return rows.withColumns({"low": F.greatest(F.col("ref_start"), F.col("bin") * bin_size), "high": F.least(F.col("ref_end"), (F.col("bin") + 1) * bin_size)})
+
+
 def depth(reads: DataFrame, min_quality: int = 15, exclude_flags: int = NOT_COUNTED) -> DataFrame:
     """``chrom, pos, depth, a, c, g, t``: bases of that quality or more over each covered position."""
-    rows = aligned_positions(with_operations(reads.where(~has_flag(exclude_flags))), "chrom").where((F.col("quality") >= min_quality) & F.col("base").isin("A", "C", "G", "T"))
-    return rows.groupBy("chrom", "pos").agg(F.count("*").alias("depth"), *(F.count_if(F.col("base") == b).alias(b.lower()) for b in "ACGT"))
+    rows = dealt(with_operations(reads.where(~has_flag(exclude_flags))), DEPTH_BIN)
+    rows = aligned_positions(rows, "chrom", "bin", low=F.col("low"), high=F.col("high")).where((F.col("quality") >= min_quality) & F.col("base").isin("A", "C", "G", "T"))
+    return rows.groupBy("chrom", "bin", "pos").agg(F.count("*").alias("depth"), *(F.count_if(F.col("base") == b).alias(b.lower()) for b in "ACGT")).drop("bin")
 
 
 def clips(reads: DataFrame) -> DataFrame:
@@ -77,31 +89,36 @@ def clips(reads: DataFrame) -> DataFrame:
 
 
 def reads_in_windows(reads: DataFrame, windows: DataFrame) -> DataFrame:
-    """Reads with their operations, once for each window that they overlap."""
-    return overlap_join(with_operations(reads), windows.select("window_id", "chrom", "start", "end"))
+    """Reads with their operations, once for each window that they overlap, and the window's ``bin``. Group by (chrom, bin, window_id)."""
+    return window_join(with_operations(reads), windows.select("window_id", "chrom", "start", "end"))
 
 
-def pileup(reads: DataFrame, windows: DataFrame, options: PileupOptions = PileupOptions()) -> DataFrame:
-    """``window_id, start, chrom, pos, row_idx, is_paired, is_proper_pair, mapq, cigar_type, base, kmer``.
+def pileup(reads: DataFrame, windows: DataFrame, options: PileupOptions = PileupOptions(), clips: DataFrame | None = None) -> DataFrame:
+    """``window_id, start, chrom, pos, row_idx, is_paired, is_proper_pair, mapq, cigar_type, base, kmer``, with ``clips`` also ``clip``.
 
     A row for each base that stands over a window's position; ``row_idx`` counts the reads of a position in the order (ref_start,
-    qname, flag). Of two overlapping mates the better base counts. The fields of a read that positions need are taken before they are
-    expanded.
+    qname, flag). Of two overlapping mates the better base counts. Nothing of this depends on the window, so positions are ranked once, within
+    the bins that reads are dealt to, and windows, however many overlap, are joined to ranked positions.
     """
-    from ..functions.cigar import kmer
-
     kept = reads.where(~has_flag(options.exclude_flags))
     if options.ignore_orphans:
         kept = kept.where(~(has_flag(PAIRED) & ~has_flag(PROPER)))
-    # dealt by window before positions are expanded: no later step by window, or by window and position, shuffles the many rows again
-    pairs = reads_in_windows(kept, windows).repartition("window_id")
-    ops = F.filter("ops", lambda o: o["op"].isin(*ALIGNED) & (o["r"] < F.col("end")) & (o["r"] + o["len"] > F.col("start")))
-    rows = pairs.withColumn("o", F.explode(ops)).withColumn("pos", F.explode(F.sequence(F.greatest("o.r", "start"), F.least(F.col("o.r") + F.col("o.len"), "end") - 1)))
+    pad = F.lit("N" * KMER_HALF)
+    kept = with_operations(kept).withColumn("padded", F.concat(pad, "seq", pad).cast("binary"))
+    rows = dealt(kept, PILEUP_BIN, "qname", "flag", "mapq", "padded")
+    ops = F.filter("ops", lambda o: o["op"].isin(*ALIGNED) & (o["r"] < F.col("high")) & (o["r"] + o["len"] > F.col("low")))
+    rows = rows.withColumn("o", F.explode(ops)).withColumn("pos", F.explode(F.sequence(F.greatest("o.r", "low"), F.least(F.col("o.r") + F.col("o.len"), "high") - 1)))
     rows = rows.withColumn("qpos", F.col("o.q") + F.col("pos") - F.col("o.r")).withColumn("quality", quality_at(F.col("qpos"))).where(F.col("quality") >= options.min_base_quality)
-    rows = rows.select("window_id", "start", "chrom", "pos", "ref_start", "qname", "flag", "mapq", "quality", F.instr(F.lit("MIDNSHP=X"), F.col("o.op")).alias("k"), base_at(F.col("qpos")).alias("base"), kmer(F.col("seq"), F.col("qpos")).alias("kmer"))
+    around = F.substr("padded", (F.col("qpos") + 1).cast("int"), F.lit(2 * KMER_HALF)).cast("string")
+    rows = rows.select("chrom", "bin", "pos", "ref_start", "qname", "flag", "mapq", "quality", (F.instr(F.lit("MIDNSHP=X"), F.col("o.op")) - 1).alias("cigar_type"), around.alias("kmer"), F.substr(around, F.lit(KMER_HALF + 1), F.lit(1)).alias("base"))
     if options.one_of_overlapping_mates:
-        mates = Window.partitionBy("window_id", "pos", "qname").orderBy(F.desc("quality"), "ref_start", "flag")
+        mates = Window.partitionBy("chrom", "bin", "pos", "qname").orderBy(F.desc("quality"), "ref_start", "flag")
         rows = rows.withColumn("mate", F.row_number().over(mates)).where("mate = 1")
-    column = Window.partitionBy("window_id", "pos").orderBy("ref_start", "qname", "flag")
+    column = Window.partitionBy("chrom", "bin", "pos").orderBy("ref_start", "qname", "flag")
     rows = rows.withColumn("row_idx", F.row_number().over(column) - 1).where(F.col("row_idx") < options.max_depth)
-    return rows.select("window_id", "start", "chrom", "pos", "row_idx", has_flag(PAIRED).alias("is_paired"), has_flag(PROPER).alias("is_proper_pair"), "mapq", (F.col("k") - 1).alias("cigar_type"), "base", "kmer")
+    rows = rows.select("chrom", "bin", "pos", "row_idx", has_flag(PAIRED).alias("is_paired"), has_flag(PROPER).alias("is_proper_pair"), "mapq", "cigar_type", "base", "kmer")
+    if clips is not None:
+        of_bin = clips.groupBy("chrom", F.floor(F.col("pos") / PILEUP_BIN).alias("bin")).agg(F.map_from_entries(F.collect_list(F.struct("pos", "clip"))).alias("clips"))  # at most PILEUP_BIN entries
+        rows = rows.join(of_bin, ["chrom", "bin"], "left").withColumn("clip", F.coalesce(F.try_element_at("clips", F.col("pos")), F.lit(0))).drop("clips")
+    places = windows.where(F.col("end") > F.col("start")).select("window_id", "chrom", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / PILEUP_BIN), F.floor((F.col("end") - 1) / PILEUP_BIN))).alias("bin"))
+    return rows.join(places, ["chrom", "bin"]).where((F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end"))).drop("bin", "end")

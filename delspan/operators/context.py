@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -36,14 +35,16 @@ def sequences(windows: DataFrame, contigs: DataFrame, span: int = SPAN, chunk: i
 
 def kmer_frequencies(k: int = 3) -> Callable[[str], np.ndarray]:
     """The embedder that ships: relative frequencies of the 4^k strings of A, C, G and T, in alphabetical order."""
-    place = {"".join(p): i for i, p in enumerate(product("ACGT", repeat=k))}
+    code = np.full(256, -1, np.int64)
+    code[np.frombuffer(b"ACGT", np.uint8)] = range(4)
 
     def embed(seq: str) -> np.ndarray:
-        out = np.zeros(len(place), np.float32)
-        for i in range(len(seq) - k + 1):
-            at = place.get(seq[i : i + k])
-            if at is not None:
-                out[at] += 1
+        letters = code[np.frombuffer(seq.encode("ascii", "replace"), np.uint8)]
+        n = max(0, len(letters) - k + 1)
+        parts = [letters[i : i + n] for i in range(k)]
+        number = sum(p * 4 ** (k - 1 - i) for i, p in enumerate(parts))
+        known = np.all([p >= 0 for p in parts], axis=0)
+        out = np.bincount(number[known], minlength=4**k).astype(np.float32)
         return out / max(out.sum(), 1)
 
     return embed

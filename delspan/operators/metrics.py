@@ -55,8 +55,14 @@ def summary(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def _curve(rows: DataFrame, by: list[str]) -> DataFrame:
-    """``prob, tp, fp, p, n``: counts at or above each distinct probability, and totals."""
-    points = rows.groupBy(*by, "prob").agg(F.sum(F.col("label").cast("bigint")).alias("pos"), F.count("*").alias("all")).withColumn("slice", F.floor(F.col("prob") * SLICES))
+    """``prob, tp, fp, p, n``: counts at or above each distinct probability, and totals.
+
+    Thresholds are dealt to ``SLICES`` ranges by approximate quantiles of all scores, so ranges hold about as many whatever the scores are like.
+    """
+    points = rows.groupBy(*by, "prob").agg(F.sum(F.col("label").cast("bigint")).alias("pos"), F.count("*").alias("all"))
+    marks = [F.lit(k / SLICES) for k in range(1, SLICES)]
+    cuts = rows.agg(F.array_sort(F.array_distinct(F.percentile_approx("prob", F.array(*marks), F.lit(100 * SLICES)))).alias("cuts"))  # one row
+    points = points.join(F.broadcast(cuts)).withColumn("slice", F.size(F.filter("cuts", lambda c: c <= F.col("prob")))).drop("cuts")
     whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     slices = points.groupBy(*by, "slice").agg(F.sum("pos").alias("sp"), F.sum("all").alias("sa"))
     above = whole.orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 WINDOW, LEAST = 50, 5
-BIN = 1024
+#: Position bins by which windows and reads meet, about as wide as both; joins of long intervals take wider ones.
+BIN = 128
 MERGE_BIN = 1_000_000
 
 
@@ -42,17 +43,42 @@ def overlap_join(reads: DataFrame, windows: DataFrame, bin_size: int = BIN) -> D
     return left.join(right, ["chrom", "bin"]).where((F.col("ref_start") < F.col("end")) & (F.col("ref_end") > F.col("start")) & (F.col("bin") == first)).drop("bin")
 
 
+def window_join(reads: DataFrame, windows: DataFrame, width: int = WINDOW, bin_size: int = BIN) -> DataFrame:
+    """The pairs of :func:`overlap_join` for windows of at most ``width`` (a wider one is an error), with ``bin``.
+
+    A window is dealt to the bin of its start only, and a read to all bins where windows that it overlaps may start. So a window has all its pairs in one
+    partition, and what follows by (chrom, bin, window_id) needs no further shuffle.
+    """
+    span = lambda a, b: F.explode(F.sequence(F.floor(a / bin_size), F.floor(b / bin_size)))
+    left = reads.where(F.col("ref_end") > F.col("ref_start")).withColumn("bin", span(F.col("ref_start") - (width - 1), F.col("ref_end") - 1))
+    wide = F.raise_error(F.lit(f"a window is wider than {width}")).cast("bigint")
+    right = windows.where(F.col("end") > F.col("start")).withColumn("bin", F.when(F.col("end") - F.col("start") > width, wide).otherwise(F.floor(F.col("start") / bin_size)))
+    return left.join(right, ["chrom", "bin"]).where((F.col("ref_start") < F.col("end")) & (F.col("ref_end") > F.col("start")))
+
+
 def merge_adjacent(calls: DataFrame, gap: int = 0) -> DataFrame:
     """Calls (chrom, start, end, prob) at most ``gap`` apart become one: ``chrom, start, end, mean_prob, max_prob, n``.
 
-    Calls are merged within position bins first, then what is left across bins: the second pass has a row for each island
-    and bin, so no chromosome is gathered call by call.
+    Calls become islands within position bins first. Across bins only one row for each bin is looked at, to find how far the calls of earlier bins
+    reach; only a bin's first islands can be joined to earlier ones, and only what reaches beyond its bin is passed on, so no chromosome is gathered.
     """
-    rows = calls.select("chrom", "start", "end", F.col("prob").alias("total"), F.col("prob").alias("most"), F.lit(1).cast("bigint").alias("n"))
-    for keys in (["chrom", "bin"], ["chrom"]):
-        rows = rows.withColumn("bin", F.floor(F.col("start") / MERGE_BIN)) if "bin" in keys else rows
-        order = Window.partitionBy(*keys).orderBy("start", "end")
-        rows = rows.withColumn("seen", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-        rows = rows.withColumn("island", F.sum(F.when(F.col("start") > F.col("seen") + gap, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        rows = rows.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("total").alias("total"), F.max("most").alias("most"), F.sum("n").alias("n"))
-    return rows.select("chrom", "start", "end", (F.col("total") / F.col("n")).alias("mean_prob"), F.col("most").alias("max_prob"), "n")
+    rows = calls.select("chrom", "start", "end", F.col("prob").alias("total"), F.col("prob").alias("most"), F.lit(1).cast("bigint").alias("n"), F.floor(F.col("start") / MERGE_BIN).alias("bin"))
+    order = Window.partitionBy("chrom", "bin").orderBy("start", "end")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    bins = rows.groupBy("chrom", "bin").agg(F.max("end").alias("reach"))
+    reach = F.max("reach").over(Window.partitionBy("chrom").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+    bins = bins.select("chrom", "bin", reach.alias("reach"))
+    rows = rows.join(bins, ["chrom", "bin"])
+    # the greatest end of all calls before this one, in its bin or an earlier one; null for a chromosome's first
+    rows = rows.withColumn("seen", F.greatest(F.max("end").over(before), "reach"))
+    rows = rows.withColumn("opens", F.coalesce(F.col("start") > F.col("seen") + gap, F.lit(True)))
+    # an island is named by the start of the call that opens it; what a bin has before its first such call goes on with the last island of earlier bins
+    rows = rows.withColumn("island", F.max(F.when(F.col("opens"), F.col("start"))).over(upto))
+    opened = rows.groupBy("chrom", "bin").agg(F.max("island").alias("last"))
+    earlier = F.last("last", ignorenulls=True).over(Window.partitionBy("chrom").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+    opened = opened.select("chrom", "bin", earlier.alias("earlier"))
+    parts = rows.groupBy("chrom", "bin", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("total").alias("total"), F.max("most").alias("most"), F.sum("n").alias("n"))
+    whole = parts.join(opened, ["chrom", "bin"]).groupBy("chrom", F.coalesce("island", "earlier").alias("island"))
+    merged = whole.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("total").alias("total"), F.max("most").alias("most"), F.sum("n").alias("n"))
+    return merged.select("chrom", "start", "end", (F.col("total") / F.col("n")).alias("mean_prob"), F.col("most").alias("max_prob"), "n")

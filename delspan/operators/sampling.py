@@ -17,18 +17,19 @@ def shuffle_key(*cols: str, seed: str = SEED) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), *(F.col(c).cast("string") for c in cols)))
 
 
-def first_by_key(rows: DataFrame, groups: list[str], order: list[Column], quota: Column) -> DataFrame:
+def first_by_key(rows: DataFrame, groups: list[str], order: list[Column], quota: Column, place: str | None = None) -> DataFrame:
     """The first ``quota`` rows of each group in the given order, whose first column is a shuffle key.
 
     Rows are counted by the key's first digits, and running totals over these few counts show how many rows come before each bucket, so rows are only
-    ranked within (group, bucket): a group with most of the rows isn't sorted as a whole.
+    ranked within (group, bucket): a group with most of the rows isn't sorted as a whole. ``place``: a column for the row's place in its group, from 1.
     """
     bucket = F.substring(order[0], 1, BUCKET_DIGITS)
     rows = rows.withColumn("__bucket", bucket)
     before = Window.partitionBy(*groups).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy(*groups, "__bucket").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     ranked = rows.join(counts, [*groups, "__bucket"]).withColumn("__rank", F.col("__before") + F.row_number().over(Window.partitionBy(*groups, "__bucket").orderBy(*order)))
-    return ranked.where(F.col("__rank") <= quota).drop("__bucket", "__before", "__rank")
+    ranked = ranked.where(F.col("__rank") <= quota).drop("__bucket", "__before")
+    return ranked.withColumnRenamed("__rank", place) if place else ranked.drop("__rank")
 
 
 def quota(windows: DataFrame, limits: dict[str, int], seed: str = SEED) -> DataFrame:
@@ -66,13 +67,21 @@ def class_weights(rows: DataFrame) -> DataFrame:
     return counts.select(F.explode(F.array(one(0, n0), one(1, n1))).alias("w")).select("w.*")
 
 
-def resampled(rows: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """About n rows drawn with replacement, each class equally likely."""
-    counts = {r.label: r.n for r in class_weights(rows).collect() if r.n}
-    parts = [rows.where(F.col("label") == label).sample(True, n / (len(counts) * own), seed + label) for label, own in counts.items()]
-    if not parts:
+def resampled(rows: DataFrame, n: int, id_col: str = "window_id", seed: str = SEED) -> DataFrame:
+    """Exactly ``n`` draws with replacement, each label equally likely: rows as often as they are drawn.
+
+    Draw ``k`` takes a label, then a place among the label's rows in shuffled order, both by hashes of ``k``. Places are counted by hash buckets, so rows are
+    only ranked within (label, bucket). ``id_col`` names the rows.
+    """
+    counts = {r.label: r.n for r in class_weights(rows).collect() if r.n}  # at most two rows
+    if not counts:
         return rows.limit(0)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    key = shuffle_key(id_col, seed=seed)
+    placed = first_by_key(rows, ["label"], [key, F.col(id_col)], F.lit((1 << 63) - 1), place="__place")
+    number = lambda what, mod: F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|{what}|"), F.col("id").cast("string"))), 1, 12), 16, 10).cast("bigint"), mod)
+    labels = F.array(*map(F.lit, sorted(counts)))
+    draws = rows.sparkSession.range(n).withColumn("label", F.get(labels, number("label", F.lit(len(counts))).cast("int")))
+    size = F.element_at(F.create_map(*(F.lit(x) for item in counts.items() for x in item)), F.col("label"))
+    draws = draws.select("label", (number("row", size) + 1).alias("__place")).groupBy("label", "__place").agg(F.count("*").alias("__times"))
+    drawn = placed.join(draws, ["label", "__place"])
+    return drawn.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*rows.columns)

@@ -36,11 +36,11 @@ def score(rows: DataFrame, features: str, load: Callable[[], Callable[[np.ndarra
             if good.any():
                 try:
                     out[good] = model(np.stack(batch[good].to_list()))
-                except ValueError:  # one bad row must not take its batch along
+                except Exception:  # a model may raise anything; one bad row must not take its batch along
                     for k in np.flatnonzero(good):
                         try:
                             out[k] = model(np.stack([batch.iloc[k]]))[0]
-                        except ValueError:
+                        except Exception:  # noqa: S110
                             pass
             yield pd.Series(out)
 

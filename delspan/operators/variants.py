@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEX = ("X", "Y", "chrX", "chrY")
 TRAIN, VALIDATION = tuple(map(str, range(1, 12))), tuple(map(str, range(12, 23)))
 ANCHOR_GAP, ANCHOR_MAX = 150, 700
+CLASSES = ("SMALL", "MEDIUM", "LARGE", "VERY_LARGE")
 
 
 def size_class(length: Column) -> Column:
@@ -19,10 +22,11 @@ def is_deletion() -> Column:
     return F.coalesce(F.col("svtype") == "DEL", F.lit(False)) | F.coalesce(F.array_contains("alts", "<DEL>"), F.lit(False))
 
 
-def regions(records: DataFrame, variant_type: str = "deletion", carriers: bool = True) -> DataFrame:
+def regions(records: DataFrame, variant_type: str = "deletion", carriers: bool = False) -> DataFrame:
     """``region_id, chrom, start, end, sv_type, length, size_class`` of variant records.
 
-    Only ``variant_type="deletion"`` filters by type; any other value keeps all records. Carriers have an allele above 0. The end is the
+    Only ``variant_type="deletion"`` filters by type; any other value keeps all records. With ``carriers``,
+    to be asked for where a sample is named, records need an allele above 0 in ``gt``. The end is the
     stated one, else that of the reference allele. ``start`` is the record's 1-based position, used as it is.
     """
     rows = records.where(is_deletion()) if variant_type == "deletion" else records
@@ -34,8 +38,16 @@ def regions(records: DataFrame, variant_type: str = "deletion", carriers: bool =
     return rows.withColumn("length", F.abs(F.col("end") - F.col("start"))).withColumn("size_class", size_class(F.col("length")))
 
 
-def selected(regions: DataFrame, classes: tuple[str, ...] | None = None, chroms: tuple[str, ...] | None = None, max_length: int | None = None, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """Regions of some size classes, chromosomes and lengths (inclusive; 0 or None: any), without excluded chromosomes."""
+def selected(regions: DataFrame, classes: tuple[str, ...] | None = None, chroms: tuple[str, ...] | None = None, max_length: int | None = None, exclude: tuple[str, ...] = (), lenient: bool = False) -> DataFrame:
+    """Regions of some size classes, chromosomes and lengths (inclusive; 0 or None: any), without excluded chromosomes.
+
+    An unknown size class is an error, or with ``lenient`` is left out with a warning.
+    """
+    unknown = sorted(set(classes or ()) - set(CLASSES))
+    if unknown and not lenient:
+        raise ValueError(f"unknown size classes {', '.join(unknown)}; there are {', '.join(CLASSES)}")
+    if unknown:
+        warnings.warn(f"unknown size classes {', '.join(unknown)} are left out", stacklevel=2)
     keep = F.lit(True)
     if classes:
         keep = keep & F.col("size_class").isin(*classes)

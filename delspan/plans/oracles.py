@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..sources.fixtures import oracle
+from ..sources.text_formats import COLUMNS, HEADER
 
 _ALL_REGIONS = """all_regions AS MATERIALIZED (
  SELECT *, CASE WHEN length < 200 THEN 'SMALL' WHEN length < 700 THEN 'MEDIUM' WHEN length < 1000 THEN 'LARGE' ELSE 'VERY_LARGE' END AS size_class FROM (
@@ -28,7 +29,6 @@ def _tiled(source: str, name: str) -> str:
 
 _DEL = "SELECT region_id, 'del' AS kind, chrom, start, \"end\" FROM regions"
 _WINDOWS = _ANCHORS + _tiled(_DEL + ' UNION ALL SELECT region_id, kind, chrom, start, "end" FROM anchors', "windows")
-_DEL_WINDOWS = _REGIONS + _tiled(_DEL, "windows")
 _DIGITS, _LETTERS = r"regexp_extract_all(cigar, '(\d+)([MIDNSHP=X])', 1)", r"regexp_extract_all(cigar, '(\d+)([MIDNSHP=X])', 2)"
 
 
@@ -84,7 +84,9 @@ _CELL_SUMS = """SELECT window_id, count(*) AS n, CAST(sum(x0) AS BIGINT) AS x0,
 _BASE_CELLS = _cells("CASE base WHEN 'A' THEN 255 ELSE 0 END", "CASE base WHEN 'T' THEN 255 ELSE 0 END", "CASE base WHEN 'C' THEN 255 ELSE 0 END")
 _KMER_CELLS = """,
 palette AS (SELECT kmer, ascii(substr(kmer, 2, 1)) * 7 % 256 AS r, ascii(substr(kmer, 3, 1)) * 11 % 256 AS g, ascii(substr(kmer, 4, 1)) * 13 % 256 AS b
- FROM (SELECT DISTINCT substr(seq, 10, 6) AS kmer FROM reads WHERE substr(seq, 10, 1) = 'A') x)""" + _cells("coalesce(l.r, 0)", "coalesce(l.g, 0)", "coalesce(l.b, 0)", "LEFT JOIN palette l ON l.kmer = p.kmer")
+ FROM (SELECT DISTINCT substr(seq, 10, 6) AS kmer FROM reads WHERE substr(seq, 10, 1) = 'A') x),
+cells AS (
+ SELECT window_id, (pos - start) * 5 + 5 AS x0, 5 + row_idx * 5 AS y0, coalesce(l.r, 0) AS r, coalesce(l.g, 0) AS g, coalesce(l.b, 0) AS b FROM pileup p LEFT JOIN palette l ON l.kmer = p.kmer)"""
 _KEPT = ",\nkept AS MATERIALIZED (SELECT * FROM pairs WHERE cigar <> '*' AND seq <> '*' AND flag & 1792 = 0)"
 _STATS = """,
 stats AS MATERIALIZED (
@@ -93,7 +95,7 @@ stats AS MATERIALIZED (
 _TENSOR = _KEPT + _STATS + """,
 ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY ref_start, qname, flag) AS k FROM kept) x WHERE k <= 100),
 spread AS (
- SELECT a.window_id, flag, mapq, tlen, seq, qual, first_op, last_op, ref_start, ref_end, insert_mean, insert_std, op, q, r, unnest(range(greatest(r, start), least(r + n, "end"))) AS pos
+ SELECT a.window_id, a.start, a.k, flag, mapq, tlen, seq, qual, first_op, last_op, ref_start, ref_end, insert_mean, insert_std, op, q, r, unnest(range(greatest(r, start), least(r + n, "end"))) AS pos
  FROM ranked a JOIN stats USING (window_id) JOIN ops o ON o.qname = a.qname WHERE op IN ('M','=','X','D','N') AND r < "end" AND r + n > start),
 cells AS (
  SELECT *, op IN ('M','=','X') AS al, CASE WHEN op IN ('M','=','X') THEN upper(substr(seq, CAST(q + pos - r + 1 AS INT), 1)) END AS base,
@@ -160,7 +162,21 @@ _CHANNEL = {
 }
 _COUNT_TRAIN = "CAST(chrom AS INT) BETWEEN 1 AND 11"
 
+_TAB = lambda *parts: " || chr(9) || ".join(parts)
+_HEADER = ["##fileformat=VCFv4.3", "##fileDate=20240101", *HEADER, "\t".join([*COLUMNS, "S1"])]
+
 ORACLES = {
+    "variants_from_text": oracle("""SELECT chrom, pos, id, ref, alt, svtype, info_end, gt,
+ CASE WHEN carried THEN coalesce(info_end, pos - 1 + length(ref)) END AS "end", CASE WHEN carried THEN coalesce(svtype, 'DEL') END AS sv_type
+ FROM (SELECT *, (coalesce(svtype = 'DEL', false) OR alt = '<DEL>') AND regexp_matches(gt, '[1-9]') AS carried FROM variants) x""", "variants"),
+    "alignments_from_text": oracle("SELECT qname, CAST(flag AS INT) AS flag, chrom, ref_start, CAST(mapq AS BIGINT) AS mapq, cigar, CAST(tlen AS BIGINT) AS tlen, seq, qual FROM reads", "reads"),
+    "contigs_from_header": oracle("SELECT chrom AS contig, max(chunk_start + length(seq)) AS length, 0 AS more FROM contigs GROUP BY chrom", "contigs"),
+    "reference_from_text": oracle("SELECT chrom, chunk_start - min(chunk_start) OVER (PARTITION BY chrom) AS chunk_start, upper(seq) AS seq FROM contigs", "contigs"),
+    "dataset_by_split": oracle(f'''SELECT chrom, label, count(*) AS n, min(start) AS first, max("end") AS last FROM (SELECT DISTINCT label, chrom, start, "end" FROM windows WHERE chrom NOT IN ('X', 'Y') AND {_COUNT_TRAIN}) x GROUP BY chrom, label''', "variants", then=_WINDOWS),
+    "metrics_as_text": oracle("SELECT epoch, round(weighted_f1, 9) AS weighted_f1, round(accuracy, 9) AS accuracy FROM summary", "predictions", then=_PRED + _report("epoch")),
+    "call_file": oracle("SELECT CAST(row_number() OVER (ORDER BY part, chrom, start, k) AS INT) AS k, line FROM (SELECT 0 AS part, unnest(range(" + str(len(_HEADER)) + ")) AS k, '' AS chrom, 0 AS start, unnest([" + ", ".join("'" + x + "'" for x in _HEADER) + """]) AS line
+ UNION ALL SELECT 1, 0, chrom, start, """ + _TAB("chrom", "start", "'.'", "'N'", "'<DEL>'", "CAST(trunc(quality * 100) AS INT)", "filter_status", "'SVTYPE=DEL;END=' || \"end\" || ';SVLEN=-' || abs(\"end\" - start)", "'GT'", "'0/1'") + " FROM calls WHERE quality >= 0.6) x", "predictions", then=_PRED + _CALLS),
+    "tensor_cells": oracle("SELECT CAST(k - 1 AS INT) AS row_idx, pos - start AS col_idx, count(*) AS n, " + ", ".join(f"round(CAST(sum({x}) AS DOUBLE), 4) + 0.0::DOUBLE AS {c}" for c, x in _CHANNEL.items()) + " FROM cells GROUP BY 1, 2", "reads", "variants", then=_WINDOWS + ",\n" + _ops() + _PAIRS + _TENSOR),
     "deletion_variants": oracle('SELECT region_id, chrom, start, "end", sv_type, length, size_class FROM all_regions', "variants", then=_ALL_REGIONS),
     "all_variant_types": oracle("""SELECT sv_type, CASE WHEN len < 200 THEN 'SMALL' WHEN len < 700 THEN 'MEDIUM' WHEN len < 1000 THEN 'LARGE' ELSE 'VERY_LARGE' END AS size_class, count(*) AS n, CAST(sum(len) AS BIGINT) AS total
  FROM (SELECT coalesce(svtype, CASE WHEN alt = '<DEL>' THEN 'DEL' ELSE 'UNKNOWN' END) AS sv_type, abs(coalesce(info_end, pos - 1 + length(ref)) - pos) AS len FROM variants) x GROUP BY 1, 2""", "variants"),
@@ -187,7 +203,7 @@ ORACLES = {
     "reads_rollup": oracle("""SELECT chrom, CAST(label AS VARCHAR) AS label, count(*) AS windows, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_reads, round(CAST(sum(m) AS DOUBLE) / CAST(sum(n) AS DOUBLE), 9) AS mean_mapq
  FROM windows LEFT JOIN (SELECT window_id, count(*) AS n, sum(mapq) AS m FROM pairs GROUP BY window_id) x USING (window_id) GROUP BY ROLLUP (chrom, label)""", "reads", "variants", then=_WINDOWS + ",\n" + _ops() + _PAIRS),
     "window_clips": oracle("""SELECT window_id, CAST(sum(coalesce(clip, 0)) AS BIGINT) AS clips, max(coalesce(clip, 0)) AS most, count(clip) AS positions
- FROM (SELECT window_id, chrom, unnest(range(start, "end")) AS pos FROM windows) w LEFT JOIN clips c ON w.chrom = c.chrom AND w.pos = c.pos GROUP BY window_id""", "reads", "variants", then=_DEL_WINDOWS + ",\n" + _ops() + _CLIPS),
+ FROM (SELECT window_id, chrom, unnest(range(start, "end")) AS pos FROM windows) w LEFT JOIN clips c ON w.chrom = c.chrom AND w.pos = c.pos GROUP BY window_id""", "reads", "variants", then=_WINDOWS + ",\n" + _ops() + _CLIPS),
     "nonempty_windows": oracle("SELECT window_id, label FROM nonempty", "reads", "variants", then=_WINDOWS + ",\n" + _ops() + _NONEMPTY),
     "generation_summary": oracle("SELECT label, count(*) AS seen, count(s) AS saved, count(*) - count(s) AS skipped FROM windows LEFT JOIN (SELECT window_id, 1 AS s FROM nonempty) x USING (window_id) GROUP BY label", "reads", "variants", then=_WINDOWS + ",\n" + _ops() + _NONEMPTY),
     "window_quota": oracle("""SELECT window_id, chrom, kind FROM (SELECT *, row_number() OVER (PARTITION BY chrom, kind ORDER BY md5('seed-42|' || region_id), region_id, start) AS k FROM nonempty) x
@@ -197,11 +213,11 @@ ORACLES = {
     "first_windows": oracle('SELECT window_id, chrom, start, "end" FROM windows ORDER BY chrom, start, window_id LIMIT 100', "variants", then=_WINDOWS),
     "shuffled_regions": oracle("SELECT region_id, chrom, CAST(row_number() OVER (PARTITION BY chrom ORDER BY md5('seed-42|' || region_id), region_id) AS INT) AS place FROM regions", "variants", then=_REGIONS),
     "pileup_columns": oracle("""SELECT window_id, count(*) AS n, CAST(max(row_idx) AS INT) AS rows, CAST(sum(mapq) AS BIGINT) AS mapq_sum, CAST(sum((pos - start) * (row_idx + 1)) AS BIGINT) AS place_sum, count(*) FILTER (base = 'A') AS n_a, count(*) FILTER (is_proper_pair) AS proper,
- count(*) FILTER (cigar_type = 0) AS matches, count(*) FILTER (kmer LIKE 'N%') AS padded FROM pileup GROUP BY window_id""", "reads", "variants", then=_DEL_WINDOWS + ",\n" + _ops() + _PILEUP),
-    "image_cells": oracle(_CELL_SUMS, "reads", "variants", then=_DEL_WINDOWS + ",\n" + _ops() + _CLIPS + _PILEUP + _BASE_CELLS),
-    "image_cells_kmer": oracle(_CELL_SUMS, "reads", "variants", then=_DEL_WINDOWS + ",\n" + _ops() + _CLIPS + _PILEUP + _KMER_CELLS),
-    "insert_size_stats": oracle("SELECT window_id, round(insert_mean, 6) AS insert_mean, round(insert_std, 6) AS insert_std FROM stats", "reads", "variants", then=_DEL_WINDOWS + ",\n" + _ops() + _PAIRS + _KEPT + _STATS),
-    "tensor_channel_means": oracle("SELECT window_id, " + ", ".join(f"round(coalesce(CAST(sum({x}) AS DOUBLE), 0) / 5000, 6) + 0.0::DOUBLE AS {c}" for c, x in _CHANNEL.items()) + " FROM cells GROUP BY window_id", "reads", "variants", then=_DEL_WINDOWS + ",\n" + _ops() + _PAIRS + _TENSOR),
+ count(*) FILTER (cigar_type = 0) AS matches, count(*) FILTER (kmer LIKE 'N%') AS padded FROM pileup GROUP BY window_id""", "reads", "variants", then=_WINDOWS + ",\n" + _ops() + _PILEUP),
+    "image_cells": oracle(_CELL_SUMS, "reads", "variants", then=_WINDOWS + ",\n" + _ops() + _CLIPS + _PILEUP + _BASE_CELLS),
+    "image_cells_kmer": oracle(_CELL_SUMS, "reads", "variants", then=_WINDOWS + ",\n" + _ops() + _PILEUP + _KMER_CELLS),
+    "insert_size_stats": oracle("SELECT window_id, round(insert_mean, 6) AS insert_mean, round(insert_std, 6) AS insert_std FROM stats", "reads", "variants", then=_WINDOWS + ",\n" + _ops() + _PAIRS + _KEPT + _STATS),
+    "tensor_channel_means": oracle("SELECT window_id, " + ", ".join(f"round(coalesce(CAST(sum({x}) AS DOUBLE), 0) / 5000, 6) + 0.0::DOUBLE AS {c}" for c, x in _CHANNEL.items()) + " FROM cells GROUP BY window_id", "reads", "variants", then=_WINDOWS + ",\n" + _ops() + _PAIRS + _TENSOR),
     "region_profile": oracle("SELECT region_id, count(*) AS n, CAST(sum(depth) AS BIGINT) AS depth_sum, max(depth) AS depth_max, CAST(sum(clip) AS BIGINT) AS clip_sum FROM profile GROUP BY region_id", "reads_holed", "variants", then=_HOLED),
     "smoothed_depth": oracle("SELECT region_id, count(*) AS n, sum(median) AS median_sum, max(median) AS median_max, min(pos) AS first, max(pos) AS last FROM smooth GROUP BY region_id", "reads_holed", "variants", then=_HOLED + _smooth()),
     "smoothed_for_detection": oracle("SELECT region_id, count(*) AS n, sum(median) AS median_sum, max(pos) AS last FROM smooth GROUP BY region_id", "reads_holed", "variants", then=_HOLED + _smooth(1)),
@@ -212,7 +228,7 @@ ORACLES = {
   GROUP BY region_id) d WHERE n = 3 AND m1 < floor(4 * m2 / 5) AND m1 < floor(4 * m3 / 5) AND l1 > first AND r1 < last""", "reads_holed", "variants", then=_HOLED + _smooth()),
     "boundary_walk": oracle("""SELECT region_id, coalesce(max(pos) FILTER (pos <= s AND depth > 3), min(pos)) AS start, coalesce(min(pos) FILTER (pos >= e AND depth > 3), max(pos)) AS "end"
  FROM profile JOIN (SELECT region_id, start AS s, "end" - 1 AS e FROM regions) c USING (region_id) GROUP BY region_id""", "reads_holed", "variants", then=_HOLED),
-    "context_sequence": oracle("SELECT window_id, CAST(length(seq) AS INT) AS bases, md5(seq) AS seq_md5 FROM (" + _AROUND.format(id="window_id", table="windows") + ") x", "contigs", "variants", then=_DEL_WINDOWS + _CONTIGS),
+    "context_sequence": oracle("SELECT window_id, CAST(length(seq) AS INT) AS bases, md5(seq) AS seq_md5 FROM (" + _AROUND.format(id="window_id", table="windows") + ") x", "contigs", "variants", then=_WINDOWS + _CONTIGS),
     "kmer_frequencies": oracle("""SELECT window_id AS region_id, round(CAST(CAST(a AS FLOAT) / CAST(n AS FLOAT) AS DOUBLE), 6) AS aaa, round(CAST(CAST(c AS FLOAT) / CAST(n AS FLOAT) AS DOUBLE), 6) AS cgt, round(CAST(CAST(t AS FLOAT) / CAST(n AS FLOAT) AS DOUBLE), 6) AS ttt FROM (
   SELECT window_id, greatest(count(*) FILTER (k NOT LIKE '%N%'), 1) AS n, count(*) FILTER (k = 'AAA') AS a, count(*) FILTER (k = 'CGT') AS c, count(*) FILTER (k = 'TTT') AS t
   FROM (SELECT window_id, substr(seq, CAST(i AS INT), 3) AS k FROM (SELECT window_id, seq, unnest(range(1, length(seq) - 1)) AS i FROM (""" + _AROUND.format(id="region_id", table="regions") + ") x) y) z GROUP BY window_id) u", "contigs", "variants", then=_REGIONS + _CONTIGS),

@@ -13,6 +13,7 @@ from ..functions import cigar, names
 from ..functions.colours import MEAN, STD
 from ..operators import alignments, context, images, metrics, refine, regions, sampling, scoring, tensors, variants
 from ..sources import fixtures, text_formats
+from ..sources.scratch import scratch_path
 from . import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,8 +30,12 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("chrom", "pos", "id", "ref", F.split("alt", ",").alias("alts"), "svtype", "info_end", text_formats.genotype(F.col("gt")).alias("gt"))
 
 
+def _carried(spark: SparkSession, sf: str) -> DataFrame:
+    return variants.regions(_records(spark, sf), carriers=True)
+
+
 def _regions(spark: SparkSession, sf: str) -> DataFrame:
-    return variants.selected(variants.regions(_records(spark, sf)), max_length=10_000)
+    return variants.selected(_carried(spark, sf), max_length=10_000)
 
 
 def _windows(spark: SparkSession, sf: str) -> DataFrame:
@@ -38,11 +43,6 @@ def _windows(spark: SparkSession, sf: str) -> DataFrame:
     return regions.dataset_windows(found, variants.anchors(found))
 
 
-def _deletion_windows(spark: SparkSession, sf: str) -> DataFrame:
-    found = _regions(spark, sf)
-    return regions.tile(found.select("region_id", F.lit("del").alias("kind"), "chrom", "start", "end"), min_width=regions.WINDOW // 2)
-
-
 def _reads(spark: SparkSession, sf: str) -> DataFrame:
     return fixtures.table(spark, sf, "reads")
 
@@ -54,27 +54,27 @@ def _predictions(spark: SparkSession, sf: str) -> DataFrame:
 def _nonempty(spark: SparkSession, sf: str) -> DataFrame:
     windows = _windows(spark, sf)
     reads = _reads(spark, sf).where(~alignments.has_flag(alignments.NOT_COUNTED))
-    return windows.join(alignments.reads_in_windows(reads, windows).select("window_id").distinct(), "window_id", "left_semi")
+    return windows.join(alignments.reads_in_windows(reads, windows).groupBy("chrom", "bin", "window_id").agg(F.count("*").alias("n")).select("window_id"), "window_id", "left_semi")
 
 
 @query
 def deletion_variants(spark: SparkSession, sf: str) -> DataFrame:
-    return variants.regions(_records(spark, sf))
+    return _carried(spark, sf)
 
 
 @query
 def all_variant_types(spark: SparkSession, sf: str) -> DataFrame:
-    return variants.regions(_records(spark, sf), variant_type="any", carriers=False).groupBy("sv_type", "size_class").agg(F.count("*").alias("n"), F.sum("length").alias("total"))
+    return variants.regions(_records(spark, sf), variant_type="any").groupBy("sv_type", "size_class").agg(F.count("*").alias("n"), F.sum("length").alias("total"))
 
 
 @query
 def size_class_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return variants.regions(_records(spark, sf)).groupBy("size_class").agg(F.count("*").alias("n"))
+    return _carried(spark, sf).groupBy("size_class").agg(F.count("*").alias("n"))
 
 
 @query
 def region_filters(spark: SparkSession, sf: str) -> DataFrame:
-    rows = variants.regions(_records(spark, sf))
+    rows = _carried(spark, sf)
     kept = variants.selected(rows, ("SMALL", "MEDIUM", "LARGE"), max_length=900, exclude=variants.SEX)
     autosomal = variants.selected(kept, chroms=variants.TRAIN + variants.VALIDATION)
     return autosomal.groupBy("chrom").agg(F.count("*").alias("n"), F.sum("length").alias("total"))
@@ -83,7 +83,7 @@ def region_filters(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def excluded_chromosomes(spark: SparkSession, sf: str) -> DataFrame:
     out = F.col("chrom").isin(*variants.SEX)
-    return variants.regions(_records(spark, sf)).agg(F.count_if(out).alias("excluded"), F.count_if(~out).alias("kept"))
+    return _carried(spark, sf).agg(F.count_if(out).alias("excluded"), F.count_if(~out).alias("kept"))
 
 
 @query
@@ -166,7 +166,7 @@ def clip_counts(spark: SparkSession, sf: str) -> DataFrame:
 def reads_per_window(spark: SparkSession, sf: str) -> DataFrame:
     pairs = alignments.reads_in_windows(_reads(spark, sf), _windows(spark, sf))
     clipped = F.exists("ops", lambda o: o["op"].isin(*cigar.CLIPS))
-    return pairs.groupBy("window_id").agg(F.count("*").alias("n_reads"), F.sum("mapq").alias("mapq_sum"), F.count_if(clipped).alias("clipped"))
+    return pairs.groupBy("chrom", "bin", "window_id").agg(F.count("*").alias("n_reads"), F.sum("mapq").alias("mapq_sum"), F.count_if(clipped).alias("clipped")).drop("chrom", "bin")
 
 
 @query
@@ -174,14 +174,14 @@ def reads_rollup(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: variants to windows, joined with reads, summed up by chromosome and label."""
     windows = _windows(spark, sf)
     pairs = alignments.reads_in_windows(_reads(spark, sf), windows)
-    per = pairs.groupBy("window_id").agg(F.count("*").alias("n_reads"), F.sum("mapq").alias("mapq_sum"))
+    per = pairs.groupBy("chrom", "bin", "window_id").agg(F.count("*").alias("n_reads"), F.sum("mapq").alias("mapq_sum")).drop("chrom", "bin")
     rows = windows.join(per, "window_id", "left").withColumn("label", F.col("label").cast("string"))
     return rows.rollup("chrom", "label").agg(F.count("*").alias("windows"), F.coalesce(F.sum("n_reads"), F.lit(0)).alias("n_reads"), F.round(F.sum("mapq_sum") / F.sum("n_reads"), 9).alias("mean_mapq"))
 
 
 @query
 def window_clips(spark: SparkSession, sf: str) -> DataFrame:
-    windows = _deletion_windows(spark, sf)
+    windows = _windows(spark, sf)
     rows = windows.select("window_id", "chrom", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("pos"))
     rows = rows.join(alignments.clips(_reads(spark, sf)), ["chrom", "pos"], "left").withColumn("clip", F.coalesce("clip", F.lit(0)))
     return rows.groupBy("window_id").agg(F.sum("clip").alias("clips"), F.max("clip").alias("most"), F.count_if(F.col("clip") > 0).alias("positions"))
@@ -215,13 +215,13 @@ def first_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def shuffled_regions(spark: SparkSession, sf: str) -> DataFrame:
-    order = Window.partitionBy("chrom").orderBy(sampling.shuffle_key("region_id"), "region_id")
-    return _regions(spark, sf).select("region_id", "chrom", F.row_number().over(order).alias("place"))
+    rows = sampling.first_by_key(_regions(spark, sf), ["chrom"], [sampling.shuffle_key("region_id"), F.col("region_id")], F.lit((1 << 63) - 1), place="place")
+    return rows.select("region_id", "chrom", F.col("place").cast("int").alias("place"))
 
 
 @query
 def pileup_columns(spark: SparkSession, sf: str) -> DataFrame:
-    rows = alignments.pileup(_reads(spark, sf), _deletion_windows(spark, sf))
+    rows = alignments.pileup(_reads(spark, sf), _windows(spark, sf))
     n = lambda c: F.count_if(c)
     return rows.groupBy("window_id").agg(
         F.count("*").alias("n"), F.max("row_idx").alias("rows"), F.sum("mapq").alias("mapq_sum"), F.sum((F.col("pos") - F.col("start")) * (F.col("row_idx") + 1)).alias("place_sum"),
@@ -237,26 +237,30 @@ def _cell_sums(cells: DataFrame) -> DataFrame:
 @query
 def image_cells(spark: SparkSession, sf: str) -> DataFrame:
     reads = _reads(spark, sf)
-    return _cell_sums(images.cells(alignments.pileup(reads, _deletion_windows(spark, sf)), alignments.clips(reads)))
+    return _cell_sums(images.cells(alignments.pileup(reads, _windows(spark, sf), clips=alignments.clips(reads))))
+
+
+def _palette(reads: DataFrame) -> DataFrame:
+    letter = lambda k, m: (F.ascii(F.substring("kmer", k, 1)) * m % 256)
+    kmers = reads.select(F.substring("seq", 10, 6).alias("kmer")).where(F.startswith("kmer", F.lit("A"))).distinct()
+    return kmers.withColumns({"r": letter(2, 7), "g": letter(3, 11), "b": letter(4, 13)})
 
 
 @query
 def image_cells_kmer(spark: SparkSession, sf: str) -> DataFrame:
     reads = _reads(spark, sf)
-    letter = lambda k, m: (F.ascii(F.substring("kmer", k, 1)) * m % 256)
-    palette = reads.select(F.substring("seq", 10, 6).alias("kmer")).where(F.startswith("kmer", F.lit("A"))).distinct().withColumns({"r": letter(2, 7), "g": letter(3, 11), "b": letter(4, 13)})
-    return _cell_sums(images.cells(alignments.pileup(reads, _deletion_windows(spark, sf)), alignments.clips(reads), palette))
+    return _cell_sums(images.cells(alignments.pileup(reads, _windows(spark, sf)), palette=_palette(reads)))
 
 
 @query
 def insert_size_stats(spark: SparkSession, sf: str) -> DataFrame:
-    stats = tensors.insert_size_stats(tensors.window_reads(_reads(spark, sf), _deletion_windows(spark, sf)))
+    stats = tensors.insert_size_stats(tensors.window_reads(_reads(spark, sf), _windows(spark, sf)))
     return stats.select("window_id", F.round("insert_mean", 6).alias("insert_mean"), F.round("insert_std", 6).alias("insert_std"))
 
 
 @query
 def tensor_channel_means(spark: SparkSession, sf: str) -> DataFrame:
-    means = tensors.channel_means(tensors.tensor_cells(_reads(spark, sf), _deletion_windows(spark, sf)))
+    means = tensors.channel_means(tensors.tensor_cells(_reads(spark, sf), _windows(spark, sf)))
     return means.select("window_id", *((F.round(c, 6) + 0.0).alias(c) for c in tensors.CHANNELS))
 
 
@@ -309,7 +313,7 @@ def deletion_candidates(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def context_sequence(spark: SparkSession, sf: str) -> DataFrame:
     contigs = context.rechunk(fixtures.table(spark, sf, "contigs"))
-    seqs = context.sequences(_deletion_windows(spark, sf), contigs, chunk=4096)
+    seqs = context.sequences(_windows(spark, sf), contigs, chunk=4096)
     return seqs.select("window_id", F.length("seq").alias("bases"), F.md5("seq").alias("seq_md5"))
 
 
@@ -351,6 +355,80 @@ def windows_with_context(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("chrom").agg(F.count("*").alias("n"), F.count("context_raw").alias("with_context"))
 
 
+def _as_text(lines: DataFrame, name: str) -> str:
+    path = scratch_path(lines.sparkSession, name)
+    lines.write.text(path)
+    return path
+
+
+@query
+def variants_from_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The variants written as variant text for two samples, and one sample's records read back."""
+    rows = fixtures.table(spark, sf, "variants")
+    info = F.concat_ws(";", F.concat(F.lit("SVTYPE="), "svtype"), F.concat(F.lit("END="), "info_end"), F.lit("IMPRECISE"))
+    line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "id", "ref", "alt", F.lit("."), F.lit("PASS"), info, F.lit("GT:DP"), F.lit("1/1:9"), F.concat("gt", F.lit(":7")))
+    header = spark.createDataFrame([("##fileformat=VCFv4.3",), ("\t".join([*text_formats.COLUMNS, "S1", "S2"]),)], "value string")
+    read = text_formats.read_variants(spark, _as_text(header.unionByName(rows.select(line.alias("value"))), "variants"), "S2")
+    carried = variants.regions(read, carriers=True).select(F.col("region_id").alias("id"), "end", "sv_type")
+    alleles = F.array_join(F.transform("gt", lambda a: F.coalesce(a.cast("string"), F.lit("."))), "|")
+    return read.select("chrom", "pos", "id", "ref", F.array_join("alts", ",").alias("alt"), "svtype", "info_end", alleles.alias("gt")).join(carried, "id", "left")
+
+
+@query
+def alignments_from_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The reads written as alignment text and read back; rows without CIGAR are left out by the reader."""
+    rows = _reads(spark, sf)
+    line = lambda cigar: F.concat_ws("\t", "qname", F.col("flag").cast("string"), "chrom", (F.col("ref_start") + 1).cast("string"), F.col("mapq").cast("string"), cigar, F.lit("*"), F.lit("0"), F.col("tlen").cast("string"), "seq", "qual")
+    lines = rows.select(F.explode(F.array(line(F.col("cigar")), F.when(F.col("mapq") == 0, line(F.lit("*"))))).alias("value")).where("value is not null")
+    return text_formats.read_alignments(spark, _as_text(lines, "alignments"))
+
+
+@query
+def contigs_from_header(spark: SparkSession, sf: str) -> DataFrame:
+    lines = contig_lengths(spark, sf).select(F.concat(F.lit("@SQ\tSN:"), "chrom", F.lit("\tLN:"), "length").alias("value"))
+    found, more = text_formats.alignment_contigs(spark, _as_text(lines, "header"))
+    return found.select("contig", "length", F.lit(more).alias("more"))
+
+
+@query
+def reference_from_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The contigs written as FASTA and read back line by line."""
+    chunks = fixtures.table(spark, sf, "contigs").groupBy("chrom").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_start", "seq"))), lambda x: x["seq"]), "\n").alias("lines"))
+    return text_formats.read_reference(spark, _as_text(chunks.select(F.concat(F.lit(">"), "chrom", F.lit(" a contig\n"), "lines").alias("value")), "reference"))
+
+
+@query
+def dataset_by_split(spark: SparkSession, sf: str) -> DataFrame:
+    """The windows written as a dataset and one split read back."""
+    path = scratch_path(spark, "dataset")
+    rows = sampling.with_split(_windows(spark, sf)).withColumn("sample", F.lit("S1"))
+    text_formats.write_dataset(rows, path)
+    return text_formats.read_dataset(spark, path, "train").groupBy("chrom", "label").agg(F.count("*").alias("n"), F.min("start").alias("first"), F.max("end").alias("last")).withColumn("chrom", F.col("chrom").cast("string"))
+
+
+@query
+def metrics_as_text(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "metrics")
+    text_formats.write_metrics(metrics.summary(_predictions(spark, sf), ["epoch"]), path)
+    return spark.read.json(path).select(F.col("epoch").cast("int").alias("epoch"), F.round("weighted_f1", 9).alias("weighted_f1"), F.round("accuracy", 9).alias("accuracy"))
+
+
+@query
+def call_file(spark: SparkSession, sf: str) -> DataFrame:
+    """A file of calls with its header, line by line."""
+    path = scratch_path(spark, "calls")
+    text_formats.write_calls(jobs.call_deletions(fixtures.table(spark, sf, "predictions")), path, "20240101", 0.6, one_file=True, sample="S1")
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("id"))  # one file, whose splits are read in their order
+    return lines.select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("id")).alias("k"), F.col("value").alias("line"))
+
+
+@query
+def tensor_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Sums of all windows' tensor channels by row and column."""
+    cells = tensors.tensor_cells(_reads(spark, sf), _windows(spark, sf))
+    return cells.groupBy("row_idx", "col_idx").agg(F.count("*").alias("n"), *((F.round(F.sum(c), 4) + 0.0).alias(c) for c in tensors.CHANNELS))
+
+
 @query
 def confusion_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.confusion(_predictions(spark, sf))

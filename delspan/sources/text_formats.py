@@ -10,9 +10,15 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-HEADER = ("##fileformat=VCFv4.3", "##FILTER=<ID=PASS,Description=\"All filters passed\">", "##FILTER=<ID=LowQual,Description=\"Low quality\">", "##INFO=<ID=SVTYPE,Number=1,Type=String,Description=\"Type of structural variant\">", "##INFO=<ID=END,Number=1,Type=Integer,Description=\"End position\">", "##INFO=<ID=SVLEN,Number=1,Type=Integer,Description=\"Length\">", "##FORMAT=<ID=GT,Number=1,Type=String,Description=\"Genotype\">")
-COLUMNS = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tSAMPLE"
+#: Header lines of call files, after the two with the format and the date.
+HEADER = (
+    "##source=delspan", '##ALT=<ID=DEL,Description="Deletion">', '##FILTER=<ID=PASS,Description="All filters passed">', '##FILTER=<ID=LowQual,Description="Low quality">',
+    '##INFO=<ID=SVTYPE,Number=1,Type=String,Description="Type of structural variant">', '##INFO=<ID=END,Number=1,Type=Integer,Description="End position">', '##INFO=<ID=SVLEN,Number=1,Type=Integer,Description="Length">',
+    '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">',
+)
+COLUMNS = ("#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT")
 
 
 def _fields() -> Callable[[int], Column]:
@@ -75,12 +81,26 @@ def alignment_contigs(spark: SparkSession, path: str, first: int = 25) -> tuple[
 
 
 def read_reference(spark: SparkSession, path: str) -> DataFrame:
-    """``chrom, chunk_start, seq`` (upper case): one row for each line of a wrapped FASTA file, whose lines but the last are equally long."""
-    records = spark.read.option("lineSep", "\n>").text(path).where(F.length("value") > 0)
-    lines = F.filter(F.split("value", "\r?\n"), lambda s: F.length(s) > 0)
-    name = F.regexp_extract(lines[0], r"^>?(\S+)", 1)
-    chunks = records.select(name.alias("chrom"), F.slice(lines, 2, F.size(lines)).alias("lines")).select("chrom", F.length(F.try_element_at("lines", F.lit(1))).alias("width"), F.posexplode("lines").alias("k", "line"))
-    return chunks.select("chrom", (F.col("k") * F.col("width")).cast("bigint").alias("chunk_start"), F.upper("line").alias("seq"))
+    """``chrom, chunk_start, seq`` (upper case): one row for each line of FASTA text, however long its lines are.
+
+    Lines are numbered within the splits that Spark reads; of each split only its length and its last record's name and start go on to later
+    splits of the file, so a chromosome is never one value and a file is read by many tasks.
+    """
+    lines = spark.read.text(path).select(F.rtrim("value").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"))
+    head = F.startswith("value", F.lit(">"))
+    lines = lines.where(F.length("value") > 0).withColumn("name", F.when(head, F.regexp_extract("value", r"^>(\S*)", 1))).withColumn("n", F.when(head, 0).otherwise(F.length("value")).cast("bigint"))
+    order = Window.partitionBy("file", "split").orderBy("id")
+    lines = lines.withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    record = F.last(F.when(F.col("name").isNotNull(), F.struct("name", F.col("upto").alias("at"))), ignorenulls=True)
+    lines = lines.withColumn("record", record.over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    splits = lines.groupBy("file", "split").agg(F.sum("n").alias("n"), F.max_by("record", "id").alias("last"))
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    last = F.when(F.col("last").isNotNull(), F.struct(F.col("last.name").alias("name"), (F.col("before") + F.col("last.at")).alias("at")))
+    splits = splits.select("file", "split", "before", F.last(last, ignorenulls=True).over(earlier).alias("open"))
+    rows = lines.where("name is null").join(splits, ["file", "split"])
+    start = F.col("before") + F.col("upto") - F.coalesce(F.col("before") + F.col("record.at"), F.col("open.at"))
+    return rows.select(F.coalesce("record.name", "open.name").alias("chrom"), start.alias("chunk_start"), F.upper("value").alias("seq"))
 
 
 def call_lines(calls: DataFrame, min_quality: float = 0.5) -> DataFrame:
@@ -90,10 +110,10 @@ def call_lines(calls: DataFrame, min_quality: float = 0.5) -> DataFrame:
     return calls.where(F.col("quality") >= min_quality).select("chrom", "start", line.alias("line"))
 
 
-def write_calls(calls: DataFrame, path: str, date: str, min_quality: float = 0.5, one_file: bool = False) -> None:
-    """Write calls as variant text, sorted by chromosome name and start after the header. ``date``: for the header."""
+def write_calls(calls: DataFrame, path: str, date: str, min_quality: float = 0.5, one_file: bool = False, sample: str = "SAMPLE") -> None:
+    """Write calls as variant text, sorted by chromosome name and start after the header. ``date`` and ``sample``: for the header."""
     spark = calls.sparkSession
-    head = [HEADER[0], f"##fileDate={date}", *HEADER[1:], COLUMNS]
+    head = ["##fileformat=VCFv4.3", f"##fileDate={date}", *HEADER, "\t".join([*COLUMNS, sample])]
     header = spark.createDataFrame([(0, k, "", 0, x) for k, x in enumerate(head)], "part int, k int, chrom string, start long, line string")
     body = call_lines(calls, min_quality).select(F.lit(1).alias("part"), F.lit(0).alias("k"), "chrom", "start", "line")
     lines = header.unionByName(body)

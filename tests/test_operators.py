@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from delspan.functions import colours, names
-from delspan.operators import context, images, metrics, refine, regions, sampling, scoring, tensors, variants
+from delspan.operators import alignments, context, images, metrics, refine, regions, sampling, scoring, tensors, variants
 from delspan.plans import jobs
 
 
@@ -40,6 +40,124 @@ def test_overlap_join_equals_nested_loop(spark):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_window_join_equals_nested_loop(spark):
+    rng = np.random.default_rng(4)
+    reads = [(f"r{i}", str(rng.integers(1, 3)), int(s), int(s + rng.integers(1, 900))) for i, s in enumerate(rng.integers(0, 3000, 200))]
+    windows = [(f"w{i}", str(rng.integers(1, 3)), int(s), int(s + rng.integers(1, 51))) for i, s in enumerate(rng.integers(0, 3500, 150))]
+    left = frame(spark, reads, "qname string, chrom string, ref_start long, ref_end long")
+    got = regions.window_join(left, frame(spark, windows, "window_id string, chrom string, start long, end long"), bin_size=64)
+    want = {(q, w) for q, c, a, b in reads for w, d, s, e in windows if c == d and a < e and b > s}
+    rows = [tuple(r) for r in got.select("qname", "window_id").collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    assert got.groupBy("window_id").agg(F.countDistinct("bin").alias("n")).where("n > 1").count() == 0
+    with pytest.raises(Exception, match="wider than 50"):
+        regions.window_join(left, frame(spark, [("w", "1", 0, 51)], "window_id string, chrom string, start long, end long")).collect()
+
+
+@pytest.mark.parametrize("gap", [0, 7])
+def test_merge_equals_a_plain_loop(spark, monkeypatch, gap):
+    monkeypatch.setattr(regions, "MERGE_BIN", 40)
+    rng = np.random.default_rng(5)
+    rows = [(str(rng.integers(1, 4)), int(s), int(s + rng.integers(1, rng.choice([10, 200]))), float(round(rng.random(), 3))) for s in rng.integers(0, 6000, 120)]
+    want: list[list] = []
+    for c, s, e, p in sorted(rows):
+        if want and want[-1][0] == c and s <= want[-1][2] + gap:
+            want[-1][2] = max(want[-1][2], e)
+            want[-1][3].append(p)
+        else:
+            want.append([c, s, e, [p]])
+    got = regions.merge_adjacent(frame(spark, rows, "chrom string, start long, end long, prob double"), gap).orderBy("chrom", "start").collect()
+    assert [(r.chrom, r.start, r.end, r.n, r.max_prob) for r in got] == [(c, s, e, len(p), max(p)) for c, s, e, p in want]
+    assert [r.mean_prob for r in got] == pytest.approx([sum(p) / len(p) for *_, p in want])
+
+
+def read(qname, flag, start, seq, qual, mapq=60, cigar=None):
+    return (qname, flag, "1", start, mapq, cigar or f"{len(seq)}M", 0, seq, qual)
+
+
+READS = "qname string, flag int, chrom string, ref_start long, mapq long, cigar string, tlen long, seq string, qual string"
+
+
+def test_one_base_of_two_overlapping_mates(spark):
+    reads = frame(spark, [read("m", 99, 10, "AAAAAA", "555555"), read("m", 147, 12, "CCCCCC", "66!666"), read("n", 0, 11, "GGGG", "5555"), read("low", 0, 10, "TTTTTT", "!!!!!!"), read("orphan", 1, 10, "TTTTTT", "555555"), read("copy", 1024, 10, "TTTTTT", "555555")], READS)
+    window = frame(spark, [("w", "1", 10, 20), ("v", "1", 13, 14)], "window_id string, chrom string, start long, end long")
+    rows = alignments.pileup(reads, window)
+    column = lambda w, pos: [(r.base, r.row_idx) for r in rows.where((F.col("window_id") == w) & (F.col("pos") == pos)).orderBy("row_idx").collect()]
+    assert column("w", 10) == [("A", 0)] and column("w", 11) == [("A", 0), ("G", 1)]
+    assert column("w", 12) == [("G", 0), ("C", 1)]  # the second mate's base is better
+    assert column("w", 14) == [("A", 0), ("G", 1)]  # here it is worse
+    assert column("w", 13) == column("v", 13) == [("G", 0), ("C", 1)] and column("w", 17) == [("C", 0)] and rows.where("window_id = 'v'").count() == 2
+    both = alignments.pileup(reads, window, alignments.PileupOptions(one_of_overlapping_mates=False, ignore_orphans=False, exclude_flags=0, min_base_quality=0))
+    assert both.where("window_id = 'w' and pos = 12").count() == 6
+    assert alignments.pileup(reads, window, alignments.PileupOptions(max_depth=1)).where("window_id = 'w' and pos = 12").count() == 1
+
+
+def test_cells_of_both_colourings(spark, tmp_path):
+    reads = frame(spark, [read("a", 3, 10, "ACGT", "5555"), read("b", 3, 11, "CGTA", "5555", mapq=10, cigar="2S4M")], READS)
+    window = frame(spark, [("w", "1", 10, 20)], "window_id string, chrom string, start long, end long")
+    reads = reads.withColumn("seq", F.when(F.col("qname") == "b", "GGCGTA").otherwise(F.col("seq"))).withColumn("qual", F.when(F.col("qname") == "b", "555555").otherwise(F.col("qual")))
+    clips = alignments.clips(reads)
+    rows = alignments.pileup(reads, window, clips=clips)
+    plain = {(r.pos, r.row_idx): (r.x0, r.y0, r.x1, r.y1, r.r, r.g, r.b) for r in images.cells(rows).collect()}
+    assert plain[10, 0] == (5, 5, 10, 10, 255, 0, 0)  # A, no flags, no clip
+    assert plain[11, 0] == (10, 5, 15, 10, 1, 1, 255)  # C; one read is clipped here
+    assert plain[11, 1] == (10, 10, 15, 15, 71, 71, 255)  # low mapping quality: 50 + 10 * 2, and the clip
+    joined = {(r.pos, r.row_idx): (r.x0, r.y0, r.x1, r.y1, r.r, r.g, r.b) for r in images.cells(rows.drop("clip"), clips).collect()}
+    assert joined == plain
+    (tmp_path / "p.json").write_text('{"NNNACG": [1, 2, 3],\n "NGGCGT": [40, 50, 60]}')
+    palette = images.read_palette(spark, str(tmp_path / "p.json"))
+    found = {(r.pos, r.row_idx): (r.r, r.g, r.b) for r in images.cells(rows, palette=palette).collect()}
+    assert found[10, 0] == (1, 2, 3)  # the palette's colour as it is
+    assert found[11, 1] == (40, 50, 60)  # neither flags nor clips change it
+    assert {v for k, v in found.items() if k not in ((10, 0), (11, 1))} == {(0, 0, 0)}  # black where the palette has none
+
+
+def test_unknown_size_classes(spark):
+    rows = frame(spark, [("a", "1", 0, 10, 10, "SMALL")], "region_id string, chrom string, start long, end long, length long, size_class string")
+    with pytest.raises(ValueError, match="TINY"):
+        variants.selected(rows, ("SMALL", "TINY"))
+    with pytest.warns(UserWarning, match="TINY"):
+        assert variants.selected(rows, ("SMALL", "TINY"), lenient=True).count() == 1
+
+
+def test_resampling_draws_exactly(spark):
+    rows = frame(spark, [(f"w{i}", int(i % 50 == 0)) for i in range(1000)], "window_id string, label int")
+    got = sampling.resampled(rows, 3000)
+    by = {r.label: r["count"] for r in got.groupBy("label").count().collect()}
+    assert sum(by.values()) == 3000 and abs(by[1] - 1500) < 200
+    again = sampling.resampled(rows.repartition(5), 3000)
+    assert again.exceptAll(got).count() == 0 and got.exceptAll(again).count() == 0
+    most = got.where("label = 1").groupBy("window_id").count().agg(F.min("count"), F.max("count"), F.count("*")).first()
+    assert most[2] == 20 and most[0] > 30 and most[1] < 130
+    assert sampling.resampled(rows.where("label = 0"), 10).count() == 10 and sampling.resampled(rows.limit(0), 10).count() == 0
+
+
+def test_curve_of_scores_near_zero(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(y), float(p)) for y, p in zip(rng.integers(0, 2, 400), rng.random(400) / 1000, strict=True)]
+    got = metrics.roc_curve(frame(spark, rows, "label int, prob double")).collect()
+    pos, neg = sum(y for y, _ in rows), sum(1 - y for y, _ in rows)
+    assert len(got) == len({p for _, p in rows})
+    for r in got[::17]:
+        assert r.tpr == pytest.approx(sum(y for y, p in rows if p >= r.prob) / pos) and r.fpr == pytest.approx(sum(1 - y for y, p in rows if p >= r.prob) / neg)
+
+
+def test_kmer_frequencies_by_hand():
+    got = context.kmer_frequencies()("ACGNACGTé")
+    assert got.sum() == pytest.approx(1) and got[6] == pytest.approx(2 / 3) and got[27] == pytest.approx(1 / 3)  # ACG twice, CGT once
+    assert context.kmer_frequencies()("AC").sum() == 0
+
+
+def test_candidate_means_are_compared_with_floored_four_fifths(spark, monkeypatch):
+    """Scaled means 3, 4 and 90: 3 is below 3.2 but not below its floor, so there is no candidate; 2 is."""
+    monkeypatch.setattr(refine, "with_clusters", lambda smooth: smooth)
+    monkeypatch.setattr(refine, "smoothed", lambda rows, right_extra=0: rows)
+    monkeypatch.setattr(refine, "profile", lambda ranges, depth, clips, pad=0: ranges)
+    schema = "region_id string, pos long, depth long, median double, cluster int"
+    rows = [(name, 10 * k, 5, m / 5, k) for name, low in (("a", 3.0), ("b", 2.0)) for k, m in enumerate((90.0, low, 4.0))]
+    assert [r.region_id for r in refine.candidates(frame(spark, rows, schema), None, None).collect()] == ["b"]
+
+
 def test_merge_across_bins(spark):
     big = regions.MERGE_BIN
     rows = frame(spark, [("1", 0, 50, 0.6), ("1", 50, 100, 0.8), ("1", 150, 200, 0.9), ("1", big - 50, big, 0.7), ("1", big, big + 50, 0.9), ("2", 0, 50, 1.0)], "chrom string, start long, end long, prob double")
@@ -127,7 +245,7 @@ def test_failing_rows_score_zero(spark):
     def load():
         def model(x):
             if (x < 0).any():
-                raise ValueError("bad row")
+                raise KeyError("bad row")
             return x.sum(axis=1)
 
         return model

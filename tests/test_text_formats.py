@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,12 +63,13 @@ def test_contigs_and_samples(spark, files):
 
 
 def test_variants(spark, files):
-    regions = {r.region_id: r for r in variants.regions(t.read_variants(spark, f"{files}/a.vcf", "S1")).collect()}
+    regions = {r.region_id: r for r in variants.regions(t.read_variants(spark, f"{files}/a.vcf", "S1"), carriers=True).collect()}
     assert {k: (r.start, r.end, r.length, r.size_class, r.sv_type) for k, r in regions.items()} == {
         "a": (100, 400, 300, "MEDIUM", "DEL"), "b": (900, 1601, 701, "LARGE", "DEL"), "c": (50, 54, 4, "SMALL", "DEL"), "e": (10, 1010, 1000, "VERY_LARGE", "CNV"),
     }
-    assert [r.region_id for r in variants.regions(t.read_variants(spark, f"{files}/a.vcf", "S2")).collect()] == ["c"]
+    assert [r.region_id for r in variants.regions(t.read_variants(spark, f"{files}/a.vcf", "S2"), carriers=True).collect()] == ["c"]
     assert variants.regions(t.read_variants(spark, f"{files}/a.vcf"), variant_type="non_deletion").count() == 5  # filters nothing
+    assert variants.regions(t.read_variants(spark, f"{files}/a.vcf")).count() == 4  # no sample, no look at genotypes
     with pytest.raises(ValueError, match="S9"):
         t.read_variants(spark, f"{files}/a.vcf", "S9")
     found = {(r.region_id, r.kind): (r.start, r.end) for r in variants.anchors(variants.regions(t.read_variants(spark, f"{files}/a.vcf", "S1"))).collect()}
@@ -80,14 +83,34 @@ def test_reference(spark, files):
     assert [tuple(r) for r in rows] == [("1", 0, "ACGTN"), ("1", 5, "ACGTA"), ("2", 0, "GGCC")]
 
 
+def test_reference_in_many_splits(spark, tmp_path):
+    rng = random.Random(3)
+    text, want = "", []
+    for c in "abcdef":
+        text, at = f"{text}>{c} about {c}\r\n", 0
+        for _ in range(rng.randrange(40)):
+            line = "".join(rng.choice("ACGTn") for _ in range(rng.randrange(1, 70)))
+            text += line + "\r\n"
+            want.append((c, at, line.upper()))
+            at += len(line)
+    (tmp_path / "r.fa").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500b")
+    try:
+        got = t.read_reference(spark, str(tmp_path / "r.fa")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_calls_as_text(spark, tmp_path):
     calls = spark.createDataFrame([("2", 5, 9, 0.9, "PASS"), ("10", 7, 9, 0.6, "LowQual"), ("1", 100, 150, 0.29, "LowQual")], "chrom string, start long, end long, quality double, filter_status string")
     line = t.call_lines(calls, 0.0).where("chrom = '1'").first().line
     assert line == "1\t100\t.\tN\t<DEL>\t28\tLowQual\tSVTYPE=DEL;END=150;SVLEN=-50\tGT\t0/1"
-    t.write_calls(calls, str(tmp_path / "c"), "20240101", one_file=True)
+    t.write_calls(calls, str(tmp_path / "c"), "20240101", one_file=True, sample="NA1")
     lines = [r.value for r in spark.read.text(str(tmp_path / "c")).collect()]
-    assert lines[0] == "##fileformat=VCFv4.3" and lines[1] == "##fileDate=20240101" and lines[8].startswith("#CHROM")
-    assert [x.split("\t")[0] for x in lines[9:]] == ["10", "2"]  # as text
+    assert lines[0] == "##fileformat=VCFv4.3" and lines[1] == "##fileDate=20240101" and "##ALT=<ID=DEL,Description=\"Deletion\">" in lines and "##source=delspan" in lines
+    assert lines[10].endswith("FORMAT\tNA1") and [x.split("\t")[0] for x in lines[11:]] == ["10", "2"]  # as text
 
 
 def test_dataset_round_trip(spark, tmp_path):
