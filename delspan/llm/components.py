@@ -2,7 +2,8 @@
 
 Each round joins every vertex with the least vertex of its neighbourhood and rewrites edges towards it; only minima are
 aggregated, so no neighbourhood is ever gathered, and a vertex with very many neighbours is a skewed join side that
-Spark splits. The number of rounds grows with the logarithm of the longest path. Every round ends in a written table.
+Spark splits. The number of rounds grows with the logarithm of the longest path. Every round ends in a written table, and the
+one before it is removed.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -31,9 +32,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "large_star")
+        discard(now)
         # small star: each vertex connects its lesser neighbours and itself with the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
         now = materialize(small.distinct(), "small_star")
+        discard(large)
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct()
     return now.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionAll(roots)

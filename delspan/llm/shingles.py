@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
+from itertools import chain
 
 import numpy as np
 import xxhash
@@ -36,18 +38,40 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def shingle_sets(texts: Sequence[str | None], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, how many of them are each text's): the distinct shingles of ``words`` words of one text after another, sorted by hash.
+
+    A-Z count as a-z; with fewer words the whole sequence is one shingle; a null text has no words.
+    """
+    found = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]  # both only touch ASCII
+    count = np.fromiter(map(len, found), np.int64, len(found))
+    h = mix(np.fromiter(map(_hashes.__getitem__, chain.from_iterable(found)), np.uint64, int(count.sum())))
+    size = np.minimum(count, words)
+    number = np.where(count > 0, count - size + 1, 0)
+    ends = np.cumsum(number)
+    begins = ends - number
+    at = np.repeat(np.cumsum(count) - count - begins, number) + np.arange(number.sum())
+    width = np.repeat(size, number)
+    total = width.astype(np.uint64)
+    for k in range(words):
+        wide = width > k
+        if wide.all():
+            total += h[at + k] * PLACES[k]
+        else:
+            total[wide] += h[at[wide] + k] * PLACES[k]
+    total = mix(total)
+    for s, e in zip(begins.tolist(), ends.tolist(), strict=True):
+        total[s:e].sort()
+    new = np.ones(len(total), bool)
+    new[1:] = total[1:] != total[:-1]
+    new[begins[number > 0]] = True
+    upto = np.r_[0, np.cumsum(new)]
+    return total[new], upto[ends] - upto[begins]
+
+
 def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """The distinct shingles of ``words`` words, sorted by hash. A-Z count as a-z; with fewer words the whole sequence is one shingle."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # both only touch ASCII
-    n = len(found)
-    if not n:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, found), np.uint64, n)
-    size = min(n, words)
-    total = np.full(n - size + 1, size, np.uint64)
-    for k in range(size):
-        total += mix(h[k : k + n - size + 1]) * PLACES[k]
-    return np.unique(mix(total))
+    """The distinct shingles of one text."""
+    return shingle_sets([text], words)[0]
 
 
 def digest(shingles: np.ndarray) -> bytes:

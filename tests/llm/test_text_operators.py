@@ -282,14 +282,53 @@ def test_similar_odd_tables(spark):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in rows) == [("3", 2, "3"), ("5", 2, "3"), ("5", 2, "3"), ("None", 2, "None")]
     kept = ngram_join.keep_one_of_each(docs(spark, ["a b c d", "a b c d", "q", None], ids=[5, 5, None, 3])).collect()
     assert sorted(str(r.doc_id) for r in kept) == ["3", "5", "None"]
+    kept = ngram_join.keep_one_of_each(docs(spark, ["a b c d e f", "q r s t u v", "q r s t u v", "", "", "q r s t u v"], ids=[5, 5, 5, 7, 7, 9])).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(5, "a b c d e f"), (5, "q r s t u v"), (7, ""), (7, "")]
 
 
 def test_similar_query_equals_sql(spark):
     assert_same(QUERIES["op10_ngram_join"](spark, SF), ORACLES["op10_ngram_join"])
 
 
-def test_first_order_is_total():
-    frequent = np.array([(5, 2), (9, 1)], [("token", np.uint64), ("rank", np.uint64)])
-    place = ngram_join.first_order(np.array([1, 5, 9, 12], np.uint64), frequent)
-    assert place[2] < place[1] and (place[[0, 3]] < place[2]).all()
-    assert F
+def test_prefixes_are_of_one_order():
+    """Sets of the required similarity share a token of their prefixes, whatever the counts, in small and large sets."""
+    rng = np.random.default_rng(19)
+    for percent in (90, 80):
+        for n in (1, 2, 5, 11, 40, 300):
+            a = np.unique(rng.integers(0, 2**63, n, dtype=np.int64)).view(np.uint64)
+            ids, sent, need = ngram_join.counted_tokens(np.concatenate([a, a]), np.array([len(a), len(a)]), percent)
+            assert sent[0] == sent[1] and (ids[: sent[0]] == ids[sent[0] :]).all()
+            assert sent[0] >= need[0] == ngram_join.prefix_length(len(a), percent)
+            every = np.sort(ngram_join.token_ids(a))
+            assert (np.sort(ids[: sent[0]]) == every[: sent[0]]).all()  # the first by hash, so the pool comes before all others
+            assert sent[0] == max(need[0], (every < ngram_join.pool_limit(percent)).sum())
+            assert [len(np.frombuffer(p, np.uint32)) for p in ngram_join.further_prefixes(a, percent)] == [need[0]] * ngram_join.ORDERS
+
+
+def test_sketches_never_overstate():
+    rng = np.random.default_rng(20)
+    x = np.unique(rng.integers(0, 2**63, 700, dtype=np.int64).view(np.uint64))
+    sets = [x[:40], x[:400], x[20:420], x[100:700]]
+    found = ngram_join._Sketches([ngram_join.sketch(s) for s in sets])
+    for i in range(4):
+        for j in range(4):
+            assert found.far(np.array([i]), np.array([j]))[0] <= len(np.setxor1d(sets[i], sets[j]))
+
+
+def test_family_below_the_threshold_sends_few_pairs(spark, monkeypatch):
+    """Copies of a template that differ too much to link: nearly all pairs are left out before they leave a block."""
+    monkeypatch.setattr(ngram_join, "SMALL", 4)
+    sent = []
+    plain = ngram_join._verify
+    monkeypatch.setattr(ngram_join, "_verify", lambda pairs, *rest: sent.append(pairs.count()) or plain(pairs, *rest))
+    rng = random.Random(21)
+    base = [f"v{k}" for k in range(300)]
+    texts = []
+    for i in range(60):
+        w = list(base)
+        for k in range(9):
+            w[rng.randrange(300)] = f"e{i}_{k}"
+        texts.append(" ".join(w))
+    got = ngram_join.similar(docs(spark, texts), words=5, percent=80).collect()
+    assert [tuple(r)[1:] for r in sorted(got, key=lambda r: r.doc_id)] == brute_components(texts, 5, 80)
+    assert sum(sent) < 60 * 59 / 2 / 4, sent
