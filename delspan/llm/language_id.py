@@ -6,74 +6,84 @@ weighed by the square root of its count, so that a line repeated many times does
 prototype bundles the unit profiles of its training documents. A text gets the language whose prototype, taken from the mean of all prototypes,
 has the greatest cosine with its own profile, taken from the same mean; the score is that cosine with the plain prototype.
 
-Texts are lower-cased; runs of other characters than letters become one blank, with a blank at either end. Letters a to z have
-vectors of their own, all others share ``OTHER`` vectors by their code.
+Texts are lower-cased; runs of other characters than letters become one blank, with a blank at either end. Every letter of Unicode has a
+vector of its own, drawn from its code point.
 
-Training looks at text and label only, of a bounded sample: about ``TRAIN_DOCS`` labelled documents outside the held-out
-fold. Prediction looks at the text only, the whole of it.
+Training looks at text and label only, of a bounded sample: about ``TRAIN_DOCS`` different labelled texts outside the held-out
+fold, as many of each label as far as it has them. Prediction looks at the text only, the whole of it.
+
+:func:`keep_identified` rejects texts that don't resemble any language: those without letters, and those whose greatest centred cosine isn't
+``CHANCE`` standard deviations above what a random vector has. If nothing was learned, it keeps all texts with letters.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0; so is every text if nothing was
 learned. Ties go to the label that is first in code-point order. Rows are treated one by one, so repeated rows give repeated
 results and an empty table an empty result; a null id counts as the empty string in the fold; other columns are not looked at.
+More than ``LABELS`` labels are an error: their prototypes go to every worker.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEPT, keep_only
+from .common import KEPT, give_back, keep_only, lean
 
-DIMENSIONS, OTHER, SEED, TRAIN_DOCS = 1024, 13, 5, 20_000
-LETTERS = 27 + OTHER
+DIMENSIONS, SEED, TRAIN_DOCS, LABELS, CHANCE = 1024, 5, 20_000, 2_000, 3.0
+#: A worker holds the vectors of so many letters, and draws those of others anew.
+HELD_LETTERS = 4_096
 UNKNOWN = "und"
 
 
+def letter_vector(code: int) -> np.ndarray:
+    return np.random.default_rng([SEED, code]).integers(0, 2, DIMENSIONS, dtype=np.int8) * 2 - 1
+
+
 class Profiles:
-    """Trigram vectors, and the profiles of texts."""
+    """Letter vectors, and the profiles of texts."""
 
     def __init__(self) -> None:
-        rng = np.random.default_rng(SEED)
-        letter = rng.integers(0, 2, (LETTERS, DIMENSIONS), dtype=np.int8) * 2 - 1
-        self.letters = np.roll(letter, 2, axis=1), np.roll(letter, 1, axis=1), letter
-        #: Vectors of the trigrams met so far, and each trigram's row among them.
-        self.grams = np.zeros((0, DIMENSIONS), np.int8)
-        self.row = np.full(LETTERS**3, -1, np.int32)
-        self.code = np.zeros(0x110000, np.uint8)
-        for c in range(0x110000):
-            if chr(c).isalpha():
-                self.code[c] = c - 96 if 97 <= c <= 122 else 27 + (c * 2654435761 >> 7) % OTHER
-
-    def bind(self, grams: np.ndarray) -> np.ndarray:
-        """The rows of these trigrams' vectors, made where they are missing."""
-        new = grams[self.row[grams] < 0]
-        if len(new):
-            a, b, c = self.letters
-            made = a[new // LETTERS**2] * b[new // LETTERS % LETTERS] * c[new % LETTERS]
-            self.row[new] = np.arange(len(self.grams), len(self.grams) + len(new))
-            self.grams = np.concatenate([self.grams, made])
-        return self.row[grams]
+        self.is_letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+        self.row: dict[int, int] = {}
+        #: The letters' vectors, rolled by two places, by one, and as they are.
+        self.letters = np.zeros((3, 64, DIMENSIONS), np.int8)
+
+    def _rows(self, codes: np.ndarray) -> np.ndarray:
+        """Where the vectors of these (different) letters stand."""
+        if len(self.row) + len(codes) > max(HELD_LETTERS, len(codes)):
+            self.row = {}
+        for c in codes.tolist():
+            if c not in self.row:
+                k = len(self.row)
+                if k == self.letters.shape[1]:
+                    self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)], axis=1)
+                v = letter_vector(c)
+                self.letters[:, k] = np.roll(v, 2), np.roll(v, 1), v
+                self.row[c] = k
+        return np.array([self.row[c] for c in codes.tolist()], np.int64)
 
     def profile(self, text: str | None) -> np.ndarray | None:
         """The bundle of a text's trigrams; None if it has no letter."""
-        codes = self.code[np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
-        codes = np.concatenate(([0], codes, [0])).astype(np.int64)
+        codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = np.concatenate(([0], np.where(self.is_letter[codes], codes, 0), [0])).astype(np.int64)
         codes = codes[np.r_[True, (codes[1:] != 0) | (codes[:-1] != 0)]]
         if len(codes) < 3:
             return None
-        grams = (codes[:-2] * LETTERS + codes[1:-1]) * LETTERS + codes[2:]
-        counts = np.bincount(grams)
-        seen = np.flatnonzero(counts)
+        letters, codes = np.unique(codes, return_inverse=True)
+        rows, n = self._rows(letters), len(letters)
+        grams, counts = np.unique((codes[:-2] * n + codes[1:-1]) * n + codes[2:], return_counts=True)
+        weights = np.sqrt(counts).astype(np.float32)
+        a, b, c = self.letters
         out = np.zeros(DIMENSIONS, np.float32)
-        for s in range(0, len(seen), 1024):
-            part = seen[s : s + 1024]
-            rows = self.bind(part)
-            out += np.sqrt(counts[part]).astype(np.float32) @ self.grams[rows].astype(np.float32)
+        for s in range(0, len(grams), 512):
+            part = grams[s : s + 512]
+            bound = a[rows[part // (n * n)]] * b[rows[part // n % n]] * c[rows[part % n]]
+            out += weights[s : s + 512] @ bound.astype(np.float32)
         return out
 
 
@@ -93,9 +103,16 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(df: DataFrame, text_col: str, label_col: str, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
-    """(labels, unit prototypes) from about ``train_docs`` of the rows of ``df``, picked by the text's hash."""
-    every = max(1, -(-df.count() // train_docs))
-    rows = df.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & (F.pmod(F.xxhash64(text_col), F.lit(every)) == 0))
+    """(labels, unit prototypes) from about ``train_docs`` different texts of ``df``, picked by their hash."""
+    rows = df.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"))
+    counts = rows.groupBy("label").agg(F.count("*").alias("n")).limit(LABELS + 1).collect()
+    if len(counts) > LABELS:
+        raise ValueError(f"{label_col} has more than {LABELS} different labels")
+    if not counts:
+        return [], np.zeros((0, DIMENSIONS))
+    each = max(1, train_docs // len(counts))
+    every = F.create_map(*(F.lit(x) for r in counts for x in (r.label, max(1, r.n // each))))
+    sample = rows.where(F.pmod(F.xxhash64("text"), F.element_at(every, F.col("label"))) == 0).dropDuplicates(["label", "text"])
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = profiles()
@@ -108,27 +125,29 @@ def learn(df: DataFrame, text_col: str, label_col: str, train_docs: int = TRAIN_
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array([*sums]), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["label", "v"])
 
-    parts = rows.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text")).mapInArrow(bundle, "label string, v array<double>")
+    parts = sample.mapInArrow(lean(bundle), "label string, v array<double>")
     found = parts.select("label", F.posexplode("v").alias("k", "x")).groupBy("label", "k").agg(F.sum("x").alias("x")).groupBy("label").agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("v")).orderBy("label").collect()
     labels = [r.label for r in found]
     vectors = np.array([[x for _, x in r.v] for r in found]).reshape(len(labels), DIMENSIONS)
     return labels, (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).round(9) if labels else vectors
 
 
-def _predictor(labels: list[str], plain: np.ndarray):
-    """text -> (label, score)"""
+def predictor(labels: list[str], plain: np.ndarray) -> Callable[[str | None], tuple[str, float, float]]:
+    """text -> (label, score, greatest centred cosine)"""
     own = profiles()
     mean = plain.mean(axis=0) if len(labels) > 1 else np.zeros(DIMENSIONS)
     apart = plain - mean
     apart = apart / np.maximum(np.linalg.norm(apart, axis=1, keepdims=True), 1e-12)
 
-    def predict(text: str | None) -> tuple[str, float]:
+    def predict(text: str | None) -> tuple[str, float, float]:
         p = own.profile(text) if labels else None
         if p is None:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0.0
         unit = p.astype(np.float64) / max(np.linalg.norm(p), 1e-12)
-        best = int(np.argmax(apart @ (unit - mean)))
-        return labels[best], float(min(1.0, max(0.0, plain[best] @ unit)))
+        centred = unit - mean
+        near = apart @ centred
+        best = int(np.argmax(near))
+        return labels[best], float(min(1.0, max(0.0, plain[best] @ unit))), float(near[best] / max(np.linalg.norm(centred), 1e-12))
 
     return predict
 
@@ -142,23 +161,26 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", labe
     shared = _learned(df, id_col, text_col, label_col, train_docs)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = _predictor(*shared.value)
+        of = predictor(*shared.value)
         for batch in batches:
             found = [of(text.as_py()) for text in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = df.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(predict, f"doc_id {dict(df.dtypes)[id_col]}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(lean(predict), f"doc_id {dict(df.dtypes)[id_col]}, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """The rows of ``df`` for which a language was found, as they are."""
+    """The rows of ``df`` whose text resembles a language, as they are. Only the text goes to Python."""
     shared = _learned(df, id_col, text_col, label_col, train_docs)
-    at = df.columns.index(text_col)
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = _predictor(*shared.value)
-        for batch in batches:
-            yield batch.filter(pa.array([of(text.as_py())[0] != UNKNOWN for text in batch.column(at)], pa.bool_()))
+    @F.pandas_udf("boolean")
+    def resembles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        labels, plain = shared.value
+        of, own = predictor(labels, plain), profiles()
+        least = CHANCE / np.sqrt(DIMENSIONS)
+        for texts in batches:
+            yield pd.Series([of(t)[2] > least if labels else own.profile(t) is not None for t in texts], dtype=bool)
+        give_back()
 
-    return df.mapInArrow(keep, df.schema)
+    return df.where(resembles.asNondeterministic()(F.col(text_col)))
