@@ -8,7 +8,7 @@ least. Equal windows name the same string at the same offset, so windows can be
 Consecutive windows that name one place form a *run*; its bytes are a segment that holds exactly these windows whole. What travels first
 are hashes of segments, not bytes. Equal segments are one class; a class of two or more is repeated as a whole, however many copies
 it has, and its copies are not expanded. Only where different segments name the same string are their bytes cut
-out, once for each class, and dealt into shards of about ``SHARD_BYTES``. A string that more than ``CROWDED`` classes name would make a shard
+out, once for each class, and dealt into shards of about ``SHARD_BYTES``. A string that more than ``CROWDED`` classes name could make a shard
 of any size; the windows of its classes are counted by (string, offset, hash of the window) instead, ``PART`` neighbours at a time first, so that equal
 bytes are one row before they are dealt and no group of rows is held by a task.
 
@@ -32,15 +32,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_only, materialize
+from .common import chunks, discard, give_back, keep_only, lean, materialize
 from .shingles import mix
 from .suffix_sorting import permuted_lcp, suffix_array
 
 LENGTH, GRAM = 400, 32
-SHARD_BYTES = 1_000_000
+SHARD_BYTES = 500_000
 CHUNK_BYTES = 500_000
 #: The windows of a string named by more classes than this are counted by their hashes, in pieces of ``PART`` windows.
-CROWDED, PART = 1_024, 32
+CROWDED, PART = 64, 32
 SEPARATOR, END = 0xFF, 0xFE  # bytes that UTF-8 never has
 BYTE_HASH = mix(np.arange(256, dtype=np.uint64), 77)
 ODD = 0x9E3779B97F4A7C15
@@ -66,7 +66,7 @@ def named(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.
 def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """(text, first start, windows, offset of the named place, its hash, hash of the segment) of each run."""
     out: list[tuple[np.ndarray, ...]] = []
-    for s, e in _chunks([len(t) for t in texts]):
+    for s, e in chunks(texts, CHUNK_BYTES):
         joined = b"".join(texts[s:e])
         if len(joined) < LENGTH:
             continue
@@ -85,15 +85,6 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return tuple(map(np.concatenate, zip(*out, strict=True))) if out else tuple(np.empty(0, np.int64) for _ in range(6))
 
 
-def _chunks(sizes: list[int]) -> Iterator[tuple[int, int]]:
-    start, held = 0, 0
-    for k, n in enumerate(sizes):
-        held += n
-        if held >= CHUNK_BYTES or k + 1 == len(sizes):
-            yield start, k + 1
-            start, held = k + 1, 0
-
-
 def _intervals(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first, last) of the runs of true flags."""
     edge = np.flatnonzero(np.diff(np.r_[0, flags.astype(np.int8), 0]))
@@ -116,8 +107,11 @@ def repeated_windows(segments: list[bytes]) -> list[tuple[np.ndarray, np.ndarray
     return [_intervals(flags[b : b + n - LENGTH + 1]) for b, n in zip(begins, sizes, strict=True)]
 
 
-def _crowded_marks(texts: DataFrame) -> DataFrame:
-    """``key, segment, windows, place, low, high``: the windows that stand in two classes or more. texts: text, cuts (classes to cut out of it)."""
+def _crowded_marks(texts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """``key, segment, windows, place, low, high``: the windows that stand in two classes or more; and the tables that this reads.
+
+    texts: text, cuts (classes to cut out of it)
+    """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_only()
@@ -148,7 +142,7 @@ def _crowded_marks(texts: DataFrame) -> DataFrame:
 
     same = ["key", "segment", "windows", "place"]
     of = ["key", "far", "piece"]
-    pieces = texts.mapInArrow(hashed, "key long, segment long, windows int, place int, low int, far int, piece long, hashes array<long>")
+    pieces = texts.mapInArrow(lean(hashed), "key long, segment long, windows int, place int, low int, far int, piece long, hashes array<long>")
     pieces = materialize(pieces.dropDuplicates([*same, "low"]), "pieces")  # repeated rows of one document bring their classes twice
     kinds = materialize(pieces.groupBy(*of).agg(F.count("*").alias("times"), F.min("hashes").alias("hashes")), "kinds")
     windows = kinds.select(*of, "times", F.posexplode("hashes").alias("k", "hash")).withColumn("offset", F.col("far") - F.col("k"))
@@ -158,7 +152,8 @@ def _crowded_marks(texts: DataFrame) -> DataFrame:
     edge = lambda step: F.sort_array(F.filter("ks", lambda k: ~F.array_contains("ks", k + step)))
     shared = shared.select(*of, F.explode(F.arrays_zip(edge(-1).alias("a"), edge(1).alias("b"))).alias("span")).select(*of, "span.a", "span.b")
     whole = kinds.where("times > 1").select(*of, F.lit(0).alias("a"), (F.size("hashes") - 1).alias("b"))
-    return pieces.select(*same, "low", *of[1:]).join(whole.unionByName(shared), of).select(*same, (F.col("low") + F.col("a")).alias("low"), (F.col("low") + F.col("b")).alias("high"))
+    marks = pieces.select(*same, "low", *of[1:]).join(whole.unionByName(shared), of)
+    return marks.select(*same, (F.col("low") + F.col("a")).alias("low"), (F.col("low") + F.col("b")).alias("high")), [pieces, kinds]
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -197,13 +192,14 @@ def repeats(docs: DataFrame) -> DataFrame:
                     names,
                 )
 
-    found = docs.mapInArrow(find, f"doc_id {key_type}, tk long, n long, key long, segment long, windows int, place int, copies long, firsts array<int>")
+    found = docs.mapInArrow(lean(find), f"doc_id {key_type}, tk long, n long, key long, segment long, windows int, place int, copies long, firsts array<int>")
     found = materialize(found, "runs")
     same = ["key", "segment", "windows", "place"]
     classes = found.groupBy(*same).agg(F.sum("copies").alias("copies"), F.min(F.struct("doc_id", "tk", F.col("firsts")[0].alias("first"))).alias("at"))
     classes = materialize(classes, "all_classes")
     of_key = classes.groupBy("key").agg(F.sum("copies").alias("all"), F.count("*").alias("classes")).where(F.col("all") > 1)
-    classes = materialize(classes.join(of_key.select("key", "classes"), "key").select(*same, "copies", "classes", "at.*"), "classes")
+    every, classes = classes, materialize(classes.join(of_key.select("key", "classes"), "key").select(*same, "copies", "classes", "at.*"), "classes")
+    discard(every)
     several, crowded = classes.where(F.col("classes").between(2, CROWDED)), classes.where(F.col("classes") > CROWDED)
     bytes_in = several.agg(F.sum(F.col("windows") + LENGTH)).first()[0] or 0
     shards = bytes_in // SHARD_BYTES + 1
@@ -233,7 +229,7 @@ def repeats(docs: DataFrame) -> DataFrame:
             if rows:
                 yield flush(rows)
 
-    pieces = with_cuts(several).mapInArrow(cut, "shard long, key long, segment long, windows int, place int, bytes binary")
+    pieces = with_cuts(several).mapInArrow(lean(cut), "shard long, key long, segment long, windows int, place int, bytes binary")
 
     def sort(shard: pd.DataFrame) -> pd.DataFrame:
         keep_only()
@@ -242,15 +238,21 @@ def repeats(docs: DataFrame) -> DataFrame:
         marks = repeated_windows(shard["bytes"].tolist())
         for own, (low, high) in zip(shard[same].itertuples(index=False), marks, strict=True):
             out += [(*own, a, b) for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+        give_back()
         return pd.DataFrame(out, columns=[*same, "low", "high"]).astype("int64")
 
     marks = pieces.groupBy("shard").applyInPandas(sort, "key long, segment long, windows int, place int, low int, high int")
+    read = [found, classes]
     if not crowded.isEmpty():
-        marks = marks.unionByName(_crowded_marks(with_cuts(crowded)))
+        more, tables = _crowded_marks(with_cuts(crowded))
+        marks = marks.unionByName(more)
+        read += tables
     alone = classes.where("copies > 1").select(*same, F.lit(0).alias("low"), (F.col("windows") - 1).alias("high"))
     marks = materialize(marks.join(classes.where("copies > 1"), same, "left_anti").select(*same, "low", "high").unionByName(alone), "marks")
     spans = found.join(marks, same).select("tk", "n", F.explode("firsts").alias("first"), "low", "high").select("tk", "n", F.struct((F.col("first") + F.col("low")).alias("a"), (F.col("first") + F.col("high") + LENGTH).alias("b")).alias("span"))
-    return materialize(spans.groupBy("tk", "n").agg(F.collect_set("span").alias("spans")), "spans")
+    spans = materialize(spans.groupBy("tk", "n").agg(F.collect_set("span").alias("spans")), "spans")
+    discard(marks, *read)
+    return spans
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -265,36 +267,45 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` as the struct ``row``, with ``n_bytes, spans`` (removed byte ranges) and ``kept`` (the other bytes)."""
+    """The rows of ``df`` as the struct ``row``, with ``n_bytes, spans`` (removed byte ranges), ``kept`` (the other bytes) and ``text`` (as characters, without cut ones)."""
     tk = F.xxhash64(text_col)
     found = repeats(df.select(F.col(id_col).alias("doc_id"), tk.alias("tk"), F.col(text_col).alias("text")))
     n = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
     rows = df.select(F.struct(*df.columns).alias("row"), F.col(text_col).alias("text"), tk.alias("tk"), n.alias("n_bytes"))
     joined = rows.join(found.withColumnRenamed("n", "n_bytes"), ["tk", "n_bytes"], "left")
 
-    @F.pandas_udf("spans array<struct<a:int,b:int>>, kept binary")
+    @F.pandas_udf("spans array<struct<a:int,b:int>>, kept binary, text string")
     def strip(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        keep_only()
         for texts, spans in batches:
             out = []
             for text, own in zip(texts, spans, strict=True):
-                raw = (text or "").encode()
-                ranges = merged([(s["a"], s["b"]) for s in own]) if own is not None else []
+                if own is None:
+                    out.append(([], None, None))
+                    continue
+                raw = text.encode()
+                ranges = merged([(s["a"], s["b"]) for s in own])
                 at, kept = 0, []
                 for a, b in ranges:
                     kept.append(raw[at:a])
                     at = b
-                out.append(([{"a": a, "b": b} for a, b in ranges], b"".join([*kept, raw[at:]])))
-            yield pd.DataFrame(out, columns=["spans", "kept"])
+                left = b"".join([*kept, raw[at:]])
+                out.append(([{"a": a, "b": b} for a, b in ranges], left, left.decode("utf-8", "ignore")))
+            yield pd.DataFrame(out, columns=["spans", "kept", "text"])
+        give_back()
 
     has = F.col("spans").isNotNull()
-    removed = joined.withColumn("s", strip(F.when(has, F.col("text")), "spans"))
-    return removed.select("row", "n_bytes", F.col("s.spans").alias("spans"), F.when(has, F.col("s.kept")).otherwise(F.coalesce("text", F.lit("")).cast("binary")).alias("kept"))
+    # not to be run again for each column or filter that reads its result
+    removed = joined.withColumn("s", strip.asNondeterministic()(F.when(has, F.col("text")), "spans"))
+    kept = F.when(has, F.col("s.kept")).otherwise(F.coalesce("text", F.lit("")).cast("binary"))
+    return removed.select("row", "n_bytes", F.col("s.spans").alias("spans"), kept.alias("kept"), F.when(has, F.col("s.text")).otherwise(F.col("text")).alias("text"))
 
 
 def removal_digests(df: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of what :func:`without_repeats` returns."""
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, text`` of what :func:`without_repeats` returns."""
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["b"] - s["a"])
-    return without_repeats(df.select("doc_id", "text")).select("row.doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    found = without_repeats(df.select("doc_id", "text"))
+    return found.select("row.doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "text")
 
 
 def drop_repeats(df: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
@@ -302,22 +313,14 @@ def drop_repeats(df: DataFrame, text_col: str = "text", length_col: str = "n_cha
 
     Cut characters are dropped with the passage; ``length_col``, if there is one, becomes the new number of characters.
     """
-    found = without_repeats(df).where((F.size("spans") == 0) | (F.octet_length("kept") > 0))
-
-    @F.pandas_udf("string")
-    def whole_characters(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([None if kept is None else kept.decode("utf-8", "ignore") for kept in batch])
-
-    text = F.when(F.size("spans") == 0, F.col(f"row.{text_col}")).otherwise(whole_characters(F.when(F.size("spans") > 0, F.col("kept"))))
-    found = found.withColumn("new_text", text)
+    found = without_repeats(df, text_col=text_col).where((F.size("spans") == 0) | (F.octet_length("kept") > 0))
     cols = []
     for c in df.columns:
         own = F.col("row").getField(c)
         if c == text_col:
-            cols.append(F.col("new_text").alias(c))
+            cols.append(F.col("text").alias(c))
         elif c == length_col:
-            cols.append(F.when(F.size("spans") == 0, own).otherwise(F.length("new_text").cast(dict(df.dtypes)[c])).alias(c))
+            cols.append(F.when(F.size("spans") == 0, own).otherwise(F.length("text").cast(dict(df.dtypes)[c])).alias(c))
         else:
             cols.append(own.alias(c))
     return found.select(*cols)
