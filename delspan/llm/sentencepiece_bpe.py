@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEPT, keep_only
+from .common import KEPT, keep_only, lean
 
 codecs.register_error("replace-each-byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
 SPACE = "▁"
@@ -296,7 +296,7 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     start, held, ids, decoded = k + 1, 0, [], []
 
     key = dict(df.dtypes)[id_col]
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {key}, ids array<int>, decoded string")
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"doc_id {key}, ids array<int>, decoded string")
 
 
 def encoding_digests(df: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEPT, keep_only
+from .common import KEPT, keep_only, lean
 from .sentencepiece_bpe import SPACE, default_model, load
 
 TABLE_SIZE = 1 << 16
@@ -99,8 +99,8 @@ def frequent_table(df: DataFrame, text_col: str, path: str, size: int = TABLE_SI
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["chunk", "n"])
 
     # a copied text counts once, so a hot group of copies neither fills the sample nor empties it
-    picked = df.where(F.col(text_col).isNotNull() & (F.pmod(F.xxhash64(text_col), F.lit(every)) == 0)).select(F.col(text_col).alias("text")).limit(4 * sample_docs)
-    rows = picked.mapInArrow(cut, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "chunk").limit(size).select("chunk").collect()
+    picked = df.where(F.col(text_col).isNotNull() & (F.pmod(F.xxhash64(text_col), F.lit(every)) == 0)).select(F.col(text_col).alias("text")).dropDuplicates(["text"]).limit(4 * sample_docs)
+    rows = picked.mapInArrow(lean(cut), "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "chunk").limit(size).select("chunk").collect()
     frequent = [r.chunk for r in rows if r.chunk]
     return dict(zip(frequent, counter(path).library_counts(frequent), strict=True))
 
@@ -120,5 +120,5 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     key = dict(df.dtypes)[id_col]
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
-    counted = rows.mapInArrow(run, f"doc_id {key}, n_bytes long, n_tokens long")
+    counted = rows.mapInArrow(lean(run), f"doc_id {key}, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -24,9 +24,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import discard, materialize
 
 #: The rules of the registered query: (verdict, host, path).
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -62,7 +61,7 @@ def templates(pages: DataFrame) -> DataFrame:
     """``host, segments, template, blocked`` for each combination of host and segments in ``pages`` (host, segments, verdict)."""
     count = lambda c: F.sum(c.cast("long"))
     shapes = pages.groupBy("host", "segments").agg(F.count("*").alias("n"), count(F.coalesce(F.col("verdict").isNotNull(), F.lit(False))).alias("labelled"), count(F.coalesce(F.col("verdict") == "block", F.lit(False))).alias("bad"))
-    tree = materialize(shapes.withColumn("at", F.lit("")), "shapes")
+    tree = written = materialize(shapes.withColumn("at", F.lit("")), "shapes")
     for level in range(DEPTH):
         segment = F.try_element_at("segments", F.lit(level + 1))
         below = F.transform(F.slice("segments", level + 2, DEPTH), lambda s: F.regexp_replace(s, r"[^#*.]+", "a"))
@@ -76,10 +75,13 @@ def templates(pages: DataFrame) -> DataFrame:
         variable = (F.col("children") > MAX_CHILDREN) & (F.col("rare") >= RARE * F.col("children"))
         alike = F.concat_ws("|", "kind", "first", "last")
         named = children.join(parents, ["host", "at"]).withColumn("kind", kind).withColumn("class", F.when(variable, F.concat(F.lit("*"), "kind")).otherwise(alike))
-        group = Window.partitionBy("host", "at", "class")
-        named = named.select("host", "at", "segment", F.when(F.count("*").over(group) == 1, F.col("segment")).otherwise(F.concat(F.lit("{"), "class", F.lit("}"))).alias("branch"))
+        several = named.groupBy("host", "at", "class").agg(F.count("*").alias("like")).where("like > 1")  # a count and a join: a node may have any number of children
+        merged = F.concat(F.lit("{"), "class", F.lit("}"))
+        named = named.join(several, ["host", "at", "class"], "left").select("host", "at", "segment", F.when(F.col("like").isNull(), F.col("segment")).otherwise(merged).alias("branch"))
         tree = node.join(named, ["host", "at", "segment"], "left").withColumn("at", F.when(F.col("branch").isNull(), F.col("at")).otherwise(F.concat("at", F.lit("/"), "branch"))).drop("segment", "below", "branch")
         tree = materialize(tree, f"tree{level}")
+        discard(written)
+        written = tree
     purity = tree.groupBy("host", "at").agg(((F.sum("bad") + F.lit(PRIOR / 2)) / (F.sum("labelled") + PRIOR)).alias("purity"))
     return tree.join(purity, ["host", "at"]).select("host", "segments", F.col("at").alias("template"), (F.col("purity") > LIMIT).alias("blocked"))
 

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import lean, scratch_path
 
 DICTIONARY_MAGIC = 0x184D2A5D
 ZSTD_MAGIC = 0xFD2FB528
@@ -189,7 +189,7 @@ def write_archives(df: DataFrame, path: str, id_col: str = "page_id", url_col: s
         if some and out:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
 
-    rows.mapInArrow(write, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
+    rows.mapInArrow(lean(write), "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
     return path
 
 
@@ -228,7 +228,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True, strict:
                 if rows:
                     yield flush(archive.as_py(), rows)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(read, READ_SCHEMA)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(lean(read), READ_SCHEMA)
 
 
 def round_trip(df: DataFrame) -> DataFrame:
