@@ -35,8 +35,12 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_embedding_dedup_equals_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("dense, bucket", [(4, 1024), (0, 1024), (4, 2), (10**6, 2)])
+def test_embedding_dedup_equals_brute_force(spark, monkeypatch, dense, bucket):
+    """With few and many dense buckets, large and small ones, split into blocks."""
     monkeypatch.setattr(embedding_dedup, "BLOCK", 8)
+    monkeypatch.setattr(embedding_dedup, "DENSE", dense)
+    monkeypatch.setattr(embedding_dedup, "BUCKET", bucket)
     rng = np.random.default_rng(2)
     x = rng.normal(size=(150, 16))
     near = x[:1] + rng.normal(size=(60, 16)) * 0.04
@@ -62,6 +66,22 @@ def test_embedding_dedup_query_equals_sql(spark):
     assert_same(QUERIES["op4_embedding_dedup"](spark, SF), ORACLES["op4_embedding_dedup"])
 
 
+def test_close_pairs_keep_pairs_at_the_threshold():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000, 64))
+    y = rng.normal(size=(2000, 64))
+    u, v = embedding_dedup.unit(x), embedding_dedup.unit(y - (embedding_dedup.unit(x) * y).sum(axis=1, keepdims=True) * embedding_dedup.unit(x))
+    near = 0.95 * u + np.sqrt(1 - 0.95**2) * v
+    _, a = embedding_dedup.signatures(u, 6, 9, 7)
+    _, b = embedding_dedup.signatures(near, 6, 9, 7)
+    limit = embedding_dedup.most_apart(0.95)
+    assert np.bitwise_count(a ^ b).sum(axis=1).max() <= limit
+    assert np.bitwise_count(a[1:] ^ a[:-1]).sum(axis=1).min() > limit
+    bits, tables = embedding_dedup.plan(50_000)
+    codes = [embedding_dedup.signatures(z, bits, tables, 7)[0] for z in (u, near)]
+    assert (codes[0] == codes[1]).any(axis=1).mean() >= 0.995
+
+
 def test_nearest_neighbours_recall(spark):
     sf = SF.replace("0.001", "0.1")
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
