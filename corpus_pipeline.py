@@ -1,12 +1,19 @@
 """The corpus pipeline: documents in, encoded documents out, in five stages.
 
-1. ``language_id``: documents for which no language is found go.
+1. ``language_id``: documents that resemble no language go: those without letters, and those no nearer to any language than chance.
 2. ``ngram_join``: of each group of documents linked by five-word shingles from a similarity of 0.8, the smallest id stays.
 3. ``suffix_dedup``: passages of 400 bytes and more that also start elsewhere are taken out; documents of which nothing is left go.
 4. ``mixing``: documents are repeated, or left out, so that sources reach their targets.
 5. ``sentencepiece``: texts become ids, with what the ids decode to.
 
-Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the columns of ``docs``.
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the columns of ``docs``. Scratch tables that a stage
+leaves are in the folder of ``spark.checkpoint.dir``; those of earlier steps within a stage are removed by it.
+
+Defined results: null texts have no letters and go in the first stage, as do empty ones; a null language trains nothing; a null source is one
+source, the last; documents with a null id link with nothing and stay. Of rows that are repeats of each other one stays after the second
+stage; rows of one id with different texts are documents of their own. Ties: as each operator's docstring states, so reruns agree. An
+empty table gives an empty result. Extra columns, whatever their names, are carried to the last stage, which drops them. Texts are
+taken whole, however long.
 """
 
 from __future__ import annotations
