@@ -165,7 +165,13 @@ _COUNT_TRAIN = "CAST(chrom AS INT) BETWEEN 1 AND 11"
 _TAB = lambda *parts: " || chr(9) || ".join(parts)
 _HEADER = ["##fileformat=VCFv4.3", "##fileDate=20240101", *HEADER, "\t".join([*COLUMNS, "S1"])]
 
+_HASH = lambda what: f"CAST('0x' || substr(md5('seed-42|{what}|' || k), 1, 12) AS BIGINT)"
+
 ORACLES = {
+    "resampled_classes": oracle("SELECT p.window_id, p.label FROM draws d JOIN placed p ON p.label = d.label AND p.place = 1 + d.h % d.size", "predictions", then=f"""placed AS (
+ SELECT window_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('seed-42|' || window_id), window_id) AS place, count(*) OVER (PARTITION BY label) AS size FROM predictions),
+sizes AS (SELECT DISTINCT label, size FROM placed),
+draws AS (SELECT s.label, s.size, {_HASH('row')} AS h FROM range((SELECT count(*) FROM predictions)) r(k) JOIN sizes s ON s.label = (SELECT list(label ORDER BY label) FROM sizes)[1 + {_HASH('label')} % (SELECT count(*) FROM sizes)])"""),
     "variants_from_text": oracle("""SELECT chrom, pos, id, ref, alt, svtype, info_end, gt,
  CASE WHEN carried THEN coalesce(info_end, pos - 1 + length(ref)) END AS "end", CASE WHEN carried THEN coalesce(svtype, 'DEL') END AS sv_type
  FROM (SELECT *, (coalesce(svtype = 'DEL', false) OR alt = '<DEL>') AND regexp_matches(gt, '[1-9]') AS carried FROM variants) x""", "variants"),
