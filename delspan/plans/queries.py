@@ -260,7 +260,7 @@ def insert_size_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def tensor_channel_means(spark: SparkSession, sf: str) -> DataFrame:
-    means = tensors.channel_means(tensors.tensor_cells(_reads(spark, sf), _windows(spark, sf)))
+    means = tensors.window_means(_reads(spark, sf), _windows(spark, sf))
     return means.select("window_id", *((F.round(c, 6) + 0.0).alias(c) for c in tensors.CHANNELS))
 
 

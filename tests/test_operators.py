@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -112,6 +114,24 @@ def test_cells_of_both_colourings(spark, tmp_path):
     assert {v for k, v in found.items() if k not in ((10, 0), (11, 1))} == {(0, 0, 0)}  # black where the palette has none
 
 
+def test_means_without_cells(spark):
+    rng = np.random.default_rng(9)
+    reads = []
+    for i in range(80):
+        cigar = rng.choice(["30M", "5S20M", "10M3D12M2S", "8M2I9M5N6M", "4H1M", "1M", "12M1P4M3S", "6I"])
+        n = sum(int(k) for k, op in re.findall(r"(\d+)([MIDNSHP=X])", cigar) if op in "MIS=X")
+        flag = int(rng.choice([0, 3, 1, 16, 99, 1024]))
+        reads.append((f"r{i}", flag, "1", int(rng.integers(0, 120)), int(rng.integers(0, 70)), str(cigar), int(rng.integers(-200, 200)), "".join(rng.choice(list("ACGTNacg"), n)), "".join(rng.choice(list("!+5?JZ"), n))))
+    reads = frame(spark, reads, READS)
+    windows = frame(spark, [(f"w{s}", "1", s, s + 50) for s in range(0, 200, 20)] + [("e", "1", 900, 950), ("z", "2", 0, 50)], "window_id string, chrom string, start long, end long")
+    for most in (100, 3):
+        want = {r.window_id: r for r in tensors.channel_means(tensors.tensor_cells(reads, windows, most), most).collect()}
+        got = {r.window_id: r for r in tensors.window_means(reads, windows, most).collect()}
+        assert got.keys() == want.keys() and len(want) > 5
+        for w, r in want.items():
+            assert [got[w][c] for c in tensors.CHANNELS] == pytest.approx([r[c] for c in tensors.CHANNELS]), w
+
+
 def test_unknown_size_classes(spark):
     rows = frame(spark, [("a", "1", 0, 10, 10, "SMALL")], "region_id string, chrom string, start long, end long, length long, size_class string")
     with pytest.raises(ValueError, match="TINY"):
