@@ -6,14 +6,15 @@ then coded by beam search over all stages. With the codes are stored the norms o
 what is left. A query's inner product with a candidate is read from lookup tables (one number for each word) and
 scaled by the two norms.
 
-The searched rows are dealt into blocks by their ids, and so are the queries; each pair of blocks is a piece of work. In it
+The searched rows are dealt into blocks by their ids, and so are the queries; each pair of blocks is a piece of work, large enough that tables of less
+than ``QUERY_BLOCK`` queries send each vector once. In it
 every candidate is scored from the tables, and all those are ranked again by exact inner products whose estimate, with
 ``MARGIN`` standard errors of its own residual norm, reaches the ``k``-th best estimate. So groups of near copies,
 which codes can't tell apart, are ranked exactly as a whole, and no fixed number of candidates cuts them. Copies of
 one vector are scored once, with their ``k + 1`` smallest ids, which suffice for any list of ``k``.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null ids;
-queries find only vectors of their length; repeated rows count once; ties go to the smaller id; fewer candidates
+queries find only vectors of their length; repeated rows count once; of an id with several vectors the best score counts, asked or found; ties go to the smaller id; fewer candidates
 than ``k`` are all returned; no query or no candidate gives no row. Other columns are not looked at.
 """
 
@@ -28,12 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import keep_only, lean, materialize
 from .vectors import matrices, usable
 
 STAGES, WORDS, BEAM, ROUNDS, SAMPLE, SEED = 16, 256, 4, 6, 8192, 11
 MARGIN = 3.0
-BLOCK, QUERY_BLOCK = 16_384, 1_024
+LENGTHS = 64
+BLOCK, QUERY_BLOCK = 16_384, 8_192
 
 
 def _nearest(x: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -120,8 +122,10 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
     """``query_id, rank, vec_id, score``: for each row with ``is_query`` its k nearest others by inner product."""
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(usable(F.col(vector_col)) & F.col("id").isNotNull())
-    rows = materialize(rows.dropDuplicates(["id"]).withColumn("dim", F.size("vector")), "vectors")
-    counts = {r.dim: r for r in rows.groupBy("dim").agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).collect()}
+    rows = materialize(rows.dropDuplicates(["id", "vector"]).withColumn("dim", F.size("vector")), "vectors")
+    counts = {r.dim: r for r in rows.groupBy("dim").agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).orderBy("dim").limit(LENGTHS + 1).collect()}
+    if len(counts) > LENGTHS:
+        raise ValueError(f"vectors of more than {LENGTHS} lengths: each has codebooks of its own")
     books = {}
     for dim, c in counts.items():
         every = max(1, c.n // SAMPLE)
@@ -145,11 +149,12 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
                         ["id", "dim", "x", "codes", "norms"],
                     )
 
-    coded = rows.select("id", "vector").mapInArrow(code, "id long, dim int, x binary, codes binary, norms binary")
+    coded = rows.select("id", "vector").mapInArrow(lean(code), "id long, dim int, x binary, codes binary, norms binary")
     coded = coded.withColumn("c", F.pmod(F.xxhash64("id"), blocks[F.col("dim")]).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), asked[F.col("dim")] - 1)))
     queries = rows.where("asks").select("id", "dim", "vector", F.pmod(F.xxhash64("id"), asked[F.col("dim")]).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), blocks[F.col("dim")] - 1)).alias("c"))
 
     def search(block: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+        keep_only()
         out = []
         if len(block) and len(asking):
             dim = int(block["dim"].iloc[0])
@@ -161,5 +166,6 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
 
     key = ["dim", "c", "q"]
     found = coded.groupBy(*key).cogroup(queries.groupBy(*key)).applyInPandas(search, "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

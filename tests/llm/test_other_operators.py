@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import re
 import struct
 
 import numpy as np
@@ -108,6 +109,9 @@ def test_nearest_neighbours_odd_rows(spark):
     got = additive_quantisation.nearest(vectors(spark, many), F.col("vec_id") == 20).orderBy("rank").collect()
     assert [r.vec_id for r in got] == [*range(100, 120)]
     assert additive_quantisation.nearest(vectors(spark, []), F.col("vec_id") % 20 == 0).count() == 0
+    two = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [0.9, 0.1]), (2, [0.1, 0.8]), (2, [0.2, 0.1])]  # ids with two vectors: the better score counts
+    got = additive_quantisation.nearest(vectors(spark, two), F.col("vec_id") % 20 == 0).orderBy("rank").collect()
+    assert [(r.rank, r.vec_id, r.score) for r in got] == [(1, 1, 0.9), (2, 2, 0.8)]
 
 
 def brute_url(url):
@@ -149,6 +153,74 @@ def test_url_query(spark):
         assert got[r.page_id].verdict in ("allow", "block") and (verdict is None or got[r.page_id].verdict == verdict)
 
 
+def brute_trees(pages):
+    """(template, blocked) for each (host, segments) by plain trees, level by level; pages: (host, segments, verdict)."""
+    count: dict = {}
+    for host, segments, verdict in pages:
+        c = count.setdefault((host, segments), [0, 0, 0])
+        c[0] += 1
+        c[1] += verdict is not None
+        c[2] += verdict == "block"
+    at = dict.fromkeys(count, "")
+    for level in range(url_filters.DEPTH):
+        children: dict = {}
+        for (host, segments), c in count.items():
+            if level < len(segments):
+                below = "/".join(re.sub(r"[^#*.]+", "a", s) for s in segments[level + 1 :])
+                child = children.setdefault((host, at[host, segments]), {}).setdefault(segments[level], [0, 0, 0, []])
+                for k in range(3):
+                    child[k] += c[k]
+                child[3].append(below)
+        branch = {}
+        for node, own in children.items():
+            every, bad = sum(c[1] for c in own.values()), sum(c[2] for c in own.values())
+            share = (bad + url_filters.PRIOR / 2) / (every + url_filters.PRIOR)
+            rare = sum(c[0] <= 2 for c in own.values())
+            variable = len(own) > url_filters.MAX_CHILDREN and rare >= url_filters.RARE * len(own)
+            classes: dict = {}
+            for segment, (_, labelled, blocked, below) in own.items():
+                n = max(labelled, 1)
+                off = (blocked / n - share) / max((share * (1 - share) / n) ** 0.5, 1e-9)
+                kind = "unlabelled" if not labelled else "above" if off > url_filters.ERRORS else "below" if off < -url_filters.ERRORS else "like"
+                classes.setdefault("*" + kind if variable else "|".join([kind, min(below), max(below)]), []).append(segment)
+            branch |= {(node, s): "{" + name + "}" if len(like) > 1 else s for name, like in classes.items() for s in like}
+        at = {(host, segments): a if level >= len(segments) else f"{a}/{branch[(host, a), segments[level]]}" for (host, segments), a in at.items()}
+    labelled: dict = {}
+    for (host, segments), c in count.items():
+        sums = labelled.setdefault((host, at[host, segments]), [0, 0])
+        sums[0] += c[1]
+        sums[1] += c[2]
+    purity = {t: (bad + url_filters.PRIOR / 2) / (n + url_filters.PRIOR) for t, (n, bad) in labelled.items()}
+    return {key: (at[key], purity[key[0], at[key]] > url_filters.LIMIT) for key in count}
+
+
+def brute_shape(path):
+    plain = re.sub(r"[0-9]+", "#", re.sub(r"[0-9a-fA-F]{16,}|[A-Za-z0-9_-]{40,}", "*", path))
+    return tuple(re.sub("^/", "", plain).split("/", url_filters.DEPTH - 1))
+
+
+def test_templates_equal_plain_trees(spark, monkeypatch):
+    monkeypatch.setattr(url_filters, "MAX_CHILDREN", 6)
+    rng = np.random.default_rng(9)
+    words = ["ads", "news", "en", "fr", "shop", "a.html", "item-7", "item-8", "item-9", "0123456789abcdef0", *(f"slug{chr(97 + k)}" for k in range(20))]
+    urls = []
+    for _ in range(700):
+        depth = int(rng.integers(0, 6))
+        urls.append("http://" + rng.choice(["h.org", "g.org", "x.net", "www.x.net"]) + "".join("/" + rng.choice(words[int(rng.choice([0, 5])) : int(rng.choice([8, 30]))]) for _ in range(depth)) + rng.choice(["", "/", "?q"]))
+    rules = (("block", "h.org", "/ads"), ("allow", "h.org", "/news"), ("block", "h.org", "/item-7"), ("block", "x.net", "/item-9"), ("block", "net", "/fr/"), ("allow", "www.x.net", "/fr/slug"), ("block", "g.org", "/shop/ads"), ("allow", "g.org", "/shop/"))
+    monkeypatch.setattr(url_filters, "RULES", rules)
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in url_filters.judge(rows, rules).collect()}
+    parts = [brute_url(u) for u in urls]
+    ruled = [brute_rule(*p) for p in parts]
+    trees = brute_trees([(h, brute_shape(p), v) for (h, p), (_, v) in zip(parts, ruled, strict=True)])
+    for i, ((host, path), (rule, verdict)) in enumerate(zip(parts, ruled, strict=True)):
+        template, blocked = trees[host, brute_shape(path)]
+        assert (got[i].rule, got[i].template, got[i].verdict) == (rule, template, verdict or ("block" if blocked else "allow")), urls[i]
+    by_tree = [trees[h, brute_shape(p)][1] for (h, p), (_, v) in zip(parts, ruled, strict=True) if v is None]
+    assert any(by_tree) and not all(by_tree)
+
+
 def test_templates_learn_from_labels(spark):
     """Pages of a template whose labelled pages are blocked are blocked too; unlabelled templates stay."""
     rules = (("block", "h.org", "/ads/1"), ("allow", "h.org", "/news/1"))
