@@ -223,7 +223,7 @@ draws AS (SELECT s.label, s.size, {_HASH('row')} AS h FROM range((SELECT count(*
     "image_cells": oracle(_CELL_SUMS, "reads", "variants", then=_WINDOWS + ",\n" + _ops() + _CLIPS + _PILEUP + _BASE_CELLS),
     "image_cells_kmer": oracle(_CELL_SUMS, "reads", "variants", then=_WINDOWS + ",\n" + _ops() + _PILEUP + _KMER_CELLS),
     "insert_size_stats": oracle("SELECT window_id, round(insert_mean, 6) AS insert_mean, round(insert_std, 6) AS insert_std FROM stats", "reads", "variants", then=_WINDOWS + ",\n" + _ops() + _PAIRS + _KEPT + _STATS),
-    "tensor_channel_means": oracle("SELECT window_id, " + ", ".join(f"round(coalesce(CAST(sum({x}) AS DOUBLE), 0) / 5000, 6) + 0.0::DOUBLE AS {c}" for c, x in _CHANNEL.items()) + " FROM cells GROUP BY window_id", "reads", "variants", then=_WINDOWS + ",\n" + _ops() + _PAIRS + _TENSOR),
+    "tensor_channel_means": oracle("SELECT window_id, " + ", ".join(f"round(coalesce(CAST(sum({x}) AS DOUBLE), 0) / 5000 + 1e-10::DOUBLE, 6) + 0.0::DOUBLE AS {c}" for c, x in _CHANNEL.items()) + " FROM cells GROUP BY window_id", "reads", "variants", then=_WINDOWS + ",\n" + _ops() + _PAIRS + _TENSOR),
     "region_profile": oracle("SELECT region_id, count(*) AS n, CAST(sum(depth) AS BIGINT) AS depth_sum, max(depth) AS depth_max, CAST(sum(clip) AS BIGINT) AS clip_sum FROM profile GROUP BY region_id", "reads_holed", "variants", then=_HOLED),
     "smoothed_depth": oracle("SELECT region_id, count(*) AS n, sum(median) AS median_sum, max(median) AS median_max, min(pos) AS first, max(pos) AS last FROM smooth GROUP BY region_id", "reads_holed", "variants", then=_HOLED + _smooth()),
     "smoothed_for_detection": oracle("SELECT region_id, count(*) AS n, sum(median) AS median_sum, max(pos) AS last FROM smooth GROUP BY region_id", "reads_holed", "variants", then=_HOLED + _smooth(1)),
