@@ -9,8 +9,8 @@ the clamped sources come first, so running sums over the (one row per source) ta
 A source with target ``t`` and size ``s`` repeats each document ``floor(t / s)`` whole times. The fractional repetition
 takes documents in the order of a seeded hash until the rest of the target is reached, the last one if more than half
 of it fits: the words taken differ from the target by at most half of one document (a group of equal ids counts as
-one). Where the order is cut is found from sums over hash buckets, then within the one bucket of each source that holds
-the cut; no source is ever sorted or gathered whole.
+one). Where the order is cut is found from sums over hash buckets, then over smaller ones within the one bucket of each source that holds
+the cut, then within the one of these (one document in 16 million of the source); no source is ever sorted or gathered whole.
 
 Defined results: a null text has size 0; null sources form one source, the last; null ids count as one id. Rows with
 equal ids of one source are taken together. Sources without words get target 0 and take nothing; an empty table gives
@@ -30,7 +30,8 @@ WEIGHTS = (3, 1, 2)
 BUDGET, EPOCHS, SEED = 1.5, 2.0, "mix-1"
 #: Up to so many sources the plan (a row of five numbers and two names each) is broadcast; beyond, joined by a shuffle.
 BROADCAST_SOURCES = 20_000
-BUCKET_DIGITS = 3
+#: How many digits of the hash name a bucket, and then a bucket within it.
+BUCKET_DIGITS = (3, 6)
 
 
 def words(text: Column) -> Column:
@@ -65,21 +66,25 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """All rows of ``df`` as the struct ``row``, with ``size, source_size, target, times`` (how often the mix takes the document)."""
     key = order_key(F.col(id_col), seed)
     light = df.select(F.col(source_col).alias("source"), key.alias("key"), words(F.col(text_col)).alias("size"))
-    bucket = F.substring("key", 1, BUCKET_DIGITS)
-    buckets = materialize(light.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words")), "buckets")
-    plan = (
-        targets(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), weights, budget, epochs)
-        .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int"))
-        .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    )
-    so_far = Window.partitionBy("source").orderBy("bucket")
-    cut_in = (
-        buckets.withColumn("end", F.sum("words").over(so_far))
-        .join(plan.select(F.col("source").alias("of"), "rest"), F.col("source").eqNullSafe(F.col("of")))
-        .where((F.col("end") - F.col("words") <= F.col("rest")) & (F.col("rest") < F.col("end")))
-        .select("of", "bucket", "rest", (F.col("end") - F.col("words")).alias("start"))
-    )
-    cut_in = materialize(cut_in, "cut_in")  # at most one row for each source
+    plan = cut_in = None
+    for digits in BUCKET_DIGITS:
+        rows = light.select(F.col("source").alias("of"), F.substring("key", 1, digits).alias("bucket"), "size", F.lit(0).cast("long").alias("start"))
+        if cut_in is not None:  # only what stands in the bucket of the cut is looked at more closely
+            at = cut_in.select("of", F.col("bucket").alias("in"), "start")
+            same = F.col("source").eqNullSafe(F.col("of")) & F.startswith("key", F.col("in"))
+            rows = light.join(_bounded(at), same).select("of", F.substring("key", 1, digits).alias("bucket"), "size", "start")
+        buckets = materialize(rows.groupBy("of", "bucket", "start").agg(F.sum("size").alias("words")), "buckets")
+        if plan is None:
+            plan = (
+                targets(buckets.groupBy(F.col("of").alias("source")).agg(F.sum("words").alias("source_size")), weights, budget, epochs)
+                .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int"))
+                .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+            )
+        so_far = Window.partitionBy("of").orderBy("bucket")
+        ends = buckets.withColumn("end", F.col("start") + F.sum("words").over(so_far)).join(plan.select(F.col("source").alias("name"), "rest"), F.col("of").eqNullSafe(F.col("name")))
+        cut_in = ends.where((F.col("end") - F.col("words") <= F.col("rest")) & (F.col("rest") < F.col("end"))).select("of", "bucket", "rest", (F.col("end") - F.col("words")).alias("start"))
+        cut_in = materialize(cut_in, "cut_in")  # at most one row for each source
+    bucket = F.substring("key", 1, BUCKET_DIGITS[-1])
     ties = light.join(_bounded(cut_in), F.col("source").eqNullSafe(F.col("of")) & (bucket == F.col("bucket"))).groupBy("of", "bucket", "rest", "start", "key").agg(F.sum("size").alias("words"))
     within = Window.partitionBy("of").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = ties.withColumn("end", F.col("start") + F.sum("words").over(within)).where(2 * F.col("end") - F.col("words") <= 2 * F.col("rest")).groupBy("of").agg(F.max("key").alias("last"))

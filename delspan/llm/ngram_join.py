@@ -40,7 +40,7 @@ from .shingles import digest, mix, shingle_sets
 ORDERS = 2
 POOL = 2.5
 BLOCK, SMALL, DENSE = 1_024, 24, 4
-SET_BLOCK, SET_BYTES = 1_024, 4 << 20
+SET_BLOCK, SET_BYTES = 256, 2 << 20
 PART_BYTES = 12 << 20
 #: XORed bytes of sketches at a time.
 AT_ONCE = 16 << 20
