@@ -265,9 +265,9 @@ def tensor_channel_means(spark: SparkSession, sf: str) -> DataFrame:
     return means.select("window_id", *((F.round(F.col(c) + 1e-10, 6) + 0.0).alias(c) for c in tensors.CHANNELS))
 
 
-def _profile(spark: SparkSession, sf: str) -> DataFrame:
+def _profile(spark: SparkSession, sf: str, of: Callable[..., DataFrame] = refine.profile) -> DataFrame:
     reads = fixtures.table(spark, sf, "reads_holed")
-    return refine.profile(_regions(spark, sf), alignments.depth(reads), alignments.clips(reads))
+    return of(_regions(spark, sf), alignments.depth(reads), alignments.clips(reads))
 
 
 @query
@@ -277,24 +277,24 @@ def region_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def smoothed_depth(spark: SparkSession, sf: str) -> DataFrame:
-    return refine.smoothed(_profile(spark, sf)).groupBy("region_id").agg(F.count("*").alias("n"), F.sum("median").alias("median_sum"), F.max("median").alias("median_max"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    return refine.smoothed(_profile(spark, sf, refine.profile_arrays)).groupBy("region_id").agg(F.count("*").alias("n"), F.sum("median").alias("median_sum"), F.max("median").alias("median_max"), F.min("pos").alias("first"), F.max("pos").alias("last"))
 
 
 @query
 def smoothed_for_detection(spark: SparkSession, sf: str) -> DataFrame:
-    return refine.smoothed(_profile(spark, sf), right_extra=1).groupBy("region_id").agg(F.count("*").alias("n"), F.sum("median").alias("median_sum"), F.max("pos").alias("last"))
+    return refine.smoothed(_profile(spark, sf, refine.profile_arrays), right_extra=1).groupBy("region_id").agg(F.count("*").alias("n"), F.sum("median").alias("median_sum"), F.max("pos").alias("last"))
 
 
 @query
 def cluster_decision(spark: SparkSession, sf: str) -> DataFrame:
     thirds = Window.partitionBy("region_id").orderBy("pos")
-    return refine.decide(refine.cluster_stats(refine.smoothed(_profile(spark, sf)).withColumn("cluster", F.ntile(3).over(thirds))))
+    return refine.decide(refine.cluster_stats(refine.smoothed(_profile(spark, sf, refine.profile_arrays)).withColumn("cluster", F.ntile(3).over(thirds))))
 
 
 @query
 def boundary_walk(spark: SparkSession, sf: str) -> DataFrame:
     cores = _regions(spark, sf).select("region_id", F.col("start").alias("left"), (F.col("end") - 1).alias("right"), F.lit(3).alias("threshold"))
-    return refine.walk(_profile(spark, sf), cores)
+    return refine.walk(_profile(spark, sf, refine.profile_arrays), cores)
 
 
 @query

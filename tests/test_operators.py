@@ -172,7 +172,8 @@ def test_candidate_means_are_compared_with_floored_four_fifths(spark, monkeypatc
     """Scaled means 3, 4 and 90: 3 is below 3.2 but not below its floor, so there is no candidate; 2 is."""
     monkeypatch.setattr(refine, "with_clusters", lambda smooth: smooth)
     monkeypatch.setattr(refine, "smoothed", lambda rows, right_extra=0: rows)
-    monkeypatch.setattr(refine, "profile", lambda ranges, depth, clips, pad=0: ranges)
+    monkeypatch.setattr(refine, "profile_arrays", lambda ranges, depth, clips, pad=0: ranges)
+    monkeypatch.setattr(refine, "walk", lambda rows, cores: cores.withColumnsRenamed({"left": "start", "right": "end"}))
     schema = "region_id string, pos long, depth long, median double, cluster int"
     rows = [(name, 10 * k, 5, m / 5, k) for name, low in (("a", 3.0), ("b", 2.0)) for k, m in enumerate((90.0, low, 4.0))]
     assert [r.region_id for r in refine.candidates(frame(spark, rows, schema), None, None).collect()] == ["b"]
