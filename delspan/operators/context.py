@@ -18,19 +18,22 @@ SPAN, COMPONENTS, LEAST_BASES = 2500, 8, 10
 def sequences(windows: DataFrame, contigs: DataFrame, span: int = SPAN, chunk: int | None = None) -> DataFrame:
     """``window_id, seq``: ``span`` bases of the reference around each window's centre, clamped to the contig, upper case.
 
-    Contigs are (chrom, chunk_start, seq) with chunks of equal size. Windows name the chunks that they need, and are joined by (chrom,
-    chunk); no contig is put together whole.
+    Contigs are (chrom, chunk_start, seq) with chunks of equal size (see :func:`rechunk`), not much shorter than ``span``. Each chunk gets what follows it, as
+    far as a window that begins in it can reach. A window then needs one row, found by (chrom, chunk); nothing is gathered by window, and
+    no contig is put together whole.
     """
     if chunk is None:
         chunk = contigs.agg(F.max(F.length("seq"))).first()[0] or 1
     lengths = contigs.groupBy("chrom").agg(F.max(F.col("chunk_start") + F.length("seq")).alias("contig_length"))
     rows = windows.join(lengths, "chrom").withColumn("centre", F.floor((F.col("start") + F.col("end")) / 2))
     rows = rows.withColumn("a", F.greatest(F.col("centre") - span // 2, F.lit(0))).withColumn("b", F.least(F.col("centre") + span // 2, "contig_length")).where("b > a")
-    wanted = rows.select("window_id", "chrom", "a", "b", F.explode(F.sequence(F.floor(F.col("a") / chunk), F.floor((F.col("b") - 1) / chunk))).alias("k"))
-    parts = wanted.join(contigs.withColumn("k", F.floor(F.col("chunk_start") / chunk)), ["chrom", "k"])
-    whole = parts.groupBy("window_id", "a", "b").agg(F.array_sort(F.collect_list(F.struct("chunk_start", "seq"))).alias("p"))
-    text = F.array_join(F.transform("p", lambda x: x["seq"]), "")
-    return whole.select("window_id", F.upper(F.substr(text, (F.col("a") - F.col("p")[0]["chunk_start"] + 1).cast("int"), (F.col("b") - F.col("a")).cast("int"))).alias("seq"))
+    wanted = rows.select("window_id", "chrom", "a", (F.col("b") - F.col("a")).cast("int").alias("n"), F.floor(F.col("a") / chunk).alias("k"))
+    own = F.floor(F.col("chunk_start") / chunk)
+    parts = contigs.withColumn("k", F.explode(F.sequence(F.greatest(own - -(-span // chunk), F.lit(0)), own)))
+    reach = F.least((F.col("k") + 1) * chunk + span - F.col("chunk_start"), F.length("seq")).cast("int")
+    parts = parts.where(reach > 0).groupBy("chrom", "k").agg(F.array_sort(F.collect_list(F.struct("chunk_start", F.substr("seq", F.lit(1), reach).alias("seq")))).alias("p"))
+    whole = parts.select("chrom", "k", F.col("p")[0]["chunk_start"].alias("first"), F.array_join("p.seq", "").alias("text"))
+    return wanted.join(whole, ["chrom", "k"]).select("window_id", F.upper(F.substr("text", (F.col("a") - F.col("first") + 1).cast("int"), "n")).alias("seq"))
 
 
 def kmer_frequencies(k: int = 3) -> Callable[[str], np.ndarray]:
