@@ -24,8 +24,7 @@ def consumed(ops: Column, kinds: tuple[str, ...]) -> Column:
 
 def reference_end(start: Column, ops: Column) -> Column:
     """The position after the last aligned one; null where nothing consumes the reference."""
-    n = consumed(ops, REFERENCE)
-    return F.when(n > 0, start + n)
+    return start + F.nullif(consumed(ops, REFERENCE), F.lit(0))  # the operations are looked at once
 
 
 def placed(ops: Column, start: Column) -> Column:

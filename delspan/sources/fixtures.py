@@ -81,12 +81,18 @@ SQL = {"reads": READS, "variants": VARIANTS, "contigs": CONTIGS, "predictions":
 BASE = ("lineitem", "orders", "part", "events", "embeddings")
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The rows of a file of few row groups, which would be few tasks, dealt to all cores before anything is derived from them."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the derived tables over the files in ``sf_dir``."""
     if name == "reads_holed":
         return spark.sql(READS_HOLED.replace("FROM reads", "FROM {reads}"), reads=table(spark, sf_dir, "reads"))
     sql = SQL[name].replace('"end"', "`end`")
-    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in BASE if re.search(rf"FROM {t}\b", sql)}
+    used = {t: _dealt(spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in BASE if re.search(rf"FROM {t}\b", sql)}
     return spark.sql(re.sub(rf"FROM ({'|'.join(BASE)})\b", r"FROM {\1}", sql), **used)
 
 
