@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_quantisation, embedding_dedup, language_id, mixing, ngram_join, sentencepiece_bpe, suffix_dedup, token_counts, url_filters, warc
+from . import additive_quantisation, collocations, embedding_dedup, language_id, mixing, ngram_join, packing, periodic_runs, sentencepiece_bpe, suffix_dedup, token_counts, url_filters, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,18 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(_table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(_table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.first_phrases(_table(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -65,6 +77,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_ngram_join": op10_ngram_join,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_collocations": op12_collocations,
+    "op13_packing": op13_packing,
 }
 
 ORACLES: dict[str, str] = {
@@ -72,4 +87,5 @@ ORACLES: dict[str, str] = {
     "op5_source_mixing": mixing.TAKEN_SQL,
     "op10_ngram_join": ngram_join.SIMILAR_SQL,
     "op8_warc": warc.ROUND_TRIP_SQL,
+    "op12_collocations": collocations.PHRASES_SQL,
 }
