@@ -37,7 +37,7 @@ LEAST, LONGEST = 30, 4
 FIRST = 2000
 TOP, TOP_BYTES = 1 << 18, 64
 #: Most occurrences that a section of the filters is planned for, entries that a task gathers, and occurrences that it sorts at once.
-SECTION, FILTER, SORTED = 1 << 21, 1 << 22, 1 << 21
+SECTION, FILTER, SORTED = 1 << 20, 1 << 20, 1 << 20
 #: Phrases, or words, within which such are numbered or ranked.
 BUCKET = 100_000
 #: Characters that end pieces become line feeds, tabulators spaces, A-Z lower-case letters.
