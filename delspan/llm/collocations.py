@@ -38,6 +38,8 @@ FIRST = 2000
 TOP, TOP_BYTES = 1 << 18, 64
 #: Most occurrences that a section of the filters is planned for, entries that a task gathers, and occurrences that it sorts at once.
 SECTION, FILTER, SORTED = 1 << 20, 1 << 20, 1 << 20
+#: Different words that a task counts before it hands them on.
+WORDS = 300_000
 #: Phrases, or words, within which such are numbered or ranked.
 BUCKET = 100_000
 #: Characters that end pieces become line feeds, tabulators spaces, A-Z lower-case letters.
@@ -69,10 +71,8 @@ def word_counts(df: DataFrame) -> DataFrame:
                 own = seen.setdefault(lang, Counter())
                 own.update(tokens(text.as_py()))
                 del own[b""], own[b"\n"]
-                if len(own) > 500_000:
+                if len(own) > WORDS // len(seen):
                     yield flush()
-            if sum(map(len, seen.values())) > 500_000:
-                yield flush()
         yield flush()
 
     return df.mapInArrow(lean(run), "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
