@@ -10,7 +10,7 @@ Texts are lower-cased; runs of other characters than letters become one blank, w
 vector of its own, drawn from its code point.
 
 Training looks at text and label only, of a bounded sample: about ``TRAIN_DOCS`` different labelled texts outside the held-out
-fold, as many of each label as far as it has them. Prediction looks at the text only, the whole of it.
+fold, as many of each label as far as it has them, and ``LEAST`` of each at least. Prediction looks at the text only, the whole of it.
 
 :func:`keep_identified` rejects texts that don't resemble any language: those without letters, and those whose greatest centred cosine isn't
 ``CHANCE`` standard deviations above what a random vector has. If nothing was learned, it keeps all texts with letters.
@@ -31,10 +31,13 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import KEPT, give_back, keep_only, lean
 
-DIMENSIONS, SEED, TRAIN_DOCS, LABELS, CHANCE = 1024, 5, 20_000, 2_000, 3.0
+DIMENSIONS, SEED, TRAIN_DOCS, LABELS, CHANCE = 1024, 5, 20_000, 8_000, 3.0
+#: Different texts of each label that are learned from, as far as it has them, however many labels there are.
+LEAST = 16
 #: A worker holds the vectors of so many letters, and draws those of others anew.
 HELD_LETTERS = 4_096
 UNKNOWN = "und"
@@ -103,16 +106,25 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(df: DataFrame, text_col: str, label_col: str, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
-    """(labels, unit prototypes) from about ``train_docs`` different texts of ``df``, picked by their hash."""
-    rows = df.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"))
-    counts = rows.groupBy("label").agg(F.count("*").alias("n")).limit(LABELS + 1).collect()
-    if len(counts) > LABELS:
+    """(labels, unit prototypes) from the texts of ``df`` with the smallest hashes of each label, about ``train_docs`` different ones, and ``LEAST`` of each label.
+
+    Different texts are counted and ranked by their hashes, not rows, so a text in many rows takes nobody's place.
+    """
+    rows = df.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    hashes = rows.select("label", "h").distinct()
+    labels = hashes.groupBy("label").agg(F.count("*").alias("n"))
+    found = labels.agg(F.count("*")).first()[0]
+    if found > LABELS:
         raise ValueError(f"{label_col} has more than {LABELS} different labels")
-    if not counts:
+    if not found:
         return [], np.zeros((0, DIMENSIONS))
-    each = max(1, train_docs // len(counts))
-    every = F.create_map(*(F.lit(x) for r in counts for x in (r.label, max(1, r.n // each))))
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.element_at(every, F.col("label"))) == 0).dropDuplicates(["label", "text"])
+    each = max(LEAST, train_docs // found)
+    # of a label's hashes the lowest part, in which four times as many are expected; the smallest of these are ranked
+    part = F.least(F.lit(1.0), 4 * each / F.col("n")) * float(1 << 64) - float(1 << 63)
+    low = hashes.join(labels, "label").where(F.col("h").cast("double") <= part)
+    place = F.row_number().over(Window.partitionBy("label").orderBy("h"))
+    last = low.withColumn("place", place).where(F.col("place") <= each).groupBy("label").agg(F.max("h").alias("last"))
+    sample = rows.join(last, "label").where("h <= last").select("label", "text").dropDuplicates(["label", "text"])
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = profiles()

@@ -185,6 +185,21 @@ def test_language_samples_every_label(spark):
     assert labels == ["de", "en"]
 
 
+def test_language_keeps_labels_of_few_texts_in_many_rows(spark):
+    few = [f"der hund und die katze {c}" for c in "abc"] * 1000
+    many = [f"the cat number {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} sat" for i in range(3000)]
+    hot = ["le petit chat dort"] * 3000
+    labels, _ = language_id.learn(docs(spark, few + many + hot, langs=["de"] * 3000 + ["en"] * 3000 + ["fr"] * 3000), "text", "lang", train_docs=20)
+    assert labels == ["de", "en", "fr"]
+
+
+def test_language_of_many_labels(spark):
+    word = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(3))
+    texts = [f"{word(k)} {word(k * 7 % 2500)} {word(k * 11 % 2500)}" for k in range(2500)]
+    labels, vectors = language_id.learn(docs(spark, texts, langs=[f"l{k}" for k in range(2500)]), "text", "lang")
+    assert len(labels) == 2500 == len(vectors)
+
+
 def test_language_sees_text_only(spark):
     texts = ["the cat and the dog " * 5] * 6 + ["der hund und die katze " * 5] * 6
     langs = ["en"] * 6 + ["de"] * 6
