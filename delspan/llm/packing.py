@@ -34,7 +34,7 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces in a bucket within which pieces are numbered.
 BUCKET = 250_000
-CACHE_SIZE = 400_000
+CACHE_SIZE = 700_000
 #: Marks a text's first part; no text has it, as it is half of a character.
 FIRST = "\ud800"
 #: Punctuation that is encoded apart from a letter before it.
@@ -84,41 +84,44 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str], before: str) -> list[bytes]:
+        """Ids of words with ``before`` (a space or line feed) before each, encoded one after another."""
+        out: list[bytes] = []
+        for s in range(0, len(words), 4096):
+            text = before + before.join(words[s : s + 4096])
+            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            letters = np.frombuffer(text.encode(), np.uint8)
+            begin = np.flatnonzero(letters == ord(before)) if len(words) > 1 else np.zeros(1, np.int64)
+            at = 4 * np.searchsorted(np.cumsum(self.n_bytes[ids]), begin, side="right")
+            raw, cuts = ids.tobytes(), [*at.tolist(), 4 * len(ids)]
+            out += [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return out
+
     def _learn(self, parts: list[str]) -> dict[str, bytes]:
-        """The ids of parts. Words are encoded many at a time, one after another, without the punctuation after them."""
-        known: dict[str, bytes] = {}
-        stems: dict[str, None] = {}
-        apart, ended = [], []
+        """The ids of parts, which are kept if they may be. Words are encoded many at a time, one after another, without the punctuation after them."""
+        words, firsts, apart, ended = [], [], [], []
         for p in parts:
-            stem = p.rstrip(ENDS)
-            if stem[:1] == FIRST or stem[:1].isspace() or not stem[-1:].isalpha():
-                apart.append(p)
+            if p.isalpha():
+                words.append(p)
+            elif (stem := p.rstrip(ENDS)).isalpha() and stem[-1] < "\u0250":  # letters in any version of Unicode
+                ended.append((p, stem))
+            elif p[:1] == FIRST and p[1:].isalpha():
+                firsts.append(p)
             else:
-                stems[stem] = None
-                if len(stem) < len(p):
-                    ended.append((p, stem))
-        known.update(zip(apart, self._library([p[1:] if p[:1] == FIRST else " " + p for p in apart]), strict=True))
-        words = []
-        for stem in stems:
-            ids = self.young.get(stem)
-            if ids is None:
-                words.append(stem)
-            else:
-                known[stem] = ids
-        for s in range(0, len(words), 2048):
-            own = words[s : s + 2048]
-            ids = np.array(self.library.encode_batch_fast([" " + " ".join(own)], add_special_tokens=False)[0].ids, "<u4")
-            sizes = [len(p.encode()) + 1 for p in own]
-            stops = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(sizes), side="left") + 1
-            raw, at = ids.tobytes(), 0
-            for p, stop in zip(own, (4 * stops).tolist(), strict=True):
-                known[p] = raw[at:stop]
-                at = stop
-        ends = [p[len(stem) :] for p, stem in ended]
-        of_end = dict(zip(dict.fromkeys(ends), self._library([*dict.fromkeys(ends)]), strict=True))
-        for (p, stem), end in zip(ended, ends, strict=True):
-            known[p] = known[stem] + of_end[end]
-        return known
+                apart.append(p)
+        get = self.young.get
+        words += {stem: None for _, stem in ended if get(stem) is None}.keys() - set(words)
+        known = dict(zip(words, self._words(words, " "), strict=True))
+        for p, ids in zip(firsts, self._words([p[1:] for p in firsts], "\n"), strict=True):
+            known[p] = ids[4:]  # without the line feed's
+        ends = list(dict.fromkeys([p[len(stem) :] for p, stem in ended]))
+        of_end = dict(zip(ends, self._library(ends), strict=True))
+        for p, stem in ended:
+            known[p] = (known.get(stem) or get(stem)) + of_end[p[len(stem) :]]
+        self.young.update(known)
+        found = dict(zip(apart, self._library([p[1:] if p[:1] == FIRST else " " + p for p in apart]), strict=True))
+        self.young.update((p, ids) for p, ids in found.items() if len(p) <= 64 and not p[-1:].isspace() and p not in ("", FIRST))
+        return known | found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.young) >= CACHE_SIZE:
@@ -127,7 +130,6 @@ class Encoder:
         found: list[list[bytes | None]] = []
         gaps: list[tuple[list[bytes | None], list[int], list[str]]] = []
         missing: set[str] = set()
-        again: dict[str, bytes] = {}
         for text in texts:
             cut = text.split(" ") if text else []
             if cut:
@@ -143,14 +145,12 @@ class Encoder:
                 gaps.append((ids, at, new))
                 missing.update(new)
             found.append(ids)
-        for p in missing:
-            if p in old:
-                again[p] = old[p]
-        known = self._learn([p for p in missing if p not in again]) | again
+        again = {p: ids for p in missing if (ids := old.get(p)) is not None}
+        self.young.update(again)
+        known = self._learn([*missing.difference(again)]) | again
         for ids, at, new in gaps:
             for k, p in zip(at, new, strict=True):
                 ids[k] = known[p]
-        self.young.update((p, ids) for p, ids in known.items() if len(p) <= 64 and not p[-1:].isspace() and p not in ("", FIRST))
         return [b"".join(ids) for ids in found]
 
 
