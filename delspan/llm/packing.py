@@ -17,6 +17,7 @@ written, every choice being as good; an empty table gives an empty result. Other
 
 from __future__ import annotations
 
+import gc
 import os
 import zlib
 from collections import Counter
@@ -37,6 +38,9 @@ BUCKET = 250_000
 CACHE_SIZE = 700_000
 #: Marks a text's first part; no text has it, as it is half of a character.
 FIRST = "\ud800"
+#: Likewise marks a part that begins with a space and a line feed.
+SPACED = "\ud801"
+LINES = (FIRST, "\n")
 #: Punctuation that is encoded apart from a letter before it.
 ENDS = ".,;:!?"
 
@@ -51,8 +55,9 @@ class Encoder:
     """Ids of texts by the library, as little-endian unsigned 32-bit numbers.
 
     The library's pre-tokens take at most the one space before them, so a text may be cut before each space that follows
-    something other than white space, and the ids of the parts joined. Likewise punctuation after a letter is a pre-token of its own. Ids of
-    parts are kept, so that only new ones are encoded. A text's first part is kept with a mark before it, all others without their space.
+    something other than white space, and the ids of the parts joined. Likewise punctuation after a letter is a pre-token of its own, and so is
+    a line feed alone between other characters than white space. Ids of parts are kept, so that only new ones are encoded. A text's first part is kept
+    with a mark before it, one after a line feed with that, all others without their space.
     """
 
     def __init__(self, path: str):
@@ -77,7 +82,7 @@ class Encoder:
             if after_space:
                 out[-1] += " " + part
             else:
-                out.append(part)
+                out.append(SPACED + part if part[:1] == "\n" else part)
             after_space = part == "" or part[-1].isspace()
         return out
 
@@ -105,7 +110,7 @@ class Encoder:
                 words.append(p)
             elif (stem := p.rstrip(ENDS)).isalpha() and stem[-1] < "\u0250":  # letters in any version of Unicode
                 ended.append((p, stem))
-            elif p[:1] == FIRST and p[1:].isalpha():
+            elif p[:1] in LINES and p[1:].isalpha():
                 firsts.append(p)
             else:
                 apart.append(p)
@@ -113,13 +118,14 @@ class Encoder:
         words += {stem: None for _, stem in ended if get(stem) is None}.keys() - set(words)
         known = dict(zip(words, self._words(words, " "), strict=True))
         for p, ids in zip(firsts, self._words([p[1:] for p in firsts], "\n"), strict=True):
-            known[p] = ids[4:]  # without the line feed's
+            known[p] = ids if p[0] == "\n" else ids[4:]  # without the line feed's
         ends = list(dict.fromkeys([p[len(stem) :] for p, stem in ended]))
         of_end = dict(zip(ends, self._library(ends), strict=True))
         for p, stem in ended:
             known[p] = (known.get(stem) or get(stem)) + of_end[p[len(stem) :]]
         self.young.update(known)
-        found = dict(zip(apart, self._library([p[1:] if p[:1] == FIRST else " " + p for p in apart]), strict=True))
+        whole = [p[1:] if p[:1] == FIRST else " " + p[1:] if p[:1] == SPACED else p if p[:1] == "\n" else " " + p for p in apart]
+        found = dict(zip(apart, self._library(whole), strict=True))
         self.young.update((p, ids) for p, ids in found.items() if len(p) <= 64 and not p[-1:].isspace() and p not in ("", FIRST))
         return known | found
 
@@ -131,13 +137,15 @@ class Encoder:
         gaps: list[tuple[list[bytes | None], list[int], list[str]]] = []
         missing: set[str] = set()
         for text in texts:
-            cut = text.split(" ") if text else []
+            cut = text.replace("\n", " \n").split(" ") if text else []
             if cut:
                 cut[0] = FIRST + cut[0]
             ids = list(map(get, cut))
             if None in ids:
                 at = [k for k, x in enumerate(ids) if x is None]
                 if any(cut[k][-1:].isspace() or cut[k] in ("", FIRST) for k in at):  # such parts are never kept
+                    cut = text.split(" ")
+                    cut[0] = FIRST + cut[0]
                     cut = self.joined(cut)
                     ids = list(map(get, cut))
                     at = [k for k, x in enumerate(ids) if x is None]
@@ -174,6 +182,7 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_only("encoder")
         encode = encoder(path).encode
+        gc.disable()  # it makes millions of strings and no cycles
         for batch in batches:
             for s in range(0, batch.num_rows, 512):
                 part = batch.slice(s, 512)
@@ -194,6 +203,7 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                     flat = pa.array(np.frombuffer(b"".join(own_ids), "<u4").astype(np.int32))
                     columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) // 4 for x in own_ids)]), pa.int32()), flat))
                 yield pa.RecordBatch.from_arrays(columns, names)
+        gc.enable()
 
     key = dict(df.dtypes)[id_col]
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
