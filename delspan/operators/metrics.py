@@ -70,21 +70,41 @@ def _curve(rows: DataFrame, by: list[str]) -> DataFrame:
     within = Window.partitionBy(*by, "slice").orderBy(F.desc("prob")).rowsBetween(Window.unboundedPreceding, 0)
     out = points.withColumn("tp", F.sum("pos").over(within)).withColumn("at", F.sum("all").over(within)).join(slices, [*by, "slice"])
     tp, seen = F.col("tp") + F.col("bp"), F.col("at") + F.col("ba")
-    return out.select(*by, "slice", "prob", tp.alias("tp"), (seen - tp).alias("fp"), F.col("p"), (F.col("t") - F.col("p")).alias("n"))
+    return out.select(*by, "slice", "prob", "pos", "all", tp.alias("tp"), (seen - tp).alias("fp"), F.col("p"), (F.col("t") - F.col("p")).alias("n"))
 
 
-def roc_curve(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """``prob, fpr, tpr`` at each distinct threshold."""
+def roc_curve(rows: DataFrame, by: list[str] | None = None, drop_intermediate: bool = True) -> DataFrame:
+    """``prob, fpr, tpr`` of the curve as it is plotted: from (null, 0, 0) through the distinct thresholds from the greatest down.
+
+    ``drop_intermediate``: points that lie on a straight line between their neighbours, the next threshold adding the same counts, are left out. Each slice of
+    thresholds learns its next one from the first of the slice after it.
+    """
     by = by or []
-    return _curve(rows, by).select(*by, "prob", _ratio(F.col("fp"), F.col("n")).alias("fpr"), _ratio(F.col("tp"), F.col("p")).alias("tpr"))
+    points = _curve(rows, by)
+    if drop_intermediate:
+        own = F.struct("pos", "all")
+        heads = points.groupBy(*by, "slice").agg(F.max_by(own, "prob").alias("head"))
+        order = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(F.desc("slice"))
+        heads = heads.select(*by, "slice", F.lead("head").over(order).alias("head"))
+        points = points.join(heads, [*by, "slice"])
+        after = F.coalesce(F.lead(own).over(Window.partitionBy(*by, "slice").orderBy(F.desc("prob"))), "head")
+        first = F.col("tp") + F.col("fp") == F.col("all")
+        points = points.withColumn("after", after).where(first | F.col("after").isNull() | (F.col("after") != own))
+    points = points.select(*by, "prob", _ratio(F.col("fp"), F.col("n")).alias("fpr"), _ratio(F.col("tp"), F.col("p")).alias("tpr"))
+    return points.unionByName(_end_point(rows, by, fpr=0.0, tpr=0.0))
+
+
+def _end_point(rows: DataFrame, by: list[str], **values: float) -> DataFrame:
+    """One row for each group, without a threshold."""
+    groups = rows.select(*by).distinct() if by else rows.groupBy().agg(F.count("*").alias("x")).drop("x")
+    return groups.select(*by, F.lit(None).cast("double").alias("prob"), *(F.lit(v).alias(c) for c, v in values.items()))
 
 
 def precision_recall_curve(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     """``prob, precision, recall`` at each distinct threshold, and the final point (null, 1, 0)."""
     by = by or []
     points = _curve(rows, by).select(*by, "prob", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), _ratio(F.col("tp"), F.col("p")).alias("recall"))
-    last = (rows.select(*by).distinct() if by else rows.groupBy().agg(F.count("*").alias("x")).drop("x")).select(*by, F.lit(None).cast("double").alias("prob"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
-    return points.unionByName(last)
+    return points.unionByName(_end_point(rows, by, precision=1.0, recall=0.0))
 
 
 def ranking_scores(rows: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 WINDOW, LEAST = 50, 5
-#: Position bins by which windows and reads meet, about as wide as both; joins of long intervals take wider ones.
+#: Position bins by which windows and reads meet, about as wide as both.
 BIN = 128
 MERGE_BIN = 1_000_000
+#: Bits of the widths of nested position bins; the last level is a whole chromosome.
+LEVELS = (10, 13, 16, 19, 22, 25, 28)
 
 
 def tile(regions: DataFrame, size: int = WINDOW, min_width: int = LEAST) -> DataFrame:
@@ -30,21 +32,35 @@ def dataset_windows(regions: DataFrame, anchors: DataFrame, size: int = WINDOW,
     return tile(both, size, min_width)
 
 
-def overlap_join(reads: DataFrame, windows: DataFrame, bin_size: int = BIN) -> DataFrame:
-    """Pairs with ``ref_start < end`` and ``ref_end > start`` on one chromosome.
+def _nested(rows: DataFrame, start: str, end: str) -> DataFrame:
+    """Rows that have a width, with ``level`` and ``bin`` of the smallest bin that holds them whole."""
+    level = sum((F.shiftright(start, k) != F.shiftright(F.col(end) - 1, k)).cast("int") for k in LEVELS)
+    rows = rows.where(F.col(end) > F.col(start)).withColumn("level", level)
+    return rows.withColumn("bin", F.expr(f"CASE WHEN level = {len(LEVELS)} THEN 0 ELSE shiftright({start}, {LEVELS[0]} + level * {LEVELS[1] - LEVELS[0]}) END"))
 
-    Both sides are dealt to the position bins that they touch and joined by (chromosome, bin), so one chromosome, however many reads
-    it has, is many keys. A pair is kept in the later of the two first bins only, which makes it unique without a distinct.
+
+def _asking(rows: DataFrame, start: str, first: int) -> DataFrame:
+    """The rows once for each level from ``first`` above their own, with the bin of that level that holds them."""
+    rows = rows.where(F.col("level") + first <= len(LEVELS)).withColumn("level", F.explode(F.sequence(F.col("level") + first, F.lit(len(LEVELS)))))
+    return rows.withColumn("bin", F.expr(f"CASE WHEN level = {len(LEVELS)} THEN 0 ELSE shiftright({start}, {LEVELS[0]} + level * {LEVELS[1] - LEVELS[0]}) END"))
+
+
+def overlap_join(a: DataFrame, b: DataFrame, a_ends: tuple[str, str] = ("ref_start", "ref_end"), b_ends: tuple[str, str] = ("start", "end")) -> DataFrame:
+    """Pairs with ``a_start < b_end`` and ``a_end > b_start`` on one ``chrom``, for intervals of any width. Other columns must have different names.
+
+    Position bins are nested, each level eight times as wide as the one before. An interval stands in one bin, the smallest that holds it whole. If two
+    overlap, the bin of the higher one holds the lower one's. So each interval is one row where it stands, and one for each level from its own upwards where
+    it asks, never more than there are levels, however wide it is; each pair is found once, without a distinct. Many intervals in one wide bin are a
+    skewed partition of an inner join, which adaptive execution splits.
     """
-    bins = lambda a, b: F.explode(F.sequence(F.floor(a / bin_size), F.floor((b - 1) / bin_size)))
-    left = reads.where(F.col("ref_end") > F.col("ref_start")).withColumn("bin", bins(F.col("ref_start"), F.col("ref_end")))
-    right = windows.where(F.col("end") > F.col("start")).withColumn("bin", bins(F.col("start"), F.col("end")))
-    first = F.greatest(F.floor(F.col("ref_start") / bin_size), F.floor(F.col("start") / bin_size))
-    return left.join(right, ["chrom", "bin"]).where((F.col("ref_start") < F.col("end")) & (F.col("ref_end") > F.col("start")) & (F.col("bin") == first)).drop("bin")
+    a, b = _nested(a, *a_ends), _nested(b, *b_ends)
+    on = ["chrom", "level", "bin"]
+    pairs = a.join(_asking(b, b_ends[0], 0), on).unionByName(_asking(a, a_ends[0], 1).join(b, on))
+    return pairs.where((F.col(a_ends[0]) < F.col(b_ends[1])) & (F.col(a_ends[1]) > F.col(b_ends[0]))).drop("level", "bin")
 
 
 def window_join(reads: DataFrame, windows: DataFrame, width: int = WINDOW, bin_size: int = BIN) -> DataFrame:
-    """The pairs of :func:`overlap_join` for windows of at most ``width`` (a wider one is an error), with ``bin``.
+    """The pairs of reads (ref_start, ref_end) and windows that overlap, for windows of at most ``width`` (a wider one is an error), with ``bin``.
 
     A window is dealt to the bin of its start only, and a read to all bins where windows that it overlaps may start. So a window has all its pairs in one
     partition, and what follows by (chrom, bin, window_id) needs no further shuffle.
