@@ -40,7 +40,7 @@ def _ops(table: str = "reads") -> str:
   FROM (SELECT qname, ref_start, unnest({_LETTERS}) AS op, CAST(unnest({_DIGITS}) AS BIGINT) AS n, unnest(range(len({_DIGITS}))) AS k FROM {table}) x
   WINDOW w AS (PARTITION BY qname ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) y),
 rd AS MATERIALIZED (
- SELECT a.*, ref_start + b.len AS ref_end, b.first_op, b.last_op, b.query_length FROM {table} a JOIN (
+ SELECT a.*, ref_start + nullif(b.len, 0) AS ref_end, b.first_op, b.last_op, b.query_length FROM {table} a JOIN (
   SELECT qname, CAST(sum(CASE WHEN op IN ('M','D','N','=','X') THEN n ELSE 0 END) AS BIGINT) AS len, CAST(sum(CASE WHEN op IN ('M','I','S','=','X') THEN n ELSE 0 END) AS BIGINT) AS query_length,
    min(op) FILTER (k = 0) AS first_op, min(op) FILTER (k = last) AS last_op FROM ops GROUP BY qname) b USING (qname))"""
 
@@ -50,7 +50,7 @@ pairs AS MATERIALIZED (SELECT w.window_id, w.start, w."end", r.* FROM rd r JOIN
 _CLIPS = """,
 clips AS MATERIALIZED (
  SELECT chrom, pos, count(*) AS clip FROM (
-  SELECT chrom, ref_start AS pos FROM rd WHERE first_op IN ('S','H') UNION ALL SELECT chrom, ref_end - 1 FROM rd WHERE last_op IN ('S','H')) x GROUP BY chrom, pos)"""
+  SELECT chrom, ref_start AS pos FROM rd WHERE first_op IN ('S','H') UNION ALL SELECT chrom, ref_end - 1 FROM rd WHERE last_op IN ('S','H') AND ref_end IS NOT NULL) x GROUP BY chrom, pos)"""
 _DEPTH = """,
 bases AS (
  SELECT chrom, pos, upper(substr(seq, CAST(q + pos - r + 1 AS INT), 1)) AS base, ascii(substr(qual, CAST(q + pos - r + 1 AS INT), 1)) - 33 AS quality
@@ -167,7 +167,36 @@ _HEADER = ["##fileformat=VCFv4.3", "##fileDate=20240101", *HEADER, "\t".join([*C
 
 _HASH = lambda what: f"CAST('0x' || substr(md5('seed-42|{what}|' || k), 1, 12) AS BIGINT)"
 
+_AUTOSOMAL = _WINDOWS.replace("WHERE length <= 10000)", "WHERE length <= 10000 AND chrom NOT IN ('X', 'Y'))")
+_MATES = """,
+spread AS (
+ SELECT window_id, start, ref_start, name, flag, seq, qual, q, r, unnest(range(greatest(r, start), least(r + n, "end"))) AS pos
+ FROM pairs JOIN ops USING (qname) WHERE flag & 1796 = 0 AND NOT (flag & 1 = 1 AND flag & 2 = 0) AND op IN ('M','=','X') AND r < "end" AND r + n > start),
+based AS (SELECT *, substr(seq, CAST(q + pos - r + 1 AS INT), 1) AS base, ascii(substr(qual, CAST(q + pos - r + 1 AS INT), 1)) - 33 AS quality FROM spread),
+pairs_of AS (SELECT *, row_number() OVER m AS k, lead(quality) OVER m AS q2, lag(quality) OVER m AS q1, lead(base) OVER m AS b2, lag(base) OVER m AS b1 FROM based WINDOW m AS (PARTITION BY window_id, pos, name ORDER BY ref_start, flag)),
+mated AS (
+ SELECT window_id, start, pos, base, row_number() OVER (PARTITION BY window_id, pos ORDER BY ref_start, name, flag) - 1 AS row_idx FROM pairs_of
+ WHERE CASE WHEN flag & 1 = 0 OR (k % 2 = 1 AND q2 IS NULL) THEN quality WHEN k % 2 = 1 AND base = b2 THEN least(quality + q2, 200) WHEN k % 2 = 1 AND quality >= q2 THEN quality * 4 // 5
+  WHEN k % 2 = 0 AND base <> b1 AND quality > q1 THEN quality * 4 // 5 ELSE 0 END >= 13)"""
+
 ORACLES = {
+    "regions_by_overlap": oracle("""SELECT region_id, coalesce(n_regions, 0) AS n_regions, coalesce(n_reads, 0) AS n_reads, CAST(coalesce(mapq_sum, 0) AS BIGINT) AS mapq_sum FROM all_regions
+ LEFT JOIN (SELECT a.region_id, count(*) AS n_regions FROM all_regions a JOIN all_regions b ON a.chrom = b.chrom AND a.start < b."end" AND a."end" > b.start AND a.region_id <> b.region_id WHERE a."end" > a.start AND b."end" > b.start GROUP BY a.region_id) x USING (region_id)
+ LEFT JOIN (SELECT w.region_id, count(*) AS n_reads, sum(mapq) AS mapq_sum FROM all_regions w JOIN rd r ON r.chrom = w.chrom AND r.ref_start < w."end" AND r.ref_end > w.start WHERE w."end" > w.start GROUP BY w.region_id) y USING (region_id)""", "reads", "variants", then=_ALL_REGIONS + ",\n" + _ops()),
+    "pileup_mates": oracle("""SELECT window_id, count(*) AS n, CAST(sum((pos - start) * (row_idx + 1)) AS BIGINT) AS place_sum, count(*) FILTER (base = 'A') AS n_a, count(*) FILTER (base = 'C') AS n_c, count(*) FILTER (base = 'G') AS n_g, count(*) FILTER (base = 'T') AS n_t
+ FROM mated GROUP BY window_id""", "reads_mated", "variants", then=_WINDOWS + ",\nreads_named AS MATERIALIZED (SELECT qname || '/' || which AS qname, qname AS name, flag, chrom, ref_start, cigar, seq, qual FROM reads_mated),\n" + _ops("reads_named") + _PAIRS + _MATES),
+    "image_job": oracle(_CELL_SUMS, "reads", "variants", then=_AUTOSOMAL + ",\n" + _ops() + _CLIPS + _PILEUP + _BASE_CELLS),
+    "dataset_job": oracle(f"""SELECT c.window_id, c.chrom, c.start, c."end", c.label, CASE WHEN {_COUNT_TRAIN.replace('chrom', 'c.chrom')} THEN 'train' ELSE 'validation' END AS split, base_a, mapq, deletion FROM chosen c JOIN m USING (window_id)
+ WHERE place <= CASE kind WHEN 'del' THEN 20 ELSE 10 END""", "reads", "variants", then=_AUTOSOMAL + ",\n" + _ops() + _PAIRS + _TENSOR + """,
+equal AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('seed-42|' || window_id), window_id) AS rank FROM windows) x WHERE rank <= (SELECT min(n) FROM (SELECT count(*) AS n FROM windows GROUP BY label) y)),
+m AS MATERIALIZED (SELECT window_id, """ + ", ".join(f"round(coalesce(CAST(sum({_CHANNEL[c]}) AS DOUBLE), 0) / 5000 + 1e-10::DOUBLE, 6) + 0.0::DOUBLE AS {c}" for c in ("base_a", "mapq", "deletion")) + """ FROM cells GROUP BY window_id),
+chosen AS (SELECT *, row_number() OVER (PARTITION BY chrom, kind ORDER BY md5('seed-42|' || region_id), region_id, start) AS place FROM equal WHERE window_id IN (SELECT window_id FROM m))"""),
+    "calling_job": oracle("""SELECT chrom, start, "end", 'DEL' AS sv_type, "end" - start AS length, CASE WHEN "end" - start < 200 THEN 'SMALL' WHEN "end" - start < 700 THEN 'MEDIUM' WHEN "end" - start < 1000 THEN 'LARGE' ELSE 'VERY_LARGE' END AS size_class FROM (
+ SELECT chrom, min(start) AS start, max("end") AS "end", round(avg(prob), 9) AS quality FROM (
+  SELECT *, sum(CASE WHEN start > seen THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY start, "end") AS island FROM (
+   SELECT *, max("end") OVER (PARTITION BY chrom ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM p WHERE pred = 1) x) y GROUP BY chrom, island) z WHERE quality >= 0.6""", "predictions", then=_PRED),
+    "dataset_rewritten": oracle(f"""SELECT CASE WHEN {_COUNT_TRAIN} THEN 'train' ELSE 'validation' END AS split, label, CASE WHEN start % 2 = 0 THEN 2 ELSE 1 END AS version, count(*) AS n, CAST(sum(start) AS BIGINT) AS starts
+ FROM (SELECT DISTINCT label, chrom, start, "end" FROM windows WHERE chrom NOT IN ('X', 'Y')) x WHERE start % 3 > 0 OR start % 2 = 0 GROUP BY ALL""", "variants", then=_WINDOWS),
     "resampled_classes": oracle("SELECT p.window_id, p.label FROM draws d JOIN placed p ON p.label = d.label AND p.place = 1 + d.h % d.size", "predictions", then=f"""placed AS (
  SELECT window_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('seed-42|' || window_id), window_id) AS place, count(*) OVER (PARTITION BY label) AS size FROM predictions),
 sizes AS (SELECT DISTINCT label, size FROM placed),
@@ -229,7 +258,7 @@ draws AS (SELECT s.label, s.size, {_HASH('row')} AS h FROM range((SELECT count(*
     "smoothed_for_detection": oracle("SELECT region_id, count(*) AS n, sum(median) AS median_sum, max(pos) AS last FROM smooth GROUP BY region_id", "reads_holed", "variants", then=_HOLED + _smooth(1)),
     "cluster_decision": oracle("""SELECT region_id, l1 AS "left", r1 AS "right", e2 AS threshold FROM (
   SELECT region_id, count(*) AS n, min(l) AS first, max(r) AS last, max(m) FILTER (k = 1) AS m1, max(m) FILTER (k = 2) AS m2, max(m) FILTER (k = 3) AS m3, max(e) FILTER (k = 2) AS e2, max(l) FILTER (k = 1) AS l1, max(r) FILTER (k = 1) AS r1
-  FROM (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY m, cluster) AS k FROM (
+  FROM (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY m, cluster DESC) AS k FROM (
    SELECT region_id, cluster, CAST(floor(avg(5 * median) / 5) AS BIGINT) AS m, CAST(floor(min(5 * median) / 5) AS BIGINT) AS e, min(pos) AS l, max(pos) AS r FROM (SELECT *, ntile(3) OVER (PARTITION BY region_id ORDER BY pos) AS cluster FROM smooth) a GROUP BY region_id, cluster) b) c
   GROUP BY region_id) d WHERE n = 3 AND m1 < floor(4 * m2 / 5) AND m1 < floor(4 * m3 / 5) AND l1 > first AND r1 < last""", "reads_holed", "variants", then=_HOLED + _smooth()),
     "boundary_walk": oracle("""SELECT region_id, coalesce(max(pos) FILTER (pos <= s AND depth > 3), min(pos)) AS start, coalesce(min(pos) FILTER (pos >= e AND depth > 3), max(pos)) AS "end"
@@ -244,7 +273,8 @@ draws AS (SELECT s.label, s.size, {_HASH('row')} AS h FROM range((SELECT count(*
     "confusion_matrix": oracle("SELECT l AS label, q AS pred, count(p.prob) AS n FROM (SELECT * FROM (VALUES (0), (1)) a(l), (VALUES (0), (1)) b(q)) g LEFT JOIN p ON p.label = l AND p.pred = q GROUP BY l, q", "predictions", then=_PRED),
     "class_report": oracle("SELECT label, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, support FROM report", "predictions", then=_PRED + _report()),
     "f1_summary": oracle("SELECT round(weighted_f1, 9) AS weighted_f1, round(macro_f1, 9) AS macro_f1, round(balanced_accuracy, 9) AS balanced_accuracy, round(accuracy, 9) AS accuracy FROM summary", "predictions", then=_PRED + _report()),
-    "roc_curve": oracle("SELECT prob, fp / neg AS fpr, tp / pos AS tpr FROM curve", "predictions", then=_PRED + _curve()),
+    "roc_curve": oracle("""SELECT prob, fp / neg AS fpr, tp / pos AS tpr FROM (SELECT *, lead(dp) OVER w AS dp1, lead(dt) OVER w AS dt1, row_number() OVER w AS k FROM curve WINDOW w AS (ORDER BY prob DESC)) x
+ WHERE k = 1 OR dp1 IS NULL OR dp1 <> dp OR dt1 <> dt UNION ALL SELECT NULL, 0, 0""", "predictions", then=_PRED + _curve()),
     "pr_curve": oracle("SELECT prob, tp / (tp + fp) AS precision, tp / pos AS recall FROM curve UNION ALL SELECT NULL, 1, 0", "predictions", then=_PRED + _curve()),
     "ranking_scores": oracle("SELECT round(roc_auc, 9) AS roc_auc, round(average_precision, 9) AS average_precision FROM scores", "predictions", then=_PRED + _curve()),
     "weighted_log_loss": oracle(f"SELECT round({_LOSS}, 9) AS loss FROM p JOIN weights USING (label)", "predictions", then=_PRED + _WEIGHTS),

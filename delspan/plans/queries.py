@@ -266,8 +266,8 @@ def tensor_channel_means(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _profile(spark: SparkSession, sf: str, of: Callable[..., DataFrame] = refine.profile) -> DataFrame:
-    reads = fixtures.table(spark, sf, "reads_holed")
-    return of(_regions(spark, sf), alignments.depth(reads), alignments.clips(reads))
+    reads, found = fixtures.table(spark, sf, "reads_holed"), _regions(spark, sf)
+    return of(found, alignments.depth_arrays(reads, bins=refine.bins_of(found)), alignments.clips(reads))
 
 
 @query
@@ -299,8 +299,9 @@ def boundary_walk(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def refined_boundaries(spark: SparkSession, sf: str) -> DataFrame:
-    reads = fixtures.table(spark, sf, "reads_holed")
-    return refine.refined(_regions(spark, sf), alignments.depth(reads), alignments.clips(reads)).select("region_id", "chrom", "start", "end", "refined")
+    reads, found = fixtures.table(spark, sf, "reads_holed"), _regions(spark, sf)
+    depth = alignments.depth_arrays(reads, bins=refine.bins_of(found))
+    return refine.refined(found, depth, alignments.clips(reads)).select("region_id", "chrom", "start", "end", "refined")
 
 
 @query
@@ -308,7 +309,7 @@ def deletion_candidates(spark: SparkSession, sf: str) -> DataFrame:
     reads = fixtures.table(spark, sf, "reads_holed")
     whole = contig_lengths(spark, sf).select("chrom", F.col("chrom").alias("region_id"), F.lit("scan").alias("kind"), F.lit(0).cast("long").alias("start"), F.col("length").alias("end"))
     ranges = regions.tile(whole, size=2_000).select(F.col("window_id").alias("region_id"), "chrom", "start", "end")
-    return refine.candidates(ranges, alignments.depth(reads), alignments.clips(reads))
+    return refine.candidates(ranges, alignments.depth_arrays(reads), alignments.clips(reads))
 
 
 @query
@@ -394,8 +395,9 @@ def contigs_from_header(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def reference_from_text(spark: SparkSession, sf: str) -> DataFrame:
     """The contigs written as FASTA and read back line by line."""
-    chunks = fixtures.table(spark, sf, "contigs").groupBy("chrom").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_start", "seq"))), lambda x: x["seq"]), "\n").alias("lines"))
-    return text_formats.read_reference(spark, _as_text(chunks.select(F.concat(F.lit(">"), "chrom", F.lit(" a contig\n"), "lines").alias("value")), "reference"))
+    path = scratch_path(spark, "reference")
+    text_formats.write_reference(fixtures.table(spark, sf, "contigs"), path)
+    return text_formats.read_reference(spark, path, parts=True)
 
 
 @query
@@ -414,13 +416,72 @@ def metrics_as_text(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.json(path).select(F.col("epoch").cast("int").alias("epoch"), F.round("weighted_f1", 9).alias("weighted_f1"), F.round("accuracy", 9).alias("accuracy"))
 
 
+@query
+def dataset_rewritten(spark: SparkSession, sf: str) -> DataFrame:
+    """The windows written as a dataset, and half of them again with another version and label order: the last write of a key counts."""
+    path = scratch_path(spark, "dataset")
+    rows = sampling.with_split(_windows(spark, sf)).select(F.lit("S1").alias("sample"), "label", "chrom", "start", "end", "split").distinct()
+    text_formats.write_dataset(rows.where("start % 3 > 0").withColumn("version", F.lit(1)), path)
+    text_formats.write_dataset(rows.where("start % 2 = 0").withColumn("version", F.lit(2)), path, scratch=scratch_path(spark, "rewritten"))
+    return spark.read.parquet(path).groupBy("split", "label", "version").agg(F.count("*").alias("n"), F.sum("start").alias("starts"))
+
+
 @query
 def call_file(spark: SparkSession, sf: str) -> DataFrame:
-    """A file of calls with its header, line by line."""
+    """A text of calls with its header, line by line."""
     path = scratch_path(spark, "calls")
-    text_formats.write_calls(jobs.call_deletions(fixtures.table(spark, sf, "predictions")), path, "20240101", 0.6, one_file=True, sample="S1")
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("id"))  # one file, whose splits are read in their order
-    return lines.select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("id")).alias("k"), F.col("value").alias("line"))
+    text_formats.write_calls(jobs.call_deletions(fixtures.table(spark, sf, "predictions")), path, "20240101", 0.6, sample="S1")
+    return text_formats.numbered_lines(spark, path)
+
+
+@query
+def calling_job(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of positive windows as calls, written as variant text and read back as records."""
+    path = scratch_path(spark, "calls")
+    calls = jobs.call_deletions(fixtures.table(spark, sf, "predictions"), merge_gap=0).withColumn("quality", F.round("quality", 9))
+    text_formats.write_calls(calls, path, "20240101", 0.6, sample="S1")
+    found = variants.regions(text_formats.read_variants(spark, path, "S1"), carriers=True)
+    return found.select("chrom", "start", "end", "sv_type", "length", "size_class")
+
+
+@query
+def dataset_job(spark: SparkSession, sf: str) -> DataFrame:
+    """Records and reads to balanced windows with data, within quotas, with their split and features."""
+    windows, means = jobs.build_dataset(_records(spark, sf), _reads(spark, sf), quota={"del": 20, "up": 10, "down": 10}, carriers=True)
+    features = means.select("window_id", *((F.round(F.col(c) + 1e-10, 6) + 0.0).alias(c) for c in ("base_a", "mapq", "deletion")))
+    return windows.select("window_id", "chrom", "start", "end", "label", "split").join(features, "window_id")
+
+
+@query
+def refined_dataset_job(spark: SparkSession, sf: str) -> DataFrame:
+    """The windows of regions with refined boundaries, whose anchors follow them."""
+    windows = jobs.labelled_windows(_records(spark, sf), fixtures.table(spark, sf, "reads_holed"), refined=True, carriers=True)
+    return sampling.with_split(windows).select("window_id", "chrom", "start", "end", "label", "split")
+
+
+@query
+def image_job(spark: SparkSession, sf: str) -> DataFrame:
+    return _cell_sums(jobs.image_dataset(_records(spark, sf), _reads(spark, sf), carriers=True))
+
+
+@query
+def regions_by_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    """How many other carried regions, and which reads, overlap each one, whatever its length."""
+    carried = _carried(spark, sf).select("region_id", "chrom", "start", "end")
+    other = carried.select("chrom", F.col("region_id").alias("other"), F.col("start").alias("other_start"), F.col("end").alias("other_end"))
+    pairs = regions.overlap_join(carried, other, ("start", "end"), ("other_start", "other_end")).where("region_id <> other")
+    reads = alignments.with_operations(_reads(spark, sf)).select("chrom", "ref_start", "ref_end", "mapq")
+    met = regions.overlap_join(reads, carried).groupBy("region_id").agg(F.count("*").alias("n_reads"), F.sum("mapq").alias("mapq_sum"))
+    rows = carried.select("region_id").join(pairs.groupBy("region_id").agg(F.count("*").alias("n_regions")), "region_id", "left").join(met, "region_id", "left")
+    return rows.select("region_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_regions", "n_reads", "mapq_sum")))
+
+
+@query
+def pileup_mates(spark: SparkSession, sf: str) -> DataFrame:
+    """Pileups of reads whose mates overlap them."""
+    rows = alignments.pileup(fixtures.table(spark, sf, "reads_mated").drop("which"), _windows(spark, sf))
+    n = lambda b: F.count_if(F.col("base") == b).alias(f"n_{b.lower()}")
+    return rows.groupBy("window_id").agg(F.count("*").alias("n"), F.sum((F.col("pos") - F.col("start")) * (F.col("row_idx") + 1)).alias("place_sum"), *(n(b) for b in "ACGT"))
 
 
 @query

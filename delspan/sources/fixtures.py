@@ -33,7 +33,7 @@ SELECT qname,
   CASE cn WHEN 23 THEN 'X' WHEN 24 THEN 'Y' ELSE CAST(cn AS STRING) END AS chrom,
   l_partkey * 8 + l_linenumber AS ref_start,
   (l_suppkey * 7 + l_linenumber) % 61 AS mapq,
-  cigar,
+  CASE WHEN l_partkey % 97 = 3 THEN concat(CAST(qlen AS STRING), 'S') ELSE cigar END AS cigar,
   CASE WHEN paired=0 OR l_partkey % 17 = 0 THEN 0 WHEN l_linenumber % 2 = 0 THEN -(l_partkey % 400 + 100) ELSE l_partkey % 400 + 100 END AS tlen,
   substr(translate(concat(qname, md5(concat(k,'b')), md5(concat(k,'c')), md5(concat(k,'d'))), '0123456789abcdef', 'ACGTACGTACGTACGN'), 1, qlen) AS seq,
   substr(translate(concat(md5(concat(k,'q')), md5(concat(k,'r')), md5(concat(k,'s')), md5(concat(k,'t'))), '0123456789abcdef', '#+-.02469;=?BDFJ'), 1, qlen) AS qual
@@ -77,6 +77,12 @@ WHERE NOT (ref_start < 4600 AND ref_start + 120 > 4000)
   AND NOT (ref_start < 9400 AND ref_start + 120 > 9000)
 """
 
+#: Paired reads and a mate of each that overlaps it; ``which`` is 1 or 2.
+READS_MATED = """
+SELECT qname, flag, chrom, ref_start, mapq, cigar, tlen, seq, qual, 1 AS which FROM reads
+UNION ALL
+SELECT qname, flag + 128 AS flag, chrom, ref_start + mapq % 3 * 7 AS ref_start, mapq, cigar, -tlen AS tlen, CASE WHEN mapq % 3 = 0 THEN translate(seq, 'T', 'G') ELSE seq END AS seq, concat(substr(qual, 11), substr(qual, 1, 10)) AS qual, 2 AS which FROM reads WHERE flag % 2 = 1
+"""
 SQL = {"reads": READS, "variants": VARIANTS, "contigs": CONTIGS, "predictions": PREDICTIONS, "contexts": CONTEXTS}
 BASE = ("lineitem", "orders", "part", "events", "embeddings")
 
@@ -89,6 +95,8 @@ def _dealt(rows: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the derived tables over the files in ``sf_dir``."""
+    if name == "reads_mated":
+        return spark.sql(READS_MATED.replace("FROM reads", "FROM {reads}"), reads=table(spark, sf_dir, "reads"))
     if name == "reads_holed":
         return spark.sql(READS_HOLED.replace("FROM reads", "FROM {reads}"), reads=table(spark, sf_dir, "reads"))
     sql = SQL[name].replace('"end"', "`end`")
@@ -99,8 +107,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def oracle(body: str, *names: str, then: str = "") -> str:
     """DuckDB SQL: the derived tables as common table expressions, ``then`` more of them, and ``body``."""
     wanted = [*names]
-    if "reads_holed" in wanted and "reads" not in wanted:
+    derived = {"reads_holed": READS_HOLED, "reads_mated": READS_MATED}
+    if derived.keys() & {*wanted} and "reads" not in wanted:
         wanted.insert(0, "reads")
-    parts = [f"{n} AS MATERIALIZED ({SQL[n] if n in SQL else READS_HOLED})" for n in sorted(wanted, key=lambda n: n == "reads_holed")]
+    parts = [f"{n} AS MATERIALIZED ({SQL[n] if n in SQL else derived[n]})" for n in sorted(wanted, key=lambda n: n in derived)]
     parts += [then] if then else []
     return f"WITH {', '.join(parts)}\n{body}" if parts else body

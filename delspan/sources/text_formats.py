@@ -80,9 +80,11 @@ def alignment_contigs(spark: SparkSession, path: str, first: int = 25) -> tuple[
     return found.orderBy("idx").limit(first), max(0, found.count() - first)
 
 
-def read_reference(spark: SparkSession, path: str) -> DataFrame:
+def read_reference(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
     """``chrom, chunk_start, seq`` (upper case): one row for each line of FASTA text, however long its lines are.
 
+    ``parts``: the files are parts of one text in the order of their names, so a contig may go on in the next file.
+
     Lines are numbered within the splits that Spark reads; of each split only its length and its last record's name and start go on to later
     splits of the file, so a chromosome is never one value and a file is read by many tasks.
     """
@@ -94,7 +96,8 @@ def read_reference(spark: SparkSession, path: str) -> DataFrame:
     record = F.last(F.when(F.col("name").isNotNull(), F.struct("name", F.col("upto").alias("at"))), ignorenulls=True)
     lines = lines.withColumn("record", record.over(order.rowsBetween(Window.unboundedPreceding, 0)))
     splits = lines.groupBy("file", "split").agg(F.sum("n").alias("n"), F.max_by("record", "id").alias("last"))
-    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.orderBy("file", "split") if parts else Window.partitionBy("file").orderBy("split")  # a row for each split
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     last = F.when(F.col("last").isNotNull(), F.struct(F.col("last.name").alias("name"), (F.col("before") + F.col("last.at")).alias("at")))
     splits = splits.select("file", "split", "before", F.last(last, ignorenulls=True).over(earlier).alias("open"))
@@ -110,20 +113,57 @@ def call_lines(calls: DataFrame, min_quality: float = 0.5) -> DataFrame:
     return calls.where(F.col("quality") >= min_quality).select("chrom", "start", line.alias("line"))
 
 
-def write_calls(calls: DataFrame, path: str, date: str, min_quality: float = 0.5, one_file: bool = False, sample: str = "SAMPLE") -> None:
-    """Write calls as variant text, sorted by chromosome name and start after the header. ``date`` and ``sample``: for the header."""
+def write_calls(calls: DataFrame, path: str, date: str, min_quality: float = 0.5, sample: str = "SAMPLE") -> None:
+    """Write calls as variant text, sorted by chromosome name and start. ``date`` and ``sample``: for the header.
+
+    The rows are range-partitioned, so the text is as many part files as there are ranges, in the order of their names; the header begins the first.
+    """
     spark = calls.sparkSession
     head = ["##fileformat=VCFv4.3", f"##fileDate={date}", *HEADER, "\t".join([*COLUMNS, sample])]
     header = spark.createDataFrame([(0, k, "", 0, x) for k, x in enumerate(head)], "part int, k int, chrom string, start long, line string")
     body = call_lines(calls, min_quality).select(F.lit(1).alias("part"), F.lit(0).alias("k"), "chrom", "start", "line")
-    lines = header.unionByName(body)
-    ordered = lines.coalesce(1).sortWithinPartitions("part", "chrom", "start", "k") if one_file else lines.orderBy("part", "chrom", "start", "k")
-    ordered.select("line").write.text(path)
+    header.unionByName(body).orderBy("part", "chrom", "start", "k").select("line").write.text(path)
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``k, line``: the lines of a text's part files in the order of their names, from 1; numbered within splits and by running totals over splits."""
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"))
+    before = Window.orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    counts = lines.groupBy("file", "split").agg(F.count("*").alias("n")).select("file", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("file", "split").orderBy("id"))
+    return lines.withColumn("own", own).join(counts, ["file", "split"]).select((F.col("before") + F.col("own")).alias("k"), "line")
+
 
+def write_reference(chunks: DataFrame, path: str) -> None:
+    """Chunks (chrom, chunk_start, seq) as FASTA text, a line for each chunk after its contig's name; part files in order, whatever a contig's length."""
+    heads = chunks.select("chrom").distinct().select("chrom", F.lit(-1).cast("bigint").alias("chunk_start"), F.concat(F.lit(">"), "chrom").alias("line"))
+    lines = heads.unionByName(chunks.select("chrom", F.col("chunk_start").cast("bigint"), F.col("seq").alias("line")))
+    lines.orderBy("chrom", "chunk_start").select("line").write.text(path)
 
-def write_dataset(samples: DataFrame, path: str) -> None:
-    """Samples as Parquet by split and label; rows of equal key (sample, label, chrom, start, end) are one sample."""
-    samples.dropDuplicates(["sample", "label", "chrom", "start", "end"]).write.partitionBy("split", "label").parquet(path)
+
+KEY = ("sample", "label", "chrom", "start", "end")
+
+
+def write_dataset(samples: DataFrame, path: str, scratch: str | None = None) -> None:
+    """Samples as Parquet by split and label; rows of equal key (``KEY``) are one sample, and samples that are there already are replaced.
+
+    What the touched partitions keep of earlier writes is written beside the new rows to ``scratch`` first (needed if ``path`` has a dataset), then
+    those partitions are exchanged as a whole when the write commits; others are left alone.
+    """
+    spark = samples.sparkSession
+    new = samples.dropDuplicates([*KEY])
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        if scratch is None:
+            raise ValueError(f"{path} has a dataset; a scratch folder is needed to add to it")
+        new.write.parquet(f"{scratch}/new")
+        new = spark.read.parquet(f"{scratch}/new")
+        old = spark.read.schema(samples.schema).parquet(path).join(new.select("split", "label").distinct(), ["split", "label"], "left_semi")
+        same = [F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")) for c in KEY]
+        kept = old.alias("o").join(new.select(*KEY).alias("n"), same, "left_anti")
+        kept.unionByName(new).write.parquet(f"{scratch}/merged")
+        new = spark.read.schema(samples.schema).parquet(f"{scratch}/merged")
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("split", "label").parquet(path)
 
 
 def read_dataset(spark: SparkSession, path: str, split: str) -> DataFrame:

@@ -1,10 +1,11 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from delspan.functions import colours, names
+from delspan.functions import blocks, colours, names
 from delspan.operators import alignments, context, images, metrics, refine, regions, sampling, scoring, tensors, variants
 from delspan.plans import jobs
 
@@ -37,11 +38,28 @@ def test_overlap_join_equals_nested_loop(spark):
     rng = np.random.default_rng(1)
     reads = [(f"r{i}", str(rng.integers(1, 3)), int(s), int(s + rng.integers(1, 3000))) for i, s in enumerate(rng.integers(0, 9000, 200))]
     windows = [(f"w{i}", str(rng.integers(1, 3)), int(s), int(s + rng.integers(1, 2500))) for i, s in enumerate(rng.integers(0, 9000, 100))]
-    got = regions.overlap_join(frame(spark, reads, "qname string, chrom string, ref_start long, ref_end long"), frame(spark, windows, "window_id string, chrom string, start long, end long"), 512).select("qname", "window_id").collect()
+    got = regions.overlap_join(frame(spark, reads, "qname string, chrom string, ref_start long, ref_end long"), frame(spark, windows, "window_id string, chrom string, start long, end long")).select("qname", "window_id").collect()
     want = {(q, w) for q, c, a, b in reads for w, d, s, e in windows if c == d and a < e and b > s}
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_overlap_join_of_any_width(spark):
+    rng = np.random.default_rng(2)
+
+    def some(n, prefix):
+        starts = rng.integers(-2000, 1 << 29, n)
+        return [(f"{prefix}{i}", str(rng.integers(1, 3)), int(s), int(s + 2 ** rng.uniform(0, 29))) for i, s in enumerate(starts)]
+
+    a, b = some(150, "a") + [("x", "1", 0, 1 << 29), ("e", "1", 5, 5), ("n", None, 0, 9), ("d", "1", 1023, 1025), ("d", "1", 1023, 1025)], some(120, "b") + [("y", "1", 1024, 1025), ("z", "2", -5, 1)]
+    left = frame(spark, a, "p string, chrom string, ref_start long, ref_end long")
+    right = frame(spark, b, "q string, chrom string, start long, end long")
+    got = sorted(map(tuple, regions.overlap_join(left, right).select("p", "q").collect()))
+    assert got == sorted((p, q) for p, c, s, e in a for q, d, t, u in b if c == d and s < u and e > t and e > s)
+    # each is one row where it stands, and at most one on each level where it asks
+    assert regions._nested(left, "ref_start", "ref_end").count() == len(a) - 1
+    assert regions._asking(regions._nested(left, "ref_start", "ref_end"), "ref_start", 0).count() <= (len(regions.LEVELS) + 1) * len(a)
+
+
 def test_window_join_equals_nested_loop(spark):
     rng = np.random.default_rng(4)
     reads = [(f"r{i}", str(rng.integers(1, 3)), int(s), int(s + rng.integers(1, 900))) for i, s in enumerate(rng.integers(0, 3000, 200))]
@@ -94,6 +112,17 @@ def test_one_base_of_two_overlapping_mates(spark):
     assert alignments.pileup(reads, window, alignments.PileupOptions(max_depth=1)).where("window_id = 'w' and pos = 12").count() == 1
 
 
+def test_qualities_of_mates(spark):
+    """By quality: 7 and 8 agree and pass 13 together; 14 against 3 keeps 11; 20 against 20 keeps the first's 16; unpaired reads of one name are no mates."""
+    q = lambda *x: "".join(chr(33 + k) for k in x)
+    reads = [read("m", 99, 10, "ACGTA", q(7, 14, 20, 30, 12)), read("m", 147, 10, "AGTTC", q(8, 3, 20, 30, 90)), read("u", 0, 10, "AAAAA", q(12, 14, 12, 12, 12)), read("u", 0, 10, "AAAAA", q(12, 14, 12, 12, 12))]
+    window = frame(spark, [("w", "1", 10, 20)], "window_id string, chrom string, start long, end long")
+    got = alignments.pileup(frame(spark, reads, READS), window).groupBy("pos").agg(F.sort_array(F.collect_list("base")).alias("b")).collect()
+    assert {r.pos: r.b for r in got} == {10: ["A"], 11: ["A", "A"], 12: ["G"], 13: ["T"], 14: ["C"]}
+    three = [read("m", 99, 10, "A", q(9)), read("m", 147, 10, "A", q(9)), read("m", 2195, 10, "A", q(40))]
+    assert alignments.pileup(frame(spark, three, READS), window).count() == 2  # the third has no partner
+
+
 def test_cells_of_both_colourings(spark, tmp_path):
     reads = frame(spark, [read("a", 3, 10, "ACGT", "5555"), read("b", 3, 11, "CGTA", "5555", mapq=10, cigar="2S4M")], READS)
     window = frame(spark, [("w", "1", 10, 20)], "window_id string, chrom string, start long, end long")
@@ -152,10 +181,31 @@ def test_resampling_draws_exactly(spark):
     assert sampling.resampled(rows.where("label = 0"), 10).count() == 10 and sampling.resampled(rows.limit(0), 10).count() == 0
 
 
+@pytest.mark.parametrize("slices", [2, 5, 64])
+def test_curve_as_plotted(spark, monkeypatch, slices):
+    """It begins at (0, 0); points on a straight line between their neighbours are left out, across slices too."""
+    monkeypatch.setattr(metrics, "SLICES", slices)
+    rng = np.random.default_rng(slices)
+    rows = [(e, int(y), int(p) / 200) for e, y, p in zip(rng.integers(0, 2, 300), rng.integers(0, 2, 300), rng.integers(0, 200, 300), strict=True)]
+    rows = [(int(e), y, p) for e, y, p in rows] + [(2, 1, 0.5)]
+    got = metrics.roc_curve(frame(spark, rows, "epoch int, label int, prob double"), ["epoch"]).collect()
+    want = []
+    for e in (0, 1, 2):
+        own = [(y, p) for x, y, p in rows if x == e]
+        marks = sorted({p for _, p in own}, reverse=True)
+        tps = np.array([sum(y for y, p in own if p >= m) for m in marks])
+        fps = np.array([sum(1 - y for y, p in own if p >= m) for m in marks])
+        keep = np.r_[True, (np.diff(fps, 2) != 0) | (np.diff(tps, 2) != 0), [True] * (len(marks) > 1)]
+        want += [(e, None, 0, 0)] + [(e, marks[k], fps[k] / max(fps[-1], 1), tps[k] / max(tps[-1], 1)) for k in np.flatnonzero(keep)]
+    key = lambda r: (r[0], -2 if r[1] is None else -r[1])
+    assert [pytest.approx(tuple(r), nan_ok=True) == w for r, w in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True)].count(False) == 0
+
+
 def test_curve_of_scores_near_zero(spark):
     rng = np.random.default_rng(6)
     rows = [(int(y), float(p)) for y, p in zip(rng.integers(0, 2, 400), rng.random(400) / 1000, strict=True)]
-    got = metrics.roc_curve(frame(spark, rows, "label int, prob double")).collect()
+    whole = metrics.roc_curve(frame(spark, rows, "label int, prob double"), drop_intermediate=False)
+    got = whole.where("prob is not null").collect()
     pos, neg = sum(y for y, _ in rows), sum(1 - y for y, _ in rows)
     assert len(got) == len({p for _, p in rows})
     for r in got[::17]:
@@ -168,15 +218,17 @@ def test_kmer_frequencies_by_hand():
     assert context.kmer_frequencies()("AC").sum() == 0
 
 
-def test_candidate_means_are_compared_with_floored_four_fifths(spark, monkeypatch):
+def test_candidate_means_are_compared_with_floored_four_fifths(spark):
     """Scaled means 3, 4 and 90: 3 is below 3.2 but not below its floor, so there is no candidate; 2 is."""
-    monkeypatch.setattr(refine, "with_clusters", lambda smooth: smooth)
-    monkeypatch.setattr(refine, "smoothed", lambda rows, right_extra=0: rows)
-    monkeypatch.setattr(refine, "profile_arrays", lambda ranges, depth, clips, pad=0: ranges)
-    monkeypatch.setattr(refine, "walk", lambda rows, cores: cores.withColumnsRenamed({"left": "start", "right": "end"}))
-    schema = "region_id string, pos long, depth long, median double, cluster int"
-    rows = [(name, 10 * k, 5, m / 5, k) for name, low in (("a", 3.0), ("b", 2.0)) for k, m in enumerate((90.0, low, 4.0))]
-    assert [r.region_id for r in refine.candidates(frame(spark, rows, schema), None, None).collect()] == ["b"]
+    schema = "region_id string, cluster int, mean double, least double, left long, right long"
+    rows = [(name, k, m, m, 10 * k, 10 * k) for name, low in (("a", 3.0), ("b", 2.0)) for k, m in enumerate((90.0, low, 4.0))]
+    assert [r.region_id for r in refine.detected(frame(spark, rows, schema)).collect()] == ["b"]
+
+
+def test_of_two_greatest_clusters_the_later_is_in_the_middle(spark):
+    schema = "region_id string, cluster int, mean long, least long, left long, right long"
+    rows = [("a", 0, 10, 7, 100, 200), ("a", 1, 2, 1, 130, 150), ("a", 2, 10, 9, 110, 190)]
+    assert [tuple(r) for r in refine.decide(frame(spark, rows, schema)).collect()] == [("a", 130, 150, 9)]
 
 
 def test_merge_across_bins(spark):
@@ -289,13 +341,68 @@ def test_quota_and_balance(spark):
 
 
 def test_kmeans_is_a_fixed_point():
-    x = np.c_[np.arange(90), np.repeat([10, 0, 10], 30) * 100.0]
-    labels = refine.kmeans(x)
+    x = np.c_[np.arange(90), np.repeat([10, 0, 10], 30) * 100]
+    labels = refine._labels(x, np.array([90]), [], 0)
     assert labels[45] not in (labels[0], labels[-1])
     centres = np.stack([x[labels == i].mean(axis=0) for i in range(3)])
     assert (np.argmin(((x[:, None] - centres) ** 2).sum(2), axis=1) == labels).all()
-    same = refine.kmeans(np.zeros((9, 2)))
-    assert set(same) == {0}  # ties go to the lowest label
+    assert set(refine._labels(np.zeros((9, 2), int), np.array([9]), [], 0)) == {0}  # ties go to the lowest label
+    assert set(refine._labels(np.zeros((9, 2), int), np.array([9]), ["r"], 10)) == {0}
+
+
+def test_sliding_medians_equal_numpy():
+    rng = np.random.default_rng(1)
+    sizes = np.array([0, 5, 61, 62, 700, 1300, 60, 9])
+    for values in (rng.poisson(5, sizes.sum()), rng.integers(0, 5000, sizes.sum()), np.zeros(sizes.sum(), int)):
+        for frame_, rows in ((61, 100), (3, 7), (1, 512)):
+            ends = np.cumsum(sizes)
+            want = [np.median(values[b + k : b + k + frame_]) for b, n in zip(ends - sizes, sizes, strict=True) for k in range(n - frame_ + 1)]
+            assert blocks.sliding_medians(values, sizes, frame_, rows).tolist() == want
+
+
+def test_a_long_range_is_clustered(spark):
+    """A megabase as one range."""
+    rows = spark.range(1).select(F.lit("s").alias("region_id"), F.lit("1").alias("chrom"), F.lit(0).cast("long").alias("first"), F.transform(F.sequence(F.lit(0), F.lit(999_999)), lambda p: F.when((p >= 400_000) & (p < 600_000), 0).otherwise(30 + p % 7).cast("long")).alias("depth"))
+    stats = {r.cluster: r for r in refine.clustered(rows.withColumn("clip", F.transform("depth", lambda d: d * 0)), right_extra=1, restarts=2).collect()}
+    assert len(stats) == 3 and min(r.left for r in stats.values()) == 30 and max(r.right for r in stats.values()) == 999_968
+
+
+def test_operations_of_long_reads():
+    of, op, length = blocks.operations(pa.array(["1M2I" * 20_000, None, "", "*", "M5", "12x3M", "99999999999M"]))
+    assert (np.bincount(of, minlength=7) == [40_000, 0, 0, 0, 0, 1, 1]).all()
+    assert length[-2:].tolist() == [3, 99_999_999_999] and bytes(op[-2:]) == b"MM"
+
+
+def test_a_read_without_reference_end_keeps_its_left_clip(spark):
+    reads = frame(spark, [("a", 0, "1", 100, 9, "20S", 0, "A" * 20, "I" * 20), ("b", 0, "1", 100, 9, "5S15M", 0, "A" * 20, "I" * 20), ("c", 0, "1", 95, 9, "3M3H", 0, "AAA", "III"), ("d", 0, "1", 97, 9, None, 0, "A", "I")], "qname string, flag int, chrom string, ref_start long, mapq int, cigar string, tlen int, seq string, qual string")
+    assert {r.pos: r.clip for r in alignments.clips(reads).collect()} == {100: 2, 97: 1}
+
+
+def test_depth_of_deep_and_odd_reads(spark, monkeypatch):
+    monkeypatch.setattr(alignments, "DENSE", 5)
+    rng = np.random.default_rng(8)
+    cigars = ["10M", "4M700D6M", "2S8M", "3M2I5M", "*", None, "10M5H", "5=5X", "4M30N6M", "10S"]
+    reads = [(f"r{i}", int(rng.choice([0, 0, 0, 4, 1024])), str(rng.choice(["1", "X"])), int(rng.choice([100, 1020, 1024, 5000])), 9, cigars[i % 10], 0, "".join(rng.choice(list("ACGTNacgt"), 10)), "".join(rng.choice(list("#/0I"), 10))) for i in range(300)]
+    reads += [("s", 0, "1", 50, 9, "10M", 0, "ACG", "IIIIIIIIII"), ("t", 0, None, 50, 9, "3M", 0, "ACG", "III"), ("u", 0, "1", 50, 9, "3M", 0, None, "III"), ("v", 0, "1", None, 9, "3M", 0, "ACG", "III")]
+    schema = "qname string, flag int, chrom string, ref_start long, mapq int, cigar string, tlen int, seq string, qual string"
+    want = {}
+    for _, flag, chrom, start, _, cigar, _, seq, qual in reads:
+        if flag or start is None or seq is None:
+            continue
+        q, r = 0, start
+        for n, op in re.findall(r"(\d+)([MIDNSHP=X])", cigar or ""):
+            for k in range(int(n)):
+                if op in "M=X" and q + k < len(seq) and q + k < len(qual) and seq[q + k].upper() in "ACGT" and ord(qual[q + k]) >= 48:
+                    own = want.setdefault((chrom, r + k), [0, 0, 0, 0])
+                    own["ACGT".index(seq[q + k].upper())] += 1
+            q += int(n) * (op in "MIS=X")
+            r += int(n) * (op in "MDN=X")
+    rows = frame(spark, reads, schema)
+    assert {(x.chrom, x.pos): [x.a, x.c, x.g, x.t] for x in alignments.depth(rows).collect()} == want
+    arrays = {(x.chrom, x.bin): x.depth for x in alignments.depth_arrays(rows, bins=frame(spark, [("1", 0), ("X", 1), ("X", 1), ("1", 77)], "chrom string, bin long")).collect()}
+    assert set(arrays) == {("1", 0), ("X", 1)} and all(len(x) == 1024 for x in arrays.values())
+    assert all(n == sum(want.get((c, b * 1024 + k), [0])) for (c, b), x in arrays.items() for k, n in enumerate(x))
+    assert alignments.depth(rows.where("false")).count() == 0
 
 
 def test_refinement_finds_a_hole(spark):

@@ -4,7 +4,7 @@ from delspan.plans.oracles import ORACLES
 from delspan.plans.queries import QUERIES
 from tests.compare import SF, assert_same
 
-ROWS_ONLY = {"refined_boundaries", "deletion_candidates", "pca_context", "fitted_classifier"}
+ROWS_ONLY = {"refined_boundaries", "refined_dataset_job", "deletion_candidates", "pca_context", "fitted_classifier"}
 
 
 def test_every_query_has_sql_or_a_test_of_its_own():

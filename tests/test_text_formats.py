@@ -103,12 +103,22 @@ def test_reference_in_many_splits(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_contigs_over_several_files(spark, tmp_path):
+    chunks = [(c, k * 7, "ACGTNac"[: 7 if k < 300 else 3]) for c in ("1", "2", "X") for k in range(301)]
+    rows = spark.createDataFrame(chunks, "chrom string, chunk_start long, seq string").repartition(5)
+    t.write_reference(rows, str(tmp_path / "r"))
+    got = t.read_reference(spark, str(tmp_path / "r"), parts=True).collect()
+    assert sorted(map(tuple, got)) == [(c, a, s.upper()) for c, a, s in sorted(chunks)]
+
+
 def test_calls_as_text(spark, tmp_path):
     calls = spark.createDataFrame([("2", 5, 9, 0.9, "PASS"), ("10", 7, 9, 0.6, "LowQual"), ("1", 100, 150, 0.29, "LowQual")], "chrom string, start long, end long, quality double, filter_status string")
     line = t.call_lines(calls, 0.0).where("chrom = '1'").first().line
     assert line == "1\t100\t.\tN\t<DEL>\t28\tLowQual\tSVTYPE=DEL;END=150;SVLEN=-50\tGT\t0/1"
-    t.write_calls(calls, str(tmp_path / "c"), "20240101", one_file=True, sample="NA1")
-    lines = [r.value for r in spark.read.text(str(tmp_path / "c")).collect()]
+    t.write_calls(calls, str(tmp_path / "c"), "20240101", sample="NA1")
+    rows = t.numbered_lines(spark, str(tmp_path / "c")).orderBy("k").collect()
+    lines = [r.line for r in rows]
+    assert [r.k for r in rows] == [*range(1, len(rows) + 1)]
     assert lines[0] == "##fileformat=VCFv4.3" and lines[1] == "##fileDate=20240101" and "##ALT=<ID=DEL,Description=\"Deletion\">" in lines and "##source=delspan" in lines
     assert lines[10].endswith("FORMAT\tNA1") and [x.split("\t")[0] for x in lines[11:]] == ["10", "2"]  # as text
 
@@ -117,5 +127,13 @@ def test_dataset_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([("s", 1, "1", 0, 50, "train"), ("s", 1, "1", 0, 50, "train"), ("s", 0, "1", 0, 50, "train"), ("s", 0, "12", 0, 50, "validation")], "sample string, label int, chrom string, start long, end long, split string")
     t.write_dataset(rows, str(tmp_path / "d"))
     assert t.read_dataset(spark, str(tmp_path / "d"), "train").count() == 2
+    again = spark.createDataFrame([("s", 1, "1", 0, 50, "train"), ("s", 1, "2", 0, 50, "train"), (None, 1, "2", 0, 50, "train")], rows.schema)
+    with pytest.raises(ValueError, match="scratch"):
+        t.write_dataset(again, str(tmp_path / "d"))
+    t.write_dataset(again, str(tmp_path / "d"), str(tmp_path / "s1"))
+    t.write_dataset(again.limit(0), str(tmp_path / "d"), str(tmp_path / "s2"))
+    t.write_dataset(again.where("sample is null"), str(tmp_path / "d"), str(tmp_path / "s3"))
+    got = sorted((r["sample"] or "", r.label, str(r.chrom), r.split) for r in spark.read.parquet(str(tmp_path / "d")).collect())
+    assert got == [("", 1, "2", "train"), ("s", 0, "1", "train"), ("s", 0, "12", "validation"), ("s", 1, "1", "train"), ("s", 1, "2", "train")]
     t.write_metrics(rows.limit(1), str(tmp_path / "m"))
     assert spark.read.json(str(tmp_path / "m")).count() == 1
