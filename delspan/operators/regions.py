@@ -65,11 +65,35 @@ def window_join(reads: DataFrame, windows: DataFrame, width: int = WINDOW, bin_s
     A window is dealt to the bin of its start only, and a read to all bins where windows that it overlaps may start. So a window has all its pairs in one
     partition, and what follows by (chrom, bin, window_id) needs no further shuffle.
     """
-    span = lambda a, b: F.explode(F.sequence(F.floor(a / bin_size), F.floor(b / bin_size)))
-    left = reads.where(F.col("ref_end") > F.col("ref_start")).withColumn("bin", span(F.col("ref_start") - (width - 1), F.col("ref_end") - 1))
+    pairs = _by_window_start(reads, width, bin_size).join(_at_start(windows, width, bin_size), ["chrom", "bin"])
+    return pairs.where((F.col("ref_start") < F.col("end")) & (F.col("ref_end") > F.col("start")))
+
+
+def _by_window_start(reads: DataFrame, width: int, bin_size: int) -> DataFrame:
+    """Reads once for each bin in which a window that they overlap may start."""
+    span = F.sequence(F.floor((F.col("ref_start") - (width - 1)) / bin_size), F.floor((F.col("ref_end") - 1) / bin_size))
+    return reads.where(F.col("ref_end") > F.col("ref_start")).withColumn("bin", F.explode(span))
+
+
+def store_by_bin(reads: DataFrame, table: str, path: str, buckets: int, width: int = WINDOW, bin_size: int = BIN) -> None:
+    """Write reads (with ``ref_end``) as the table ``table`` in ``path``, once and for all in the layout in which windows meet them.
+
+    Rows are dealt into ``buckets`` by (chrom, bin) and sorted by these and their starts, one file a bucket. Joins by :func:`stored_window_join` then read each bucket
+    where it lies, and a file's least and greatest bins tell what a filter need not read.
+    """
+    rows = _by_window_start(reads, width, bin_size).repartition(buckets, "chrom", "bin")
+    rows.write.bucketBy(buckets, "chrom", "bin").sortBy("chrom", "bin", "ref_start").option("path", path).mode("overwrite").saveAsTable(table)
+
+
+def stored_window_join(stored: DataFrame, windows: DataFrame, width: int = WINDOW, bin_size: int = BIN) -> DataFrame:
+    """The pairs of :func:`window_join` from a table of :func:`store_by_bin` (with its ``width`` and ``bin_size``); only windows are shuffled."""
+    return stored.join(_at_start(windows, width, bin_size), ["chrom", "bin"]).where((F.col("ref_start") < F.col("end")) & (F.col("ref_end") > F.col("start")))
+
+
+def _at_start(windows: DataFrame, width: int, bin_size: int) -> DataFrame:
+    """Windows with the bin of their start; a wider one than ``width`` is an error."""
     wide = F.raise_error(F.lit(f"a window is wider than {width}")).cast("bigint")
-    right = windows.where(F.col("end") > F.col("start")).withColumn("bin", F.when(F.col("end") - F.col("start") > width, wide).otherwise(F.floor(F.col("start") / bin_size)))
-    return left.join(right, ["chrom", "bin"]).where((F.col("ref_start") < F.col("end")) & (F.col("ref_end") > F.col("start")))
+    return windows.where(F.col("end") > F.col("start")).withColumn("bin", F.when(F.col("end") - F.col("start") > width, wide).otherwise(F.floor(F.col("start") / bin_size)))
 
 
 def merge_adjacent(calls: DataFrame, gap: int = 0) -> DataFrame:

@@ -235,6 +235,7 @@ draws AS (SELECT s.label, s.size, {_HASH('row')} AS h FROM range((SELECT count(*
     "depth_by_position": oracle("SELECT * FROM depth", "reads", then=_ops() + _DEPTH),
     "clip_counts": oracle("SELECT * FROM clips", "reads", then=_ops() + _CLIPS),
     "reads_per_window": oracle(r"SELECT window_id, count(*) AS n_reads, CAST(sum(mapq) AS BIGINT) AS mapq_sum, count(*) FILTER (regexp_matches(cigar, '[SH]')) AS clipped FROM pairs GROUP BY window_id", "reads", "variants", then=_WINDOWS + ",\n" + _ops() + _PAIRS),
+    "stored_reads_per_window": oracle(r"SELECT window_id, count(*) AS n_reads, CAST(sum(mapq) AS BIGINT) AS mapq_sum, count(*) FILTER (regexp_matches(cigar, '[SH]')) AS clipped FROM pairs GROUP BY window_id", "reads", "variants", then=_WINDOWS + ",\n" + _ops() + _PAIRS),
     "reads_rollup": oracle("""SELECT chrom, CAST(label AS VARCHAR) AS label, count(*) AS windows, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_reads, round(CAST(sum(m) AS DOUBLE) / CAST(sum(n) AS DOUBLE), 9) AS mean_mapq
  FROM windows LEFT JOIN (SELECT window_id, count(*) AS n, sum(mapq) AS m FROM pairs GROUP BY window_id) x USING (window_id) GROUP BY ROLLUP (chrom, label)""", "reads", "variants", then=_WINDOWS + ",\n" + _ops() + _PAIRS),
     "window_clips": oracle("""SELECT window_id, CAST(sum(coalesce(clip, 0)) AS BIGINT) AS clips, max(coalesce(clip, 0)) AS most, count(clip) AS positions

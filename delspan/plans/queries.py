@@ -169,6 +169,16 @@ def reads_per_window(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.groupBy("chrom", "bin", "window_id").agg(F.count("*").alias("n_reads"), F.sum("mapq").alias("mapq_sum"), F.count_if(clipped).alias("clipped")).drop("chrom", "bin")
 
 
+@query
+def stored_reads_per_window(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``reads_per_window``, from reads written once in buckets of position bins, which the join reads where they lie."""
+    stored, path = "stored_reads", scratch_path(spark, "stored")
+    reads = alignments.with_operations(_reads(spark, sf)).select("chrom", "ref_start", "ref_end", "mapq", F.exists("ops", lambda o: o["op"].isin(*cigar.CLIPS)).alias("clipped"))
+    regions.store_by_bin(reads, stored, path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pairs = regions.stored_window_join(spark.table(stored), _windows(spark, sf).select("window_id", "chrom", "start", "end"))
+    return pairs.groupBy("chrom", "bin", "window_id").agg(F.count("*").alias("n_reads"), F.sum("mapq").alias("mapq_sum"), F.count_if("clipped").alias("clipped")).drop("chrom", "bin")
+
+
 @query
 def reads_rollup(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: variants to windows, joined with reads, summed up by chromosome and label."""

@@ -74,6 +74,24 @@ def test_window_join_equals_nested_loop(spark):
         regions.window_join(left, frame(spark, [("w", "1", 0, 51)], "window_id string, chrom string, start long, end long")).collect()
 
 
+def test_stored_reads_are_joined_where_they_lie(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    reads = frame(spark, [(f"r{i}", str(rng.integers(1, 3)), int(s), int(s + rng.integers(1, 900))) for i, s in enumerate(rng.integers(0, 9000, 500))], "qname string, chrom string, ref_start long, ref_end long")
+    windows = frame(spark, [(f"w{i}", str(rng.integers(1, 3)), int(s), int(s + rng.integers(1, 51))) for i, s in enumerate(rng.integers(0, 9000, 300))], "window_id string, chrom string, start long, end long")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        regions.store_by_bin(reads, "some_reads", str(tmp_path / "stored"), 4)
+        pairs = regions.stored_window_join(spark.table("some_reads"), windows)
+        got = sorted(map(tuple, pairs.select("qname", "window_id").collect()))
+        plan = pairs.groupBy("chrom", "bin", "window_id").count()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.sql("DROP TABLE IF EXISTS some_reads")
+    assert got == sorted(map(tuple, regions.window_join(reads, windows).select("qname", "window_id").collect()))
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan  # the windows are shuffled, the reads aren't, nor what is grouped
+
+
 @pytest.mark.parametrize("gap", [0, 7])
 def test_merge_equals_a_plain_loop(spark, monkeypatch, gap):
     monkeypatch.setattr(regions, "MERGE_BIN", 40)
