@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPAN, COMPONENTS, LEAST_BASES = 2500, 8, 10
+#: Components in a block of sums of products, and rows that are left of each block when tasks have been added up once.
+GRAM, MERGERS = 64, 32
 
 
 def sequences(windows: DataFrame, contigs: DataFrame, span: int = SPAN, chunk: int | None = None) -> DataFrame:
@@ -88,16 +91,59 @@ def explained(model: PipelineModel) -> list[float]:
     return model.stages[-1].explainedVariance.toArray().tolist()
 
 
+def _sums(rows: DataFrame, products: bool) -> DataFrame:
+    """``i, n, total, products``: of each component the count and sum and, if asked for, its products with the components from the ``GRAM``-block of ``i`` on.
+
+    Each task adds up its vectors (X'X of an Arrow batch at a time) and hands on one row for each block of ``GRAM`` components; blocks of many tasks are added in two
+    steps, so no task holds more than some of them. All vectors have one length; null vectors are left out.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, gram = 0, 0.0, 0.0
+        for batch in batches:
+            if batch.num_rows:
+                x = np.asarray(batch.column(0).flatten(), np.float64).reshape(batch.num_rows, -1)
+                n, total = n + len(x), total + x.sum(0)
+                gram = gram + x.T @ x if products else gram
+        if n:
+            d = len(total)
+            starts = list(range(0, d, GRAM))
+            blocks = [gram[s : s + GRAM, s:].ravel() for s in starts] if products else [np.empty(0)] * len(starts)
+            columns = [pa.array(starts), pa.array([n] * len(starts)), pa.array([d] * len(starts)), pa.array([total[s : s + GRAM] for s in starts], pa.list_(pa.float64())), pa.array(blocks, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["start", "n", "d", "total", "products"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for row in range(batch.num_rows):
+                start, n, d = (batch.column(k)[row].as_py() for k in range(3))
+                own = held.setdefault(start, [0, d, 0.0, 0.0])
+                own[0] += n
+                own[2] = own[2] + np.asarray(batch.column(3)[row].values)
+                own[3] = own[3] + np.asarray(batch.column(4)[row].values)
+        for start, (n, d, total, found) in sorted(held.items()):
+            yield pa.RecordBatch.from_arrays([pa.array([start]), pa.array([n]), pa.array([d]), pa.array([total], pa.list_(pa.float64())), pa.array([found], pa.list_(pa.float64()))], ["start", "n", "d", "total", "products"])
+
+    schema = "start long, n long, d long, total array<double>, products array<double>"
+    parts = rows.where(F.col("context_raw").isNotNull()).select("context_raw").mapInArrow(add, schema).withColumn("part", F.spark_partition_id() % MERGERS)
+    parts = parts.repartition("start", "part").drop("part").mapInArrow(merge, schema)
+    return parts.repartition("start").mapInArrow(merge, schema)
+
+
 def mean_vector(rows: DataFrame) -> DataFrame:
     """``i, mean`` of ``context_raw``."""
-    return rows.select(F.posexplode("context_raw").alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+    each = _sums(rows, products=False).select("start", "n", F.posexplode("total").alias("k", "x"))
+    return each.select((F.col("start") + F.col("k")).cast("int").alias("i"), (F.col("x") / F.col("n")).alias("mean"))
 
 
 def covariance(rows: DataFrame) -> DataFrame:
-    """``i, j, cov`` (population) of ``context_raw`` for i <= j; pairs of components are made within a row and summed before any shuffle."""
-    d = F.size("context_raw")
-    pairs = F.flatten(F.transform(F.sequence(F.lit(0), d - 1), lambda i: F.transform(F.sequence(i, d - 1), lambda j: F.struct(i.alias("i"), j.alias("j"), F.get("context_raw", i).cast("double").alias("x"), F.get("context_raw", j).cast("double").alias("y")))))
-    return rows.select(F.explode(pairs).alias("p")).select("p.*").groupBy("i", "j").agg((F.avg(F.col("x") * F.col("y")) - F.avg("x") * F.avg("y")).alias("cov"))
+    """``i, j, cov`` (population) of ``context_raw`` for i <= j, from blocks of sums of products."""
+    sums = _sums(rows, products=True)
+    means = sums.select(F.posexplode("total").alias("k", "x"), "start", "n").select((F.col("start") + F.col("k")).alias("i"), (F.col("x") / F.col("n")).alias("mean"))
+    each = sums.select("start", "n", (F.col("d") - F.col("start")).alias("width"), F.posexplode("products").alias("k", "x"))
+    each = each.select((F.col("start") + F.floor(F.col("k") / F.col("width"))).alias("i"), (F.col("start") + F.col("k") % F.col("width")).alias("j"), (F.col("x") / F.col("n")).alias("xy")).where("i <= j")
+    each = each.join(means.withColumnRenamed("mean", "mi"), "i").join(means.select(F.col("i").alias("j"), F.col("mean").alias("mj")), "j")
+    return each.select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), (F.col("xy") - F.col("mi") * F.col("mj")).alias("cov"))
 
 
 def rechunk(contigs: DataFrame, size: int = 4096) -> DataFrame:

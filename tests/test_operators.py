@@ -92,6 +92,18 @@ def test_stored_reads_are_joined_where_they_lie(spark, tmp_path):
     assert plan.count("Exchange") == 1 and "Bucketed: true" in plan  # the windows are shuffled, the reads aren't, nor what is grouped
 
 
+def test_covariance_of_wide_vectors(spark):
+    x = np.random.default_rng(9).normal(size=(300, 768)).astype(np.float32)
+    rows = spark.createDataFrame([(v.tolist(),) for v in x] + [(None,)], "context_raw array<float>").repartition(6)
+    got = context.covariance(rows).toPandas()
+    assert len(got) == 768 * 769 // 2
+    want = np.cov(x.T.astype(float), bias=True)
+    assert np.allclose(got["cov"], want[got["i"], got["j"]], atol=1e-9)
+    means = context.mean_vector(rows).toPandas()
+    assert np.allclose(means["mean"], x.astype(float).mean(0)[means["i"]]) and len(means) == 768
+    assert context.covariance(rows.where("context_raw is null")).count() == 0
+
+
 @pytest.mark.parametrize("gap", [0, 7])
 def test_merge_equals_a_plain_loop(spark, monkeypatch, gap):
     monkeypatch.setattr(regions, "MERGE_BIN", 40)
