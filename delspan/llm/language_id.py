@@ -119,12 +119,12 @@ def learn(df: DataFrame, text_col: str, label_col: str, train_docs: int = TRAIN_
     if not found:
         return [], np.zeros((0, DIMENSIONS))
     each = max(LEAST, train_docs // found)
-    # of a label's hashes the lowest part, in which four times as many are expected; the smallest of these are ranked
+    # tables by label have at most LABELS rows; of a label's hashes the lowest part, in which four times as many are expected; the smallest of these are ranked
     part = F.least(F.lit(1.0), 4 * each / F.col("n")) * float(1 << 64) - float(1 << 63)
-    low = hashes.join(labels, "label").where(F.col("h").cast("double") <= part)
+    low = hashes.join(F.broadcast(labels), "label").where(F.col("h").cast("double") <= part)
     place = F.row_number().over(Window.partitionBy("label").orderBy("h"))
     last = low.withColumn("place", place).where(F.col("place") <= each).groupBy("label").agg(F.max("h").alias("last"))
-    sample = rows.join(last, "label").where("h <= last").select("label", "text").dropDuplicates(["label", "text"])
+    sample = rows.join(F.broadcast(last), "label").where("h <= last").select("label", "text").dropDuplicates(["label", "text"])
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = profiles()
