@@ -204,6 +204,12 @@ draws AS (SELECT s.label, s.size, {_HASH('row')} AS h FROM range((SELECT count(*
     "variants_from_text": oracle("""SELECT chrom, pos, id, ref, alt, svtype, info_end, gt,
  CASE WHEN carried THEN coalesce(info_end, pos - 1 + length(ref)) END AS "end", CASE WHEN carried THEN coalesce(svtype, 'DEL') END AS sv_type
  FROM (SELECT *, (coalesce(svtype = 'DEL', false) OR alt = '<DEL>') AND regexp_matches(gt, '[1-9]') AS carried FROM variants) x""", "variants"),
+    "variants_from_source": oracle("SELECT chrom, pos, id, ref, alt, svtype, info_end, gt FROM variants WHERE chrom IN ('1', '2', 'X') AND pos >= 1000", "variants"),
+    "alignments_from_source": oracle("SELECT qname, CAST(flag AS INT) AS flag, chrom, ref_start + 1 AS pos, CAST(mapq AS BIGINT) AS mapq, cigar, CAST(tlen AS BIGINT) AS tlen, seq, qual FROM reads WHERE ref_start >= 600", "reads"),
+    "loaded_records": oracle("""SELECT reason, chrom, count(*) AS n, CAST(sum(chars) AS BIGINT) AS chars, CAST(sum(count(*)) OVER () AS BIGINT) AS read, CAST(sum(CASE WHEN reason <> '' THEN count(*) ELSE 0 END) OVER () AS BIGINT) AS rejected
+FROM (SELECT reason, CASE WHEN reason = '' THEN chrom ELSE '' END AS chrom,
+ CASE reason WHEN 'fields' THEN length(concat_ws('|', chrom, id)) WHEN 'position' THEN length(concat_ws('|', chrom, 'x', id, ref, alt, '.', 'PASS', '.')) END AS chars
+ FROM (SELECT *, CASE WHEN CAST(id AS BIGINT) % 101 = 0 THEN 'fields' WHEN CAST(id AS BIGINT) % 89 = 0 THEN 'position' ELSE '' END AS reason FROM variants) x) y GROUP BY 1, 2""", "variants"),
     "alignments_from_text": oracle("SELECT qname, CAST(flag AS INT) AS flag, chrom, ref_start, CAST(mapq AS BIGINT) AS mapq, cigar, CAST(tlen AS BIGINT) AS tlen, seq, qual FROM reads", "reads"),
     "contigs_from_header": oracle("SELECT chrom AS contig, max(chunk_start + length(seq)) AS length, 0 AS more FROM contigs GROUP BY chrom", "contigs"),
     "reference_from_text": oracle("SELECT chrom, chunk_start - min(chunk_start) OVER (PARTITION BY chrom) AS chunk_start, upper(seq) AS seq FROM contigs", "contigs"),

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from ..functions import cigar, names
 from ..functions.colours import MEAN, STD
 from ..operators import alignments, context, images, metrics, refine, regions, sampling, scoring, tensors, variants
-from ..sources import fixtures, text_formats
+from ..sources import fixtures, formats, text_formats
 from ..sources.scratch import scratch_path
 from . import jobs
 
@@ -386,6 +386,40 @@ def variants_from_text(spark: SparkSession, sf: str) -> DataFrame:
     return read.select("chrom", "pos", "id", "ref", F.array_join("alts", ",").alias("alt"), "svtype", "info_end", alleles.alias("gt")).join(carried, "id", "left")
 
 
+@query
+def variants_from_source(spark: SparkSession, sf: str) -> DataFrame:
+    """The variants written as block-gzipped files of ranges and read back through the data source, which is asked for a few chromosomes and positions."""
+    formats.register(spark)
+    path = scratch_path(spark, "variants")
+    _records(spark, sf).repartitionByRange("chrom", "pos").write.format("variant_text").option("sample", "S1").mode("append").save(path)
+    read = spark.read.format("variant_text").option("sample", "S1").load(path).where(F.col("chrom").isin("1", "2", "X") & (F.col("pos") >= 1_000))
+    alleles = F.array_join(F.transform("gt", lambda a: F.coalesce(a.cast("string"), F.lit("."))), "|")
+    return read.select("chrom", "pos", "id", "ref", F.array_join("alts", ",").alias("alt"), "svtype", "info_end", alleles.alias("gt"))
+
+
+@query
+def alignments_from_source(spark: SparkSession, sf: str) -> DataFrame:
+    """The reads written as alignment text and read back through the data source, from a position on."""
+    formats.register(spark)
+    line = F.concat_ws("\t", "qname", F.col("flag").cast("string"), "chrom", (F.col("ref_start") + 1).cast("string"), F.col("mapq").cast("string"), "cigar", F.lit("*"), F.lit("0"), F.col("tlen").cast("string"), "seq", "qual", F.lit("NM:i:0"))
+    path = _as_text(_reads(spark, sf).select(line.alias("value")), "alignments")
+    return spark.read.format("alignment_text").load(path).where("pos > 600").drop("malformed", "line")
+
+
+@query
+def loaded_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Variant text with broken lines loaded in one pass: what is kept by chromosome, and lines rejected by reason, beside the counts taken on the way."""
+    formats.register(spark)
+    rows = fixtures.table(spark, sf, "variants").withColumn("k", F.col("id").cast("long"))
+    line = F.concat_ws("\t", "chrom", F.when(F.col("k") % 89 == 0, "x").otherwise(F.col("pos").cast("string")), "id", "ref", "alt", F.lit("."), F.lit("PASS"), F.lit("."), F.lit("GT"), "gt")
+    line = F.when(F.col("k") % 101 == 0, F.concat_ws("\t", "chrom", "id")).otherwise(line)
+    header = spark.createDataFrame([("\t".join([*text_formats.COLUMNS, "S1"]),)], "value string")
+    path, out = _as_text(header.unionByName(rows.select(line.alias("value"))), "variants"), scratch_path(spark, "loaded")
+    counts = jobs.load_records(spark.read.format("variant_text").option("sample", "S1").load(path), out)
+    found = spark.read.parquet(out).groupBy(F.coalesce("malformed", F.lit("")).alias("reason"), F.coalesce("chrom", F.lit("")).alias("chrom")).agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"))
+    return found.withColumns({"read": F.lit(counts["read"]), "rejected": F.lit(counts["rejected"])})
+
+
 @query
 def alignments_from_text(spark: SparkSession, sf: str) -> DataFrame:
     """The reads written as alignment text and read back; rows without CIGAR are left out by the reader."""
