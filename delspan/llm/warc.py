@@ -3,7 +3,8 @@
 An archive (``.warc.zst``) begins with a skippable frame that holds the compression dictionary; every record is a
 frame of its own. :func:`write_archives` lets Spark's file writer put the frames into files, so that committing and
 retrying tasks work on any file system; the separator it writes after each row is an empty skippable frame, which
-readers of zstd pass over. :func:`read_archives` reads whole files with Spark's binary reader, loads the dictionary,
+readers of zstd pass over. A task closes an archive once it holds ``ARCHIVE_BYTES`` and begins another one with its own dictionary,
+so a file is never larger than that and one record, however much a partition holds. :func:`read_archives` reads whole files with Spark's binary reader, loads the dictionary,
 walks the frames, decodes one frame per record and validates version line, headers, lengths and digests.
 
 Records with equal payloads of at least ``min_bytes`` bytes: that with the largest id is a response, the others are
@@ -13,7 +14,7 @@ so a page that makes up a third of all rows gathers nothing in one place.
 Defined results: a null html is the empty payload; a null id is written as ``null``, read back as null, and always a
 response that none refers to; repeated rows (equal id and payload) are written once each and have the same type; a null url
 gets a name made of the id. An empty table gives no archive and an empty result. Other columns are not looked at.
-A record that is not valid raises an error, or is reported in ``error`` where ``strict`` is false.
+A very long html is one record, in an archive that may be larger by it; Spark's values end at 2 GB. A record that is not valid raises an error, or is reported in ``error`` where ``strict`` is false.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ SEPARATOR = "P*M\x18\x00\x00\x00\x00"
 SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 400, 32_768, 65_536
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID = "urn:x-page:"
-OUT_BYTES = 8 << 20
+OUT_BYTES, ARCHIVE_BYTES = 8 << 20, 64 << 20
 READ_SCHEMA = "archive string, page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload string, error string"
 
 
@@ -160,8 +161,8 @@ def train_dictionary(df: DataFrame, id_col: str, url_col: str, html_col: str) ->
         return b""
 
 
-def write_archives(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> str:
-    """Write a record for each row into archives under ``path``, one archive for each partition."""
+def write_archives(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> str:
+    """Write a record for each row into archives under ``path``; a record that reaches ``archive_bytes`` is the last of its archive."""
     payload = F.coalesce(F.col(html_col), F.lit(""))
     light = df.select(F.col(id_col).cast("long").alias("page_id"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n"))
     light = light.where((F.col("n") >= min_bytes) & F.col("page_id").isNotNull())
@@ -173,23 +174,23 @@ def write_archives(df: DataFrame, path: str, id_col: str = "page_id", url_col: s
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = zstandard.ZstdCompressor(level=3, write_content_size=True, dict_data=zstandard.ZstdCompressionDict(trained) if trained else None)
-        out, held = [], 0
+        lead = b""
         if trained:
             stored = zstandard.ZstdCompressor(level=9).compress(trained)
-            out.append(struct.pack("<II", DICTIONARY_MAGIC, len(stored)) + stored)
-        some = False
+            lead = struct.pack("<II", DICTIONARY_MAGIC, len(stored)) + stored
+        out, held = [lead], len(lead)
         for batch in batches:
             for i, url, html, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                some = True
                 out.append(encoder.compress(record(i, url, html.encode(), refers_to)))
                 held += len(out[-1])
-                if held >= OUT_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
-                    out, held = [], 0
-        if some and out:
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
-
-    rows.mapInArrow(lean(write), "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
+                if held >= archive_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], ["archive"])
+                    out, held = [lead], len(lead)
+        if len(out) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], ["archive"])
+
+    archives = rows.mapInArrow(lean(write), "archive binary").select(F.col("archive").cast("string").alias("value"))
+    archives.write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", 1).text(path)
     return path
 
 

@@ -289,5 +289,18 @@ def test_broken_archives(spark, tmp_path):
         list(warc.frames(warc.SEPARATOR.encode() + struct.pack("<II", warc.DICTIONARY_MAGIC, 0)))
 
 
+def test_warc_archives_are_bounded(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    texts = [rng.bytes(int(n)).hex() for n in rng.integers(10, 3_000, 700)] + [rng.bytes(90_000).hex()]
+    df = spark.createDataFrame([(k, f"http://h/{k}", x) for k, x in enumerate(texts)], "page_id long, url string, html string").coalesce(2)
+    path = warc.write_archives(df, str(tmp_path / "w"), archive_bytes=100_000)
+    sizes = sorted(x.stat().st_size for x in (tmp_path / "w").glob("part-*"))
+    assert len(sizes) > 6 and sizes[-2] < 105_000 and sizes[-1] < 200_000
+    for x in (tmp_path / "w").glob("part-*"):
+        assert struct.unpack("<I", x.read_bytes()[:4])[0] == warc.DICTIONARY_MAGIC
+    got = {r.page_id: (r.payload, r.record_type) for r in warc.read_archives(spark, path).collect()}
+    assert got == {k: (x, "response") for k, x in enumerate(texts)}
+
+
 def test_archives_query_equals_sql(spark):
     assert_same(QUERIES["op8_warc"](spark, SF), ORACLES["op8_warc"])
