@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import discard, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -67,6 +67,7 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     key = order_key(F.col(id_col), seed)
     light = df.select(F.col(source_col).alias("source"), key.alias("key"), words(F.col(text_col)).alias("size"))
     plan = cut_in = None
+    written: list[DataFrame] = []
     for digits in BUCKET_DIGITS:
         rows = light.select(F.col("source").alias("of"), F.substring("key", 1, digits).alias("bucket"), "size", F.lit(0).cast("long").alias("start"))
         if cut_in is not None:  # only what stands in the bucket of the cut is looked at more closely
@@ -84,13 +85,17 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         ends = buckets.withColumn("end", F.col("start") + F.sum("words").over(so_far)).join(plan.select(F.col("source").alias("name"), "rest"), F.col("of").eqNullSafe(F.col("name")))
         cut_in = ends.where((F.col("end") - F.col("words") <= F.col("rest")) & (F.col("rest") < F.col("end"))).select("of", "bucket", "rest", (F.col("end") - F.col("words")).alias("start"))
         cut_in = materialize(cut_in, "cut_in")  # at most one row for each source
+        written += [buckets, cut_in]
     bucket = F.substring("key", 1, BUCKET_DIGITS[-1])
     ties = light.join(_bounded(cut_in), F.col("source").eqNullSafe(F.col("of")) & (bucket == F.col("bucket"))).groupBy("of", "bucket", "rest", "start", "key").agg(F.sum("size").alias("words"))
     within = Window.partitionBy("of").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = ties.withColumn("end", F.col("start") + F.sum("words").over(within)).where(2 * F.col("end") - F.col("words") <= 2 * F.col("rest")).groupBy("of").agg(F.max("key").alias("last"))
     cuts = cut_in.select("of", "bucket").join(last.withColumnRenamed("of", "of2"), F.col("of").eqNullSafe(F.col("of2")), "left").select("of", F.coalesce("last", "bucket").alias("cut"))
-    full = plan.join(cuts, F.col("source").eqNullSafe(F.col("of")), "left").select(F.col("source").alias("of"), "source_size", "target", "whole", "cut")
-    full = _bounded(materialize(full, "mix_plan"))
+    cut = F.when(F.col("rest") > 0, F.col("cut"))  # documents without words take no fraction where none is left
+    full = plan.join(cuts, F.col("source").eqNullSafe(F.col("of")), "left").select(F.col("source").alias("of"), "source_size", "target", "whole", cut.alias("cut"))
+    full = materialize(full, "mix_plan")
+    discard(*written)
+    full = _bounded(full)
     rows = df.select(F.struct(*df.columns).alias("row"), F.col(source_col).alias("source"), key.alias("key"), words(F.col(text_col)).alias("size"))
     fraction = F.when(F.col("key") <= F.col("cut"), F.lit(1)).otherwise(F.lit(0))
     return rows.join(full, F.col("source").eqNullSafe(F.col("of"))).select("row", "size", "source_size", "target", (F.col("whole") + fraction).alias("times"))

@@ -73,6 +73,13 @@ def test_mixing_query_equals_sql(spark):
     assert_same(QUERIES["op5_source_mixing"](spark, SF), ORACLES["op5_source_mixing"])
 
 
+def test_mixing_repeats_no_document_beyond_its_epochs(spark):
+    texts = ["a b c d e"] * 400 + ["x"] + [""] * 300
+    rows = mixing.mixed(docs(spark, texts, [*range(len(texts))], sources=["a"] * 400 + ["b"] * 301)).collect()
+    most = {s: max(r.times for r in rows if r.row.source == s) for s in "ab"}
+    assert {r.target / r.source_size for r in rows if r.row.source == "b"} == {2.0} and most["b"] == 2 and most["a"] <= 2
+
+
 def test_mixing_odd_rows(spark):
     rng = random.Random(3)
     texts = [None, "", *(sentence(rng, rng.randrange(1, 30)) for _ in range(300)), "one two", "one two"]
