@@ -18,25 +18,26 @@ SPAN, COMPONENTS, LEAST_BASES = 2500, 8, 10
 GRAM, MERGERS = 64, 32
 
 
-def sequences(windows: DataFrame, contigs: DataFrame, span: int = SPAN, chunk: int | None = None) -> DataFrame:
-    """``window_id, seq``: ``span`` bases of the reference around each window's centre, clamped to the contig, upper case.
+def sequences(windows: DataFrame, contigs: DataFrame, span: int = SPAN, chunk: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``window_id, seq`` and the windows' columns ``keep``: ``span`` bases of the reference around each window's centre, clamped to the contig, upper case.
 
     Contigs are (chrom, chunk_start, seq) with chunks of equal size (see :func:`rechunk`), not much shorter than ``span``. Each chunk gets what follows it, as
     far as a window that begins in it can reach. A window then needs one row, found by (chrom, chunk); nothing is gathered by window, and
-    no contig is put together whole.
+    no contig is put together whole. Contigs' lengths are broadcast, so that windows are dealt by (chrom, chunk) and never by chromosome alone.
     """
     if chunk is None:
         chunk = contigs.agg(F.max(F.length("seq"))).first()[0] or 1
     lengths = contigs.groupBy("chrom").agg(F.max(F.col("chunk_start") + F.length("seq")).alias("contig_length"))
-    rows = windows.join(lengths, "chrom").withColumn("centre", F.floor((F.col("start") + F.col("end")) / 2))
+    rows = windows.join(F.broadcast(lengths), "chrom").withColumn("centre", F.floor((F.col("start") + F.col("end")) / 2))
     rows = rows.withColumn("a", F.greatest(F.col("centre") - span // 2, F.lit(0))).withColumn("b", F.least(F.col("centre") + span // 2, "contig_length")).where("b > a")
-    wanted = rows.select("window_id", "chrom", "a", (F.col("b") - F.col("a")).cast("int").alias("n"), F.floor(F.col("a") / chunk).alias("k"))
+    wanted = rows.select("window_id", *(F.col(c).alias(f"kept_{c}") for c in keep), "chrom", "a", (F.col("b") - F.col("a")).cast("int").alias("n"), F.floor(F.col("a") / chunk).alias("k"))
     own = F.floor(F.col("chunk_start") / chunk)
     parts = contigs.withColumn("k", F.explode(F.sequence(F.greatest(own - -(-span // chunk), F.lit(0)), own)))
     reach = F.least((F.col("k") + 1) * chunk + span - F.col("chunk_start"), F.length("seq")).cast("int")
     parts = parts.where(reach > 0).groupBy("chrom", "k").agg(F.array_sort(F.collect_list(F.struct("chunk_start", F.substr("seq", F.lit(1), reach).alias("seq")))).alias("p"))
-    whole = parts.select("chrom", "k", F.col("p")[0]["chunk_start"].alias("first"), F.array_join("p.seq", "").alias("text"))
-    return wanted.join(whole, ["chrom", "k"]).select("window_id", F.upper(F.substr("text", (F.col("a") - F.col("first") + 1).cast("int"), "n")).alias("seq"))
+    whole = parts.select("chrom", "k", F.col("p")[0]["chunk_start"].alias("first"), F.upper(F.array_join("p.seq", "")).cast("binary").alias("text"))  # bytes are found at their place
+    seq = F.substr("text", (F.col("a") - F.col("first") + 1).cast("int"), "n").cast("string")
+    return wanted.join(whole, ["chrom", "k"]).select("window_id", *(F.col(f"kept_{c}").alias(c) for c in keep), seq.alias("seq"))
 
 
 def kmer_frequencies(k: int = 3) -> Callable[[str], np.ndarray]:
@@ -57,19 +58,20 @@ def kmer_frequencies(k: int = 3) -> Callable[[str], np.ndarray]:
 
 
 def embeddings(seqs: DataFrame, make: Callable[[], Callable[[str], np.ndarray]], size: int) -> DataFrame:
-    """``window_id, context_raw``: each sequence's embedding; ``make`` is called once in each worker. Short sequences give zeros.
+    """``seqs`` with ``context_raw``, each sequence's embedding, in place of ``seq``; ``make`` is called once in each worker. Short sequences give zeros.
 
-    Equal sequences are embedded once.
+    Equal sequences of a batch are embedded once; no sequence is dealt for that.
     """
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         embed = make()
         for batch in batches:
-            yield pd.Series([np.asarray(embed(s), np.float32) if s is not None and len(s) >= LEAST_BASES else np.zeros(size, np.float32) for s in batch])
+            found = {s: np.asarray(embed(s), np.float32) for s in batch.dropna().unique() if len(s) >= LEAST_BASES}
+            none = np.zeros(size, np.float32)
+            yield pd.Series([found.get(s, none) for s in batch])
 
-    once = seqs.select("seq").distinct().select("seq", run("seq").alias("context_raw"))
-    return seqs.join(once, "seq").select("window_id", "context_raw")
+    return seqs.select(*(c for c in seqs.columns if c != "seq"), run("seq").alias("context_raw"))
 
 
 def fit_pca(train: DataFrame, k: int = COMPONENTS) -> PipelineModel:
