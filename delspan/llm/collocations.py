@@ -243,12 +243,13 @@ def counted_phrases(docs: DataFrame, vocabulary: DataFrame, n_words: int, n_toke
 
         for batch in batches:
             for lang, text, more in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                table = shared.value.get(lang, none)
-                if more.is_valid:
-                    table = table | {x["word"].encode(): x["id"] for x in more.as_py()}
-                get = table.get
+                get = shared.value.get(lang, none).get
                 own = tokens(text.as_py())
-                texts += [np.fromiter([get(w, 0) for w in own], np.int64, len(own)), np.zeros(1, np.int64)]
+                numbers = [get(w, 0) for w in own]
+                if more.is_valid:  # few words beside the table, which is not copied for them
+                    other = {x["word"].encode(): x["id"] for x in more.as_py()}.get
+                    numbers = [n or other(w, 0) for n, w in zip(numbers, own, strict=True)]
+                texts += [np.fromiter(numbers, np.int64, len(own)), np.zeros(1, np.int64)]
                 held += len(own)
                 if held > SORTED // 2:
                     add()
@@ -278,15 +279,26 @@ def with_other_numbers(docs: DataFrame, vocabulary: DataFrame, top: DataFrame, s
     docs = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "numbered_docs")
     others = vocabulary.join(top, "id", "left_anti").select("id", "lang", "word")
 
+    none = {b"": -1, b"\n": 0}
+
+    def rows(batch: pa.RecordBatch, at: list[int], found: list[bytes]) -> pa.RecordBatch:
+        own = pa.array(at, pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(found, pa.binary()).cast(pa.string())], ["row", "lang", "word"])
+
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_only()
         for batch in batches:
-            for k in range(batch.num_rows):
-                lang = batch.column(1)[k].as_py()
-                own = set(tokens(batch.column(2)[k].as_py())) - shared.value.get(lang, {}).keys() - {b"", b"\n"}
-                if own:
-                    row = batch.column(0)[k].as_py()
-                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(own)), pa.array([lang] * len(own)), pa.array([*own], pa.binary()).cast(pa.string())], ["row", "lang", "word"])
+            at, found = [], []
+            for k, (lang, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), strict=True)):
+                table = shared.value.get(lang, none)
+                own = [w for w in set(tokens(text.as_py())) if w not in table]
+                at += [k] * len(own)
+                found += own
+                if len(found) > WORDS:
+                    yield rows(batch, at, found)
+                    at, found = [], []
+            if found:
+                yield rows(batch, at, found)
 
     seen = docs.select("row", "lang", "text").mapInArrow(lean(words), "row long, lang string, word string")
     more = seen.join(others, ["lang", "word"]).groupBy("row").agg(F.collect_list(F.struct("word", "id")).alias("more"))
